@@ -1,3 +1,76 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline.
 
-STAGES = []
+Each takes the documents that the stage before kept and returns those it keeps, with the columns of documents; the last
+returns packed pieces. Empty tables pass through. Null texts have no language, so their documents go at the first stage.
+Decisions are carried by id: rows that share an id share the stricter decision, rows with a null id stay.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import language_id, line_dedup
+from .common import materialise, table
+from .decontaminate import decontaminate
+from .jaccard_join import link_documents
+from .packing import pack
+from .queries import tokenizer
+
+#: A document whose language is less certain than this, or that has no letter, is rejected.
+LEAST_SCORE = 0.5
+#: Ids to drop that are broadcast (8 bytes each); beyond, documents are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in ids (one column, doc_id); a null id is never in it."""
+    ids = materialise(ids.distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is found with some certainty."""
+    model = language_id.fit(docs)
+    found = language_id.identify(docs, model)
+    return _drop(docs, found.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("doc_id"))
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rid texts of the lines that much of their source shares; documents left without text go."""
+    out = line_dedup.dedupe_lines(docs)
+    out = out.filter((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group that five-word shingles link at 0.8: that of the smallest id.
+
+    Rows that repeat an id and text count once; rows with a null id can't be named and stay.
+    """
+    linked = materialise(link_documents(docs, 5, 80))
+    kept = _drop(docs, linked.filter(F.col("doc_id") > F.col("component_id")).select("doc_id"))
+    repeated = linked.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a passage of the benchmark."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _drop(docs, found.filter("contaminated").select("doc_id"))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens in windows of 2048."""
+    return pack(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_boilerplate),
+    ("jaccard_join", drop_near_copies),
+    ("decontaminate", drop_leaks),
+    ("packing", pack_windows),
+]

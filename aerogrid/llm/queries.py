@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from . import language_id, line_dedup, quality
 from .common import fold_of, table
 from .decontaminate import decontaminate
+from .hilbert_ann import search
+from .jaccard_join import link_documents
 from .license_scan import scan_licenses, scan_licenses_sql
 from .packing import pack
+from .suffix_dedup import find_repeats
 from .token_count import count_tokens
 
 
@@ -25,6 +28,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedupe_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -42,6 +49,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = fold_of(F.col("doc_id"), 3) == 1
@@ -57,17 +68,24 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_license_scan,
+            op2_suffix_dedup,
             op3_line_dedup,
             op4_packing,
             op5_language_id,
+            op6_hilbert_ann,
             op7_quality,
             op8_decontaminate,
             op9_token_count,
+            op10_jaccard_join,
         )
     }
 
