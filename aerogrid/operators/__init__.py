@@ -1,0 +1 @@
+"""operators of the station and raster library."""

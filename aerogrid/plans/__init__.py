@@ -1,0 +1 @@
+"""plans of the station and raster library."""

@@ -1,0 +1 @@
+"""sources of the station and raster library."""

@@ -1,0 +1 @@
+"""streaming of the station and raster library."""
