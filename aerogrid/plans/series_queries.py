@@ -341,7 +341,7 @@ def clip_to_year(t: Tables):
     return H.clip_to_year(t.stays, 2024).select("stay", "date")
 
 
-@query("SELECT s.stay, s.tmsid, d.date, d.pm10 FROM (SELECT stay, tmsid, unnest(generate_series(date_start::TIMESTAMP, date_end::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM {stays} WHERE date_start <= date_end) s LEFT JOIN (SELECT tmsid, date, AVG(pm10) AS pm10 FROM {measurements} GROUP BY tmsid, date) d USING (tmsid, date)")
+@query("SELECT s.stay, s.tmsid, s.date, d.pm10 FROM (SELECT stay, tmsid, unnest(generate_series(date_start::TIMESTAMP, date_end::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM {stays} WHERE date_start <= date_end) s LEFT JOIN (SELECT tmsid, date, AVG(pm10) AS pm10 FROM {measurements} GROUP BY tmsid, date) d USING (tmsid, date)")
 def station_space_time(t: Tables):
     days = H.extend_grid(t.stays, ["stay", "tmsid"]).select("stay", "tmsid", "date")
     return H.space_time(days, t.measurements.groupBy("tmsid", "date").agg(F.avg("pm10").alias("pm10")), ["tmsid", "date"]).select("stay", "tmsid", "date", "pm10")
@@ -576,7 +576,7 @@ def cut_off(t: Tables):
     return W.cut_off(t.measurements, {"pm10": 8000.0, "pm25": 3000.0}).select("event_id", "pm10", "pm25")
 
 
-SMOOTH = """WITH w0 AS (SELECT tmsid2, date, least(pm10, f) AS v FROM (SELECT d.*, q.f FROM {daily} d JOIN (SELECT tmsid2, """ + FENCE.format("0.5") + """ AS f FROM {daily} GROUP BY tmsid2) q USING (tmsid2))),
+SMOOTH = """WITH w0 AS (SELECT tmsid2, date, CASE WHEN pm10 IS NOT NULL THEN least(pm10, f) END AS v FROM (SELECT d.*, q.f FROM {daily} d JOIN (SELECT tmsid2, """ + FENCE.format("0.5") + """ AS f FROM {daily} GROUP BY tmsid2) q USING (tmsid2))),
 w1 AS (SELECT tmsid2, date, """ + FILL.format("v", "tmsid2", "date") + """ AS v FROM w0),
 w2 AS (SELECT tmsid2, date, v, CASE WHEN count(*) OVER w = 3 THEN avg(v) OVER w END AS m FROM w1 WINDOW w AS (PARTITION BY tmsid2 ORDER BY date ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
 SELECT tmsid2, date, round(v, 3) AS pm10, round(""" + FILL.format("m", "tmsid2", "date") + """, 3) AS pm10_smooth FROM w2"""

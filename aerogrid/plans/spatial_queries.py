@@ -289,9 +289,9 @@ def aod_composite(t: Tables):
     return R.composite(t.aod.drop("value"), ["row", "col"]).withColumn("value", F.round("value", 2))
 
 
-@query("SELECT date, round(sum(aod / (unc * unc + 1e-6)) / sum(CASE WHEN aod IS NOT NULL THEN 1 / (unc * unc + 1e-6) END), 2) AS v FROM {aod} GROUP BY date")
+@query("SELECT date, round(sum(aod / (unc * unc + 1e-6)) / sum(CASE WHEN aod IS NOT NULL THEN 1 / (unc * unc + 1e-6) END), 4) AS v FROM {aod} GROUP BY date")
 def inverse_variance_mean(t: Tables):
-    return A.inverse_variance_mean(t.aod, ["date"], "aod", "unc", "v").withColumn("v", F.round("v", 2))
+    return A.inverse_variance_mean(t.aod, ["date"], "aod", "unc", "v").withColumn("v", F.round("v", 4))
 
 
 @query("WITH s AS (SELECT tile, row, col, max(aod) AS value FROM {aod} GROUP BY 1, 2, 3) SELECT a.row, a.col, b.value FROM (SELECT DISTINCT row, col FROM s) a LEFT JOIN (SELECT row, col, arg_min(value, tile) AS value FROM s WHERE value IS NOT NULL GROUP BY 1, 2) b USING (row, col)")
@@ -373,14 +373,14 @@ def parse_wkt(t: Tables):
 # --- jobs ---------------------------------------------------------------------------------------------------------
 STATIC = f"""WITH {NEAREST}, {BUFFERS.replace('{cells}', '{landuse}')}, f AS (SELECT p.pid, {FRACTIONS} FROM {{points}} p LEFT JOIN b USING (pid) GROUP BY p.pid),
 k AS (SELECT pid, sum(v * (1 - (d / 1500) * (d / 1500))) / nullif(sum(1 - (d / 1500) * (d / 1500)), 0) AS e FROM (SELECT p.pid, e.emission AS v, sqrt(pow(p.x - e.x, 2) + pow(p.y - e.y, 2)) AS d FROM {{points}} p, {{emitters}} e) WHERE d <= 1500 GROUP BY pid)
-SELECT p.pid, p.x, p.y, round(near.distance / 1000, 4) AS d_road, l.value AS dem, f.* EXCLUDE (pid), round(k.e, 2) AS emission
+SELECT p.pid, p.x, p.y, round(near.distance / 1000, 6) AS d_road, l.value AS dem, f.* EXCLUDE (pid), round(k.e, 2) AS emission
 FROM {{points}} p JOIN near USING (pid) JOIN f USING (pid) LEFT JOIN k USING (pid) LEFT JOIN {{landuse}} l ON l.row = floor((1920000 - p.y) / 500) AND l.col = floor((p.x - 900000) / 400)"""
 
 
 def _static(t: Tables, points):
     cells = t.landuse.select("row", "col", "value")
     out = jobs.static_features(points, "pid", t.roads, cells, t.landuse, t.emitters, FINE, RADII, CLASSES, 1500, 1000.0, "centre")
-    return out.withColumns({"d_road": F.round("d_road", 4), "emission": F.round("emission", 2)} | {c: F.round(c, 6) for c in out.columns if c.startswith("landuse_")})
+    return out.withColumns({"d_road": F.round("d_road", 6), "emission": F.round("emission", 2)} | {c: F.round(c, 6) for c in out.columns if c.startswith("landuse_")})
 
 
 @query(STATIC)
