@@ -8,6 +8,7 @@ of each length to take.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ from .bpe import PieceCoder, coder
 from .common import map_batches, materialise, raw_texts, struct, text_input
 
 KEPT = 600_000
+#: Control characters at which Python splits words and tokenizers don't.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 PIECES = struct(
     ("start", T.LongType()),
@@ -61,7 +64,7 @@ class WordIds(dict):
 def text_ids(code: PieceCoder, words: WordIds, raw: bytes) -> bytes:
     """The ids of a text as the library gives them, four bytes each."""
     text = raw.decode("utf-8", "replace")
-    if not code.plain(text):
+    if not code.plain(text) or SEPARATORS.search(text):
         return np.array(code.whole(text), "<u4").tobytes()
     if code.lowers:
         # below U+0130 normal form C and contextual lower-casing change nothing else
