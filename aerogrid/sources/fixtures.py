@@ -26,7 +26,7 @@ VIEWS = {
     "daily": """
         SELECT tmsid2, tmsid, date, AVG(pm10) AS pm10, AVG(pm25) AS pm25, COUNT(*) AS n_rows FROM {measurements} GROUP BY tmsid2, tmsid, date""",
     "site_history": """
-        SELECT s_suppkey, CAST(s_suppkey % 16 AS STRING) AS tmsid,
+        SELECT s_suppkey, CAST(CASE WHEN s_suppkey < 160 THEN s_suppkey % 16 ELSE CAST(FLOOR(s_suppkey / 10) AS BIGINT) END AS STRING) AS tmsid,
           CASE s_nationkey % 7 WHEN 0 THEN 'urban' WHEN 1 THEN 'road' WHEN 2 THEN 'port' WHEN 3 THEN 'rural' WHEN 4 THEN 'urban-1' WHEN 5 THEN 'background' END AS site_type,
           CAST(2024 AS INT) AS year,
           CASE WHEN s_suppkey % 19 <> 0 THEN DATE '2024-01-01' + CAST(s_suppkey % 20 AS INT) END AS date_start,
