@@ -213,6 +213,11 @@ def cell_median(cells: DataFrame, keys: Sequence[str], skip_na: bool = True, fil
     return out.fillna(fill, ["value"]) if fill is not None else out
 
 
+def repeated_mean(cells: DataFrame, keys: Sequence[str], scale: float = 0.1) -> DataFrame:
+    """Mean of repeated grids, nulls passed over, times a scale."""
+    return cells.groupBy(*keys).agg((F.avg("value") * scale).alias("value"))
+
+
 def align_to(template: DataFrame, cells: DataFrame, keys: Sequence[str] = ("row", "col")) -> DataFrame:
     """The template's cells with the raster's values, null where it has none."""
     return template.select(*keys).join(cells, list(keys), "left")

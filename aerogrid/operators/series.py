@@ -152,3 +152,16 @@ def subset_stations(df: DataFrame, stations: Sequence | None = None, first_k: in
         a, b = F.lit(dates[0]).cast("date"), F.lit(dates[1]).cast("date")
         df = df.filter(F.col(date).between(F.least(a, b), F.greatest(a, b)))
     return df.filter(F.col(date) <= F.lit(until).cast("date")) if until is not None else df
+
+
+def space_time_samples(df: DataFrame, key: str, time: str, cols: Sequence[str], length: int, pairs: DataFrame, features: Sequence[str] = ()) -> DataFrame:
+    """key, time, window, neighbours: a station's sequence with those of its neighbours up to the same time.
+
+    pairs: key, neighbour, rank and relation features. neighbours is an array by rank of struct(rank, mask, features, window);
+    mask is 0 where the neighbour has no full sequence then.
+    """
+    own = sequence_windows(df.select(key, time, *cols), [key], time, cols, length).select(key, time, "window")
+    other = own.select(F.col(key).alias("neighbour"), time, F.col("window").alias("_w"))
+    joined = own.join(pairs.select(key, "neighbour", "rank", *features), key).join(other, ["neighbour", time], "left")
+    one = F.struct("rank", F.col("_w").isNotNull().cast("int").alias("mask"), *features, F.col("_w").alias("window"))
+    return joined.groupBy(key, time).agg(F.first("window").alias("window"), F.sort_array(F.collect_list(one)).alias("neighbours"))

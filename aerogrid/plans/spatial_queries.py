@@ -370,6 +370,33 @@ def parse_wkt(t: Tables):
     return X.with_box(df).select("zone", "xmin", "ymin", "xmax", "ymax")
 
 
+@query("SELECT row, col, date, round(avg(aod) * 0.1::DOUBLE, 5) AS value FROM {aod} GROUP BY row, col, date")
+def repeated_mean(t: Tables):
+    out = R.repeated_mean(t.aod.drop("value").withColumnRenamed("aod", "value"), ["row", "col", "date"])
+    return out.withColumn("value", F.round("value", 5))
+
+
+@query(
+    """WITH p AS (SELECT a.pid, b.pid AS neighbour, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS d FROM {points} a, {points} b WHERE a.pid <> b.pid AND a.pid < 16 AND b.pid < 16),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, neighbour)::INT AS rank FROM p) WHERE rank <= 3),
+    d AS (SELECT CAST(tmsid AS BIGINT) AS pid, date, AVG(pm10) AS pm10 FROM {measurements} WHERE event_id % 40 < 13 GROUP BY 1, 2),
+    w AS (SELECT * FROM (SELECT pid, date, count(*) OVER (PARTITION BY pid ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n, first_value(pm10) OVER (PARTITION BY pid ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS first_pm10 FROM d) WHERE n = 5)
+    SELECT w.pid, w.date, w.first_pm10, count(*) AS n_neighbours, sum((v.pid IS NOT NULL)::INT)::BIGINT AS n_known, max(CASE WHEN k.rank = 1 THEN v.first_pm10 END) AS nearest_first
+    FROM w JOIN k ON k.pid = w.pid LEFT JOIN w v ON v.pid = k.neighbour AND v.date = w.date GROUP BY w.pid, w.date, w.first_pm10"""
+)
+def space_time_samples(t: Tables):
+    from ..operators.series import space_time_samples as samples
+
+    daily = t.measurements.filter("event_id % 40 < 13").groupBy(F.col("tmsid").cast("bigint").alias("pid"), "date").agg(F.avg("pm10").alias("pm10"))
+    pairs = X.neighbour_features(X.nearest_neighbours(t.points.filter("pid < 16"), "pid", 3))
+    out = samples(daily, "pid", "date", ["pm10"], 5, pairs, ["bearing_sin", "dist_km"])
+    first = F.get("neighbours", F.lit(0))
+    return out.select(
+        "pid", "date", F.get("window", F.lit(0))["pm10"].alias("first_pm10"), F.size("neighbours").cast("bigint").alias("n_neighbours"),
+        F.aggregate("neighbours", F.lit(0), lambda a, n: a + n["mask"]).cast("bigint").alias("n_known"), F.get(first["window"], F.lit(0))["pm10"].alias("nearest_first"),
+    )
+
+
 # --- jobs ---------------------------------------------------------------------------------------------------------
 STATIC = f"""WITH {NEAREST}, {BUFFERS.replace('{cells}', '{landuse}')}, f AS (SELECT p.pid, {FRACTIONS} FROM {{points}} p LEFT JOIN b USING (pid) GROUP BY p.pid),
 k AS (SELECT pid, sum(v * (1 - (d / 1500) * (d / 1500))) / nullif(sum(1 - (d / 1500) * (d / 1500)), 0) AS e FROM (SELECT p.pid, e.emission AS v, sqrt(pow(p.x - e.x, 2) + pow(p.y - e.y, 2)) AS d FROM {{points}} p, {{emitters}} e) WHERE d <= 1500 GROUP BY pid)
