@@ -27,9 +27,11 @@ from .components import connected_components
 #: Frequent shingles that the order puts last, at most; 16 bytes each are broadcast.
 FREQUENT = 1 << 18
 #: Shingles that a task counts at a time, and the count there from which it reports a shingle.
-CHUNK, REPORTED = 4_000_000, 4
+CHUNK, REPORTED = 2_000_000, 3
 #: A document's longest prefix lengthening, and the summed frequency in its prefix at which lengthening begins.
 LONGEST, COSTLY = 8, 64
+#: Bits of a set's parity sketch, and words that a task keeps hashes of.
+PARITY, KEPT = 512, 300_000
 #: Representatives whose texts are found by broadcasting their keys (8 bytes each); beyond, by shuffle.
 BROADCAST_KEYS = 2_000_000
 
@@ -48,7 +50,7 @@ def shingles(raw: bytes, n: int, hashes: WordHashes) -> np.ndarray:
     words = blank_words(raw)
     if not words:
         return np.zeros(0, np.uint64)
-    if len(hashes) > 600_000:
+    if len(hashes) > KEPT:
         hashes.clear()
     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     k = min(n, len(w))
@@ -66,12 +68,17 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _least_overlap(x, y, percent: int):
-    """The intersection that sets of sizes x and y need: 100 i >= percent (x + y - i)."""
-    return (percent * (x + y) + 99 + percent) // (100 + percent)
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY bits, each telling whether an odd number of the set falls there: eight whole numbers.
+
+    Two sketches differ in no more bits than their sets in elements.
+    """
+    odd = np.bincount((s >> np.uint64(7) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _least_overlap_col(x: Column, y: Column, percent: int) -> Column:
+    """The intersection that sets of sizes x and y need: 100 i >= percent (x + y - i)."""
     return F.ceil((F.lit(percent) * (x + y)) / F.lit(100.0 + percent)).cast("int")
 
 
@@ -132,7 +139,7 @@ def prefix_of(s: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarra
 
 
 def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: doc_id, text_key, n, sid, more, prefix."""
+    """Per row: doc_id, text_key, n, sid, more, prefix, parity."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n, text_col))
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -140,7 +147,7 @@ def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, ids, mores, prefixes = [], [], [], []
+            sizes, ids, mores, prefixes, sketches = [], [], [], [], []
             for raw in raw_texts(batch):
                 s = shingles(raw, n, hashes)
                 prefix, more = prefix_of(s, percent, frequent.value) if len(s) else (s, 0)
@@ -148,6 +155,7 @@ def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
                 ids.append(set_id(s))
                 mores.append(more)
                 prefixes.append(prefix)
+                sketches.append(parity(s))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -158,8 +166,9 @@ def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
                     pa.array(ids, pa.int64()),
                     pa.array(mores, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    pa.array(sketches, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_key", "n", "sid", "more", "prefix"],
+                names=["doc_id", "text_key", "n", "sid", "more", "prefix", "parity"],
             )
 
     out = struct(
@@ -169,6 +178,7 @@ def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
         ("sid", T.LongType()),
         ("more", T.IntegerType()),
         ("prefix", T.ArrayType(T.LongType())),
+        ("parity", T.ArrayType(T.LongType())),
     )
     return map_batches(rows, run, out)
 
@@ -234,7 +244,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
 
 
 def link_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets (sid, n, more, prefix, text_key, first_doc), and (node, root) for those that are linked."""
+    """Classes of equal sets (sid, n, more, prefix, parity, text_key, first_doc), and (node, root) for those that are linked."""
     classes = materialise(
         sets.filter(F.col("n") > 0)
         .groupBy("sid", "n")
@@ -242,6 +252,7 @@ def link_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, text_co
             F.min("doc_id").alias("first_doc"),
             F.first("more").alias("more"),
             F.first("prefix").alias("prefix"),
+            F.first("parity").alias("parity"),
             F.min("text_key").alias("text_key"),
         )
     )
@@ -275,25 +286,29 @@ def link_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, text_co
     still = materialise(open_tokens(rooted(live.drop("leader"))))
     one = F.struct(F.xxhash64("sid", "token").alias("k"), "sid", "n", "pos", "root")
     second = still.groupBy("token").agg(F.min(one).alias("leader"))
-    links = links.union(
-        _verified(to_leader(still.join(second, "token").filter(F.col("root") != F.col("leader.root"))), classes, docs, n, percent, text_col)
-    )
-    roots = materialise(connected_components(links))
+    more = _verified(to_leader(still.join(second, "token").filter(F.col("root") != F.col("leader.root"))), classes, docs, n, percent, text_col)
+    if not more.isEmpty():
+        links = links.union(more)
+        roots = materialise(connected_components(links))
 
-    # the rest, pair by pair
-    rest = open_tokens(rooted(still.drop("root")))
-    rest = materialise(rest)
+    # the rest, pair by pair, unless the sketches already differ in more bits than linked sets in elements
+    rest = materialise(open_tokens(rooted(still.drop("root"))).join(classes.select("sid", "parity"), "sid"))
     x, y = rest.alias("x"), rest.alias("y")
+    nx, ny = F.col("x.n"), F.col("y.n")
+    apart = sum((F.bit_count(F.get("x.parity", F.lit(i)).bitwiseXOR(F.get("y.parity", F.lit(i)))) for i in range(1, PARITY // 64)), F.bit_count(F.get("x.parity", F.lit(0)).bitwiseXOR(F.get("y.parity", F.lit(0)))))
     pairs = x.join(
         y,
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.sid") < F.col("y.sid"))
         & (F.col("x.root") != F.col("y.root"))
-        & near(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")),
+        & near(nx, F.col("x.pos"), ny, F.col("y.pos"))
+        & (apart <= nx + ny - 2 * _least_overlap_col(nx, ny, percent)),
     )
     pairs = pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    links = links.union(_verified(pairs, classes, docs, n, percent, text_col))
-    return classes, materialise(connected_components(links))
+    more = _verified(pairs, classes, docs, n, percent, text_col)
+    if not more.isEmpty():
+        roots = materialise(connected_components(links.union(more)))
+    return classes, roots
 
 
 def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
