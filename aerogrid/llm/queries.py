@@ -29,7 +29,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_repeats(table(spark, sf_dir, "documents"))
+    """A row for each repeated span; documents without any have none."""
+    found = find_repeats(table(spark, sf_dir, "documents")).select("doc_id", F.explode("spans").alias("span"))
+    return found.select("doc_id", "span.begin", "span.end", (F.col("span.end") - F.col("span.begin")).alias("n_words"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
