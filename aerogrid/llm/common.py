@@ -33,18 +33,27 @@ def blank_words(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    """The UTF-8 bytes of a string column; null counts as empty."""
+def raw_texts(batch: pa.RecordBatch, name: str = "text", step: int = 256) -> Iterator[bytes]:
+    """The UTF-8 bytes of a string column, a few rows at a time; null counts as empty."""
     col = batch.column(batch.schema.get_field_index(name))
     kind = pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()
-    return [x or b"" for x in col.cast(kind).to_pylist()]
+    for i in range(0, len(col), step):
+        for raw in col.slice(i, step).cast(kind).to_pylist():
+            yield raw or b""
 
 
 def map_batches(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType
 ) -> DataFrame:
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:  # workers are used again, and Arrow would keep what it has freed
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def struct(*fields: tuple[str, T.DataType]) -> T.StructType:

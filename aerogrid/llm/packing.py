@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from .bpe import PieceCoder, coder
 from .common import map_batches, materialise, raw_texts, struct, text_input
 
-KEPT = 600_000
+#: Words and pre-tokens whose ids a worker keeps before it starts afresh; this bounds its memory, not its results.
+KEPT, KEPT_PIECES = 400_000, 150_000
 #: Control characters at which Python splits words and tokenizers don't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -57,7 +58,7 @@ class WordIds(dict):
     def trim(self) -> None:
         if len(self) > KEPT:
             self.clear()
-        if len(self.pieces) > KEPT:
+        if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
 
 
