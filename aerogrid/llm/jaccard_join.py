@@ -222,6 +222,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     texts = map_batches(found, once, struct(("sid", T.LongType()), ("text", T.StringType()))).groupBy("sid").agg(F.first("text").alias("text"))
+    texts = materialise(texts)  # the joins then read plain tables, and a leader's many pairs can be split over tasks
     joined = (
         close.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
