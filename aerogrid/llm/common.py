@@ -42,10 +42,18 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text", step: int = 256) -> Ite
             yield raw or b""
 
 
+#: Rows of an Arrow batch, at most: texts are long, and whole batches stand in memory outside the heap.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType
 ) -> DataFrame:
+    """df.mapInArrow, with the package shipped and batches kept small (a setting of the session, lowered if need be)."""
     ship_package(df.sparkSession)
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_CONF, "10000")) > BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
