@@ -4,7 +4,7 @@ Of all suffixes of all texts only those are kept that begin at a minimiser: the
 among the k-grams of some window of min_words words. Equal windows choose equal minimisers, so a passage of that
 length which two documents share has a kept suffix in both, with as many words before it in either. Suffixes whose first
 k-gram occurs in one document alone are put aside; the others are sorted, neighbours compared to the right, and the
-matches extended to the left.
+matches extended to the left. Where very many suffixes have one first k-gram, their windows are counted by hash instead.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .common import blank_words, map_batches, materialise, raw_texts, struct, text_input
 
 MIN_WORDS, GRAM = 50, 8
-#: Suffixes of one k-gram, with different words around it, beyond which its sorting is split by those words.
+#: Suffixes of one k-gram, with different words around it, beyond which their windows are counted instead of sorted.
 HOT = 20_000
 #: Bits of the filter of repeated k-grams: 16 for each, within these bounds (at most 32 MB are broadcast).
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
@@ -169,16 +169,15 @@ def shared_windows(pdf: pd.DataFrame, min_words: int, gram: int) -> np.ndarray:
     right = np.frombuffer(b"".join(pdf["right"]), np.uint32).reshape(n, min_words)
     left = np.frombuffer(b"".join(pdf["left"]), np.uint32).reshape(n, reach)
     low, high = pdf["low"].to_numpy(), pdf["high"].to_numpy()
-    block, u0, u1 = pdf["block"].to_numpy(), pdf["u0"].to_numpy(), pdf["u1"].to_numpy()
+    u0, u1 = pdf["u0"].to_numpy(), pdf["u1"].to_numpy()
     same = right[1:] == right[:-1]
     common = np.where(same.all(axis=1), min_words, same.argmin(axis=1)) * (part[1:] == part[:-1])
     bits, leftwards = np.zeros(n, np.int64), np.zeros(n, np.uint64)
-    step = reach // 4 + 1
     for j in range(reach + 1):
         if j:
             leftwards = _mix(leftwards + np.uint64(1), left[:, j - 1])
         run = np.concatenate([[0], np.cumsum(common < min_words - j)])
-        valid = np.flatnonzero((low <= j) & (j <= high) & ((block < 0) | (block == j // step)))
+        valid = np.flatnonzero((low <= j) & (j <= high))
         if not len(valid):
             continue
         order = valid[np.lexsort((leftwards[valid], run[valid]))]
@@ -190,6 +189,24 @@ def shared_windows(pdf: pd.DataFrame, min_words: int, gram: int) -> np.ndarray:
     return bits
 
 
+def counted_windows(contexts: DataFrame, min_words: int, hot: int) -> DataFrame:
+    """context and bits as of shared_windows, for contexts of any number: each window is a row, and equal ones are counted.
+
+    Windows are compared within their k-gram and offset by 64-bit hashes. A window that more than `hot` contexts hold is looked
+    up in a broadcast (there are at most as many of them as windows / hot), so that no task gets all its holders.
+    """
+    key = ["gram", "j", "window"]
+    each = contexts.withColumn("j", F.explode(F.sequence("low", "high")))
+    window = F.xxhash64(F.expr(f"substring(right, 1, 4 * ({min_words} - j))"), F.expr("substring(left, 1, 4 * j)"))
+    windows = each.select("context", "u0", "u1", "gram", "j", window.alias("window"))
+    held = windows.groupBy(*key).agg(F.min("u0").alias("u0"), F.max("u1").alias("u1"), F.count(F.lit(1)).alias("n"))
+    held = materialise(held.filter("u0 <> u1").select(*key, "n"))
+    windows, by_many = windows.select("context", *key), F.broadcast(held.filter(F.col("n") > hot).select(*key))
+    hits = windows.join(by_many, key, "left_semi")
+    hits = hits.unionByName(windows.join(by_many, key, "left_anti").join(held.filter(F.col("n") <= hot).select(*key), key, "left_semi"))
+    return hits.groupBy("context").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
+
+
 def find_repeats(
     docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -214,19 +231,9 @@ def find_repeats(
         *[F.first(c).alias(c) for c in ("gram", "low", "high", "right", "left")],
     )
     contexts = materialise(contexts)
-    crowded = contexts.groupBy("gram").count().filter(F.col("count") > hot).select("gram", F.lit(True).alias("crowded"))
-    step = reach // 4 + 1
-    dealt = contexts.join(crowded, "gram", "left").withColumn(
-        "block", F.explode(F.when(F.col("crowded"), F.array(*map(F.lit, range(4)))).otherwise(F.array(F.lit(-1))))
-    )
-    # a crowded k-gram is dealt by the words that all windows of a block of offsets have in common
-    by_words = F.lit(None).cast("long")
-    for b in range(4):
-        some_left = F.substring("left", 1, 4 * b * step)
-        some_right = F.substring("right", 1, 4 * (min_words - min(reach, (b + 1) * step - 1)))
-        by_words = F.when(F.col("block") == b, F.xxhash64("gram", "block", some_left, some_right)).otherwise(by_words)
-    dealt = dealt.withColumn("part", F.coalesce(by_words, F.col("gram")))
-    dealt = dealt.select("part", "block", "context", "u0", "u1", "low", "high", "right", "left")
+    crowded = materialise(contexts.groupBy("gram").count().filter(F.col("count") > hot).select("gram"))  # at most contexts / hot
+    few = contexts.join(F.broadcast(crowded), "gram", "left_anti").withColumnRenamed("gram", "part")
+    dealt = few.select("part", "context", "u0", "u1", "low", "high", "right", "left")
     sorted_ = dealt.repartition(F.col("part")).sortWithinPartitions("part", "right")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +255,8 @@ def find_repeats(
             yield found(waiting)
 
     shared = map_batches(sorted_, compare, struct(("context", T.LongType()), ("bits", T.LongType())))
-    shared = shared.groupBy("context").agg(F.bit_or("bits").alias("bits"))
+    if not crowded.isEmpty():
+        shared = shared.unionByName(counted_windows(contexts.join(F.broadcast(crowded), "gram", "left_semi"), min_words, hot))
     hits = each.select("row_id", "context", "places").join(shared, "context")
     hits = hits.groupBy("row_id").agg(F.collect_list(F.struct("places", "bits")).alias("hits"))
     joined = rows.select("row_id", "doc_id", "n_words").join(hits, "row_id", "left").select("doc_id", "n_words", "hits")
