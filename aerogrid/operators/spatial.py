@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import direction_features, in_ring, planar_m, segment_m
 
-#: Sources that an unbounded kernel may broadcast (24 bytes each); more need truncate=True.
+#: Rows that are broadcast where each point meets all of them (24 to 40 bytes each); more are met by pairs of partitions.
 BROADCAST_SOURCES = 500_000
+#: Stations of which each is compared with all others at once, without cells.
+FEW_STATIONS = 2_000
 
 
 def cell_of(x, y, size: float) -> Column:
@@ -48,12 +50,20 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, keep
     return joined.drop("cell", "_cell", "ring", "xmin", "xmax", "ymin", "ymax")
 
 
+def _with_all(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
+    """Each row of left with each of the n rows of right, whatever their number."""
+    if n <= BROADCAST_SOURCES:
+        return left.crossJoin(F.broadcast(right))
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BROADCAST_SOURCES))
+    return left.crossJoin(right.repartition(parts).hint("shuffle_replicate_nl"))
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, key: str, segment_id: str, size: float, rings: int = 64) -> DataFrame:
     """Each point with its nearest segment and the distance; ties go to the smaller segment id.
 
     Segments are laid out over coarse cells. A point looks at the cells around it, in a square that doubles until it
-    holds a segment no farther than the square reaches; points that `rings` cells don't settle look at all coarse
-    cells that hold segments, nearest by distance to the cell. points: key, x, y; segments: segment_id, x1, y1, x2, y2.
+    holds a segment no farther than the square reaches; points that `rings` cells don't settle are compared with all
+    segments. points: key, x, y; segments: segment_id, x1, y1, x2, y2.
     """
     s = cover_box(
         segments.select(segment_id, "x1", "y1", "x2", "y2"),
@@ -64,9 +74,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: str, segment_id
     while True:
         last = reach > rings
         if last:
-            found = open_.crossJoin(F.broadcast(segments.select(segment_id, "x1", "y1", "x2", "y2"))) if segments.count() <= BROADCAST_SOURCES else None
-            if found is None:
-                raise ValueError("points farther from every segment than the search reaches: use a larger size or rings")
+            found = _with_all(open_, segments.select(segment_id, "x1", "y1", "x2", "y2"), segments.count())
         else:
             looked = cover_box(open_, F.col("x") - reach * size, F.col("y") - reach * size, F.col("x") + reach * size, F.col("y") + reach * size, size)
             found = looked.join(s, "cell")
@@ -84,12 +92,34 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: str, segment_id
 
 
 def nearest_neighbours(stations: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """Each station's k nearest others with rank and distance; for station lists that fit a broadcast."""
+    """Each station's k nearest others with rank and distance; ties go to the smaller neighbour, unknown distances are last.
+
+    Stations look at the cells around them, of about k stations at first; the cells widen for those with fewer than k others
+    as near as the cells reach. Stations that this doesn't settle are compared with all others.
+    """
     a = stations.select(F.col(key), "x", "y")
     b = stations.select(F.col(key).alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    pairs = a.join(F.broadcast(b), F.col(key) != F.col("neighbour")).withColumn("distance", planar_m("x", "y", "nx", "ny"))
-    w = Window.partitionBy(key).orderBy("distance", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("distance"), "neighbour")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.filter(F.col(key) != F.col("neighbour"))
+        return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    n, best = stations.count(), None
+    wide = [] if n <= FEW_STATIONS else [hi - lo for lo, hi in stations.approxQuantile(["x", "y"], [0.05, 0.95], 0.01)]
+    size = max(max(wide, default=0.0) * (k / max(n, 1)) ** 0.5, 0.0)
+    for reach in (size * 4**i for i in range(4) if size > 0):
+        looked = cover_box(a, F.col("x") - reach, F.col("y") - reach, F.col("x") + reach, F.col("y") + reach, reach)
+        near = looked.join(b.withColumn("cell", cell_of("nx", "ny", reach)), "cell").drop("cell").withColumn("distance", planar_m("x", "y", "nx", "ny"))
+        got = ranked(near.filter(F.col("distance") <= 0.999 * reach))  # all that are as near, whatever the rounding
+        settled = got.filter(F.col("rank") == k).select(key)
+        got = got.join(settled, key, "left_semi")
+        best = got if best is None else best.unionByName(got)
+        a = a.join(settled, key, "left_anti")
+        if a.isEmpty():
+            return best
+    rest = ranked(_with_all(a, b, n).withColumn("distance", planar_m("x", "y", "nx", "ny")))
+    return rest if best is None else best.unionByName(rest)
 
 
 def neighbour_features(pairs: DataFrame) -> DataFrame:
@@ -118,7 +148,7 @@ def kernel_sources(
     """key and the kernel-weighted mean of the sources around each point.
 
     With truncate, and for kernels that end at bw, sources within bw count, found by cells of that size. Otherwise all
-    sources count where at least one is within bw, and they are broadcast, up to a number. Points without a source, outside
+    sources count where at least one is within bw: broadcast, or by pairs of partitions if they are many. Points without a source, outside
     the clip polygons, or with weights that sum to 0, get `empty`.
     """
     if value not in sources.columns:
@@ -133,10 +163,7 @@ def kernel_sources(
         looked = cover_box(used, F.col("x") - bw, F.col("y") - bw, F.col("x") + bw, F.col("y") + bw, bw)
         pairs = looked.join(s.withColumn("cell", cell_of("sx", "sy", bw)), "cell").withColumn("d", planar_m("x", "y", "sx", "sy")).filter(F.col("d") <= bw)
     else:
-        n = sources.count()
-        if n > BROADCAST_SOURCES:
-            raise ValueError(f"{n} sources under a kernel without end: set truncate=True")
-        pairs = used.crossJoin(F.broadcast(s)).withColumn("d", planar_m("x", "y", "sx", "sy"))
+        pairs = _with_all(used, s, sources.count()).withColumn("d", planar_m("x", "y", "sx", "sy"))
     pairs = pairs.withColumn("w", kernel(name, F.col("d"), bw) * F.col("xw"))
     sums = pairs.groupBy(key).agg(
         F.sum(F.col("e") * F.col("w")).alias("ew"), F.sum(F.when(F.col("e").isNotNull(), F.col("w"))).alias("w"), F.min("d").alias("least")
