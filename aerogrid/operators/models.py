@@ -63,7 +63,8 @@ def normalise_by_train(df: DataFrame, cols: Sequence[str], split: str = "split")
 def impute_forest(df: DataFrame, cols: Sequence[str], key: str, trees: int = 50, rounds: int = 2, donors: int = 0, seed: int = 2025) -> DataFrame:
     """Nulls of each column predicted by a forest on the others, in turn, starting from medians.
 
-    With donors, a null takes the value known at one of that many nearest predictions (by a hash of the key).
+    With donors, a null takes the value known at one of that many nearest predictions (by a hash of the key); between predictions
+    as near, the smaller key counts as nearer.
     """
     known = {c: f"_known_{c}" for c in cols}
     medians = df.agg(*[F.median(c).alias(c) for c in cols])
@@ -77,17 +78,57 @@ def impute_forest(df: DataFrame, cols: Sequence[str], key: str, trees: int = 50,
             model = Pipeline(stages=[VectorAssembler(inputCols=others, outputCol="_x"), forest]).fit(out.filter(known[c]))
             out = model.transform(out)
             if donors:
-                out = _nearest_donors(out, c, known[c], key, donors)
+                out = _cut(_nearest_donors(_cut(out), c, known[c], key, donors))
             out = out.withColumn(c, F.when(F.col(known[c]), F.col(c)).otherwise(F.col("_p"))).drop("_x", "_p")
     return out.drop(*known.values())
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df computed once, without its plan, which would grow with each column; in the checkpoint folder where one is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def _nearest_donors(df: DataFrame, col: str, known: str, key: str, k: int) -> DataFrame:
-    """_p replaced by the known value at one of the k predictions next below, in bins of the prediction."""
-    w = Window.partitionBy(F.floor(F.col("_p") * 4)).orderBy("_p", key)
-    values = F.collect_list(F.when(F.col(known), F.col(col))).over(w.rowsBetween(-64, 64))
-    chosen = F.get(F.slice(values, 1, k), F.pmod(F.xxhash64(key), F.greatest(F.least(F.size(values), F.lit(k)), F.lit(1))).cast("int"))
-    return df.withColumn("_p", F.coalesce(chosen, F.col("_p")))
+    """_p of the unknown rows replaced by the known value at one of the k nearest predictions.
+
+    Predictions are dealt to ranges. Each range also gets the k known ones next below and above it, so that the k on either
+    side of any prediction lie in its range; of a prediction that many known rows share, k are enough.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = Window.partitionBy("_p").orderBy("_donor")
+    held = df.filter(known).select("_p", F.col(key).alias("_donor"), F.col(col).alias("_value"))
+    held = held.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k).drop("_n")
+    asked = df.filter(~F.col(known)).select("_p").distinct()
+    cuts = sorted(set(asked.approxQuantile("_p", [i / parts for i in range(1, parts)], 0.2 / parts)))
+    range_of = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("_p"))) if cuts else F.lit(0)
+    held, asked = _cut(held.withColumn("_range", range_of)), asked.withColumn("_range", range_of)
+
+    def ends(order) -> list:
+        w = Window.partitionBy("_range").orderBy(order, "_donor")
+        rows = held.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n").collect()  # k for each range
+        return sorted(sorted(rows, key=lambda r: r["_donor"]), key=lambda r: r["_p"])
+
+    handed, low, high = [], ends(F.asc("_p")), ends(F.desc("_p"))
+    for i in range(len(cuts) + 1):
+        below = sorted((r for r in high if r["_range"] < i), key=lambda r: -r["_p"])[:k]
+        above = [r for r in low if r["_range"] > i][:k]
+        handed += [(r["_p"], r["_donor"], r["_value"], i) for r in below + above]
+    held = held.unionByName(spark.createDataFrame(handed, held.schema))
+    # places in the order of the predictions; a donor's place counts from the side on which it is looked for
+    up, down = Window.partitionBy("_range").orderBy("_p", "_donor"), Window.partitionBy("_range").orderBy(F.asc("_p"), F.desc("_donor"))
+    placed = held.withColumns({"_up": F.row_number().over(up), "_down": F.row_number().over(down)})
+    both = held.select("_range", "_p", F.lit(1).alias("_one")).unionByName(asked.select("_range", "_p", F.lit(0).alias("_one")))
+    before = Window.partitionBy("_range").orderBy("_p", "_one").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = both.withColumn("_less", F.sum("_one").over(before)).filter("_one = 0").select("_range", F.col("_p").alias("_q"), "_less")
+    above = at.withColumn("_up", F.explode(F.sequence(F.col("_less") + 1, F.col("_less") + k))).join(placed.drop("_down"), ["_range", "_up"])
+    below = at.withColumn("_down", F.explode(F.sequence(F.col("_less") - (k - 1), F.col("_less")))).join(placed.drop("_up"), ["_range", "_down"])
+    found = above.drop("_up").unionByName(below.drop("_down"))
+    near = F.struct(F.abs(F.col("_p") - F.col("_q")).alias("_far"), "_donor", "_value")
+    found = found.groupBy("_q").agg(F.slice(F.sort_array(F.collect_list(near)), 1, k).alias("_near"))
+    out = df.join(found, (F.col("_p") == F.col("_q")) & ~F.col(known), "left")
+    chosen = F.get("_near", F.pmod(F.xxhash64(key), F.size("_near")).cast("int"))["_value"]
+    return out.withColumn("_p", F.coalesce(chosen, F.col("_p"))).drop("_q", "_near")
 
 
 def boosted_trees(label: str, **params) -> GBTRegressor:
