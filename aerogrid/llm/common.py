@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,14 +48,22 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text", step: int = 256) -> Ite
 BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of BATCH_ROWS rows at most for what runs inside; the session's own setting is put back."""
+    found = spark.conf.get(BATCH_CONF, "10000")
+    spark.conf.set(BATCH_CONF, str(min(BATCH_ROWS, int(found)) if int(found) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, found)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType
 ) -> DataFrame:
-    """df.mapInArrow, with the package shipped and batches kept small (a setting of the session, lowered if need be)."""
+    """df.mapInArrow, with the package shipped. Of long texts, have it run inside small_batches, as materialise does."""
     ship_package(df.sparkSession)
-    conf = df.sparkSession.conf
-    if int(conf.get(BATCH_CONF, "10000")) > BATCH_ROWS:
-        conf.set(BATCH_CONF, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -69,23 +79,48 @@ def struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The shared folder named in spark.checkpoint.dir. Only a local master may do without: it gets a temporary one."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="aerogrid-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _path(spark: SparkSession, name: str):
+    """A Hadoop path and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs nothing that was finished, and later
-    steps don't repeat the passes over the texts.
+    steps don't repeat the passes over the texts. Tables go when the application ends, or by discard().
     """
-    path = f"{scratch_dir(df.sparkSession)}/aerogrid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    root = f"{scratch_dir(spark)}/aerogrid-{spark.sparkContext.applicationId}"
+    path, files = _path(spark, root)
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    name = f"{root}/{uuid.uuid4().hex}"
+    with small_batches(spark):
+        df.write.parquet(name)
+    out = spark.read.schema(df.schema).parquet(name)
+    out.scratch_table = name
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        if name := getattr(df, "scratch_table", None):
+            path, files = _path(df.sparkSession, name)
+            files.delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
-def _around(edges: DataFrame) -> DataFrame:
-    """Every node with each neighbour and the smallest of its neighbours."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u")
+def _with_least(links: DataFrame, key: str, other: str) -> DataFrame:
+    """links with m, the smallest `other` of each `key`.
+
+    The smallest is found by partial aggregation; in the join a node of very many links is one row on the
+    other side, so adaptive execution may split its links over tasks.
+    """
+    return links.join(links.groupBy(key).agg(F.min(other).alias("m")), key)
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,15 +33,16 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = materialise(edges.select("u", "v"))
     before = _state(edges)
     while before[0]:
-        near = _around(edges)
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = _with_least(both, "u", "v")
         large = near.filter(F.col("v") > F.col("u")).select(F.col("v"), F.least("u", "m").alias("u"))
         large = large.filter(F.col("u") < F.col("v")).distinct()
         # u is the smaller end: for each larger node v, its smallest neighbour takes over the others
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        joined = large.join(least, "v")
+        joined = _with_least(large, "v", "u")
         small = joined.select("v", F.col("m").alias("u")).union(joined.select(F.col("u").alias("v"), F.col("m").alias("u")))
-        edges = materialise(small.filter(F.col("u") < F.col("v")).distinct().select("u", "v"))
-        after = _state(edges)
+        shrunk = materialise(small.filter(F.col("u") < F.col("v")).distinct().select("u", "v"))
+        discard(edges)
+        edges, after = shrunk, _state(shrunk)
         if after == before:
             break
         before = after
