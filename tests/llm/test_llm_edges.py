@@ -217,13 +217,15 @@ def test_quality(docs, none, spark):
     assert {(r["score"], r["predicted"]) for r in quality.score_quality(docs, blank).collect()} == {(0.5, 1)}
 
 
-def test_decontamination(docs, none, spark):
+def test_decontamination(docs, none, spark, monkeypatch):
     items = spark.createDataFrame([(1, "p0 p1 P2! p3 p4 p5 p6 p7 p8 p9 p10"), (2, "la la"), (3, None), (4, "!!"), (None, "three"), (2, "same text of some")], "item_id bigint, text string")
-    for block in (10, 10_000):
-        out = decontaminate(docs, items, block_chars=block)
+    for most in (0, 10_000_000):  # by shuffle, by broadcast
+        monkeypatch.setattr("aerogrid.llm.decontaminate.BROADCAST_BYTES", most)
+        out = decontaminate(docs, items)
         got = by_id(out)
         assert out.count() == 15 and (got[1]["n_words"], got[1]["n_hit"], got[1]["contaminated"]) == (0, 0, False)
         assert (got[7]["n_hit"], got[7]["n_items"]) == (12, 1) and (got[8]["n_hit"], got[11]["n_hit"], got[9]["n_hit"]) == (11, 12, 4)
+        assert [tuple(x) for x in got[11]["spans"]] == [(i, i + 2) for i in range(11)] and got[1]["spans"] == []
     assert decontaminate(none, items).count() == 0
     assert decontaminate(docs, items.limit(0)).filter("contaminated").count() == 0
 
