@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,6 +123,16 @@ def discard(*tables: DataFrame) -> None:
             files.delete(path, True)
 
 
+#: Bytes of a table up to which it is broadcast to a join; beyond, both sides are shuffled.
+BROADCAST_BYTES = 32_000_000
+
+
+def small(df: DataFrame, row_bytes: Column | None = None) -> DataFrame:
+    """df, for broadcast if it is small: 32 bytes a row and row_bytes."""
+    held = df.agg(F.sum(F.lit(32) if row_bytes is None else row_bytes + 32)).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,13 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_words, discard, map_batches, materialise, raw_texts, struct, text_input
+from .common import ascii_words, discard, map_batches, materialise, raw_texts, small, struct
 
 WINDOW, GRAM = 10, 5
 #: Bits of the filter of the benchmark's fingerprints: 16 for each, within these bounds (8 MB are broadcast at most).
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
-#: Bytes of a side up to which it is broadcast; beyond, both sides are shuffled.
-BROADCAST_BYTES = 32_000_000
 #: Words that a task keeps hashes of.
 KEPT = 600_000
 
@@ -118,12 +116,6 @@ def in_filter(hashes: np.ndarray, filled: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _small(df: DataFrame, row_bytes=None) -> DataFrame:
-    """df, for broadcast if it has few bytes: 32 a row and row_bytes (a column)."""
-    held = F.sum(F.lit(32) if row_bytes is None else row_bytes + 32)
-    return F.broadcast(df) if (df.agg(held).first()[0] or 0) <= BROADCAST_BYTES else df
-
-
 def _text_key(text) -> list:
     """Two 64-bit hashes that name a text; copies share them, and with them all that is found in the text."""
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("text"), text).alias("k2")]
@@ -205,7 +197,7 @@ def _windows(rows: DataFrame, window: int, gram: int) -> DataFrame:
 def _matched(printed: DataFrame, grams: DataFrame) -> DataFrame:
     """Keys and found (size, place): where the fingerprints of printed, a row for each text, are among grams (size, gram)."""
     each = printed.select(*KEY, F.explode("prints").alias("p")).select(*KEY, "p.size", "p.gram", "p.place")
-    met = each.join(_small(grams), ["size", "gram"], "left_semi")
+    met = each.join(small(grams), ["size", "gram"], "left_semi")
     return met.groupBy(*KEY).agg(F.collect_list(F.struct("size", "place")).alias("found"))
 
 
@@ -226,7 +218,7 @@ def decontaminate(
 
     Texts are read twice: for fingerprints, and (only those that met the benchmark) for windows. What is found
     belongs to a text, so copies of one are looked at once. A filter of at most 8 MB of the benchmark's fingerprints thins out those
-    of the documents before the join; tables are broadcast up to BROADCAST_BYTES and shuffled beyond.
+    of the documents before the join; tables are broadcast up to common.BROADCAST_BYTES and shuffled beyond.
     """
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
@@ -251,18 +243,18 @@ def decontaminate(
 
     printed = materialise(_printed(rows, ["doc_id", *KEY], sizes, window, gram, lambda h: in_filter(h, *filled.value)))
     met = materialise(_matched(printed.filter(F.size("prints") > 0).dropDuplicates(KEY), grams))
-    doc_windows = rows.select(*KEY, "text").join(_small(met, F.size("found") * 8), KEY)
+    doc_windows = rows.select(*KEY, "text").join(small(met, F.size("found") * 8), KEY)
     doc_windows = materialise(_windows(doc_windows, window, gram).distinct())
 
     # the benchmark's windows, only around fingerprints that documents have too
     used = printed.select(F.explode("prints").alias("p")).select("p.size", "p.gram").distinct()
-    used = materialise(used.join(_small(grams), ["size", "gram"], "left_semi"))
+    used = materialise(used.join(small(grams), ["size", "gram"], "left_semi"))
     item_windows = _windows(item_prints.select(*KEY, "text").join(_matched(item_prints, used), KEY), window, gram)
     owned = item_windows.select("size", "words", *KEY).distinct().join(items.select(*KEY, "item_id"), KEY)
     owned = owned.groupBy("size", "words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     owned = materialise(owned.withColumn("owners", F.xxhash64("items")))
 
-    near = _small(owned, F.octet_length("words") + F.octet_length(F.array_join("items", ",")))
+    near = small(owned, F.octet_length("words") + F.octet_length(F.array_join("items", ",")))
     hits = materialise(doc_windows.join(near, ["size", "words"]).select(*KEY, "size", "start", "items", "owners"))
     found = hits.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("spans"))
     covered = F.aggregate(
@@ -276,7 +268,7 @@ def decontaminate(
     discard(n_of, item_prints, grams, met, doc_windows, used, owned, hits)
 
     names = F.coalesce("names", F.array().cast("array<string>"))
-    out = printed.drop("prints").join(_small(result, F.octet_length(F.array_join("names", ",")) + F.size("spans") * 8), KEY, "left")
+    out = printed.drop("prints").join(small(result, F.octet_length(F.array_join("names", ",")) + F.size("spans") * 8), KEY, "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "doc_id",
