@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, raw_texts, struct, text_input
+from .common import map_batches, materialise, raw_texts, small_batches, struct, text_input
 
 BUCKETS = 1 << 15
 #: Documents of a language that a model is fitted on (about; they are chosen by a hash).
@@ -94,10 +94,21 @@ class Model(NamedTuple):
     allowed: np.ndarray  # script x language
 
 
+def candidates(model: Model, words: Words) -> np.ndarray:
+    """The languages that some word's script allows; all, if a word is of a script that no language is written in."""
+    rows = model.allowed[np.unique(words.scripts)]
+    return np.flatnonzero(rows.any(axis=0)) if rows.any(axis=1).all() else np.arange(len(model.languages))
+
+
 def word_scores(model: Model, words: Words) -> np.ndarray:
     """Words x languages, at most 0; a word of a script that no language is written in says nothing."""
-    sums = np.add.reduceat(model.table[words.buckets], words.begins, axis=0)
     allowed = model.allowed[words.scripts]
+    open_ = candidates(model, words)
+    if len(open_) < len(model.languages):
+        sums = np.full(allowed.shape, -np.inf)
+        sums[:, open_] = np.add.reduceat(model.table[:, open_][words.buckets], words.begins, axis=0)
+    else:
+        sums = np.add.reduceat(model.table[words.buckets], words.begins, axis=0)
     sums = np.where(allowed, sums, -np.inf)
     best = sums.max(axis=1, keepdims=True)
     known = np.isfinite(best)
@@ -184,7 +195,8 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
     counted = map_batches(chosen, count, struct(("lang", T.StringType()), ("bucket", T.IntegerType()), ("n", T.LongType())))
     table = np.full((BUCKETS + len(SCRIPT_NAMES), len(languages)), 0.0)
-    sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    with small_batches(training.sparkSession):
+        sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     numbers = {lang: i for i, lang in enumerate(languages)}
     table[sums["bucket"].to_numpy(), sums["lang"].map(numbers).to_numpy()] = sums["n"].to_numpy()
     grams, scripts = table[:BUCKETS], table[BUCKETS:]
@@ -199,7 +211,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     lang_pred is the language of the most letters on the best path; `und` with score 0 for texts that are null, empty
     or without letters, or if the model knows no language. A tie goes to the larger total, then to the
     smaller name. Repeated rows give a row each, null ids stay null, other columns are ignored. An empty
-    table gives no rows. One pass, no shuffle; the broadcast is BUCKETS numbers a language.
+    table gives no rows. One pass at once, no shuffle; the broadcast is BUCKETS numbers a language.
     """
     rows = text_input(docs, id_col, text_col)
     spread = docs.sparkSession.sparkContext.broadcast(model)
@@ -217,4 +229,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             )
 
     out = struct(("doc_id", rows.schema["doc_id"].dataType), ("lang_pred", T.StringType()), ("score", T.DoubleType()), ("spans", span))
-    return map_batches(rows, run, out)
+    return materialise(map_batches(rows, run, out))

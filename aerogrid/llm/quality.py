@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, raw_texts, struct, text_input
+from .common import map_batches, materialise, raw_texts, small_batches, struct, text_input
 
 FEATURES = (
     "log_words", "word_length", "distinct_words", "upper", "digits", "marks", "symbols", "bars", "exclamations",
@@ -171,30 +171,34 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def _featured(docs: DataFrame) -> DataFrame:
-    """label and features of the rows of (label, text)."""
+    """doc_id, h, label and features of the rows of (doc_id, h, label, text)."""
+    kinds = [docs.schema[c] for c in ("doc_id", "h")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(raw) for raw in raw_texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
+            of = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "h", "label")]
+            yield pa.RecordBatch.from_arrays([*of, pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "h", "label", "x"])
 
-    return map_batches(docs, run, struct(("label", T.IntegerType()), ("x", T.ArrayType(T.DoubleType()))))
+    return map_batches(docs, run, T.StructType([*kinds, *struct(("label", T.IntegerType()), ("x", T.ArrayType(T.DoubleType()))).fields]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = TRAIN_ROWS) -> Model:
     """A model of 0/1 labels from about max_rows labelled documents, chosen by a hash of the id.
 
-    Rows without a label or id are left out. The labels chosen are few enough to broadcast, and their documents'
+    Rows without a label or id are left out; an id that is labelled twice takes the larger label. Of an id that many rows
+    share, one text is fitted on (that of the smallest hash). The labels chosen are few enough to broadcast, and their documents'
     features (a hundred bytes each) to fit on the driver.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    known = known.select(F.col(id_col).alias("label_id"), (F.col(label_col) > 0).cast("int").alias("label"))
+    known = known.groupBy(F.col(id_col).alias("label_id")).agg((F.max(F.col(label_col)) > 0).cast("int").alias("label"))
     share = min(1.0, max_rows / max(1, known.count()))
     if share < 1:
         known = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("label", "text")
-    got = _featured(rows).collect()
+    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    with small_batches(docs.sparkSession):
+        got = _featured(rows.withColumn("h", F.xxhash64("text"))).groupBy("doc_id").agg(F.min_by(F.struct("x", "label"), "h").alias("r")).select("r.*").collect()
     got.sort(key=lambda r: (r["x"], r["label"]))  # the same model however the rows arrive
     x = np.array([r["x"] for r in got], float).reshape(len(got), len(FEATURES))
     return train(x, np.array([r["label"] for r in got], float))
@@ -204,7 +208,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     """Per row: doc_id, score (0 to 1), predicted (1 if score >= 0.5).
 
     Null texts are scored as empty ones. Repeated rows give a row each with the same score, null ids stay null,
-    other columns are ignored; an empty table gives no rows. One pass, no shuffle.
+    other columns are ignored; an empty table gives no rows. One pass at once, no shuffle.
     """
     rows = text_input(docs, id_col, text_col)
     spread = docs.sparkSession.sparkContext.broadcast(model)
@@ -218,4 +222,4 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
                 names=["doc_id", "score", "predicted"],
             )
 
-    return map_batches(rows, run, struct(("doc_id", rows.schema["doc_id"].dataType), ("score", T.DoubleType()), ("predicted", T.IntegerType())))
+    return materialise(map_batches(rows, run, struct(("doc_id", rows.schema["doc_id"].dataType), ("score", T.DoubleType()), ("predicted", T.IntegerType()))))
