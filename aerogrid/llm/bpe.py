@@ -63,6 +63,7 @@ class PieceCoder:
             raise ValueError(f"{path}: only byte-level BPE without a prefix space is supported")
         self.pattern = regex.compile(own[0] if own else BYTE_LEVEL_PATTERN)
         self.drops_space = bool(own)
+        self.normalises = said["normalizer"] is not None
         self.lowers = "Lowercase" in json.dumps(said["normalizer"])
         self.characters = byte_characters()
         self.vocabulary = said["model"]["vocab"]

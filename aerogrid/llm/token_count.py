@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import PieceCoder, coder
-from .common import map_batches, raw_texts, struct, text_input
+from .common import map_batches, materialise, raw_texts, struct, text_input
 
 #: Merged pre-tokens that a worker keeps before it starts afresh; this bounds its memory, not its results.
 KEPT = 600_000
@@ -57,9 +57,12 @@ def count_tokens(
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows give a row each; null ids stay null.
     Other columns of docs are ignored, whatever their names. An empty table gives no rows. Special
-    strings inside a text are handled as the library does by default: it gets such texts whole.
-    One pass over the texts, no shuffle; the broadcast holds at most the vocabulary's strings.
+    strings inside a text are handled as the library does by default: it gets such texts whole. Files that normalise texts
+    before they split them are refused, since a pre-token of the text as it stands then isn't one of the library's.
+    One pass over the texts at once, no shuffle; the broadcast holds at most the vocabulary's strings.
     """
+    if coder(tokenizer_path).normalises:
+        raise ValueError(f"{tokenizer_path}: a file with a normaliser isn't supported")
     rows = text_input(docs, id_col, text_col)
     spark = docs.sparkSession
     proven = spark.sparkContext.broadcast(whole_tokens(coder(tokenizer_path)))
@@ -88,8 +91,5 @@ def count_tokens(
             )
 
     kind = rows.schema["doc_id"].dataType
-    return map_batches(
-        rows,
-        count,
-        struct(("doc_id", kind), ("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())),
-    )
+    out = struct(("doc_id", kind), ("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType()))
+    return materialise(map_batches(rows, count, out))
