@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blank_words, map_batches, materialise, raw_texts, struct, text_input
+from .common import blank_words, discard, map_batches, materialise, raw_texts, small, struct, text_input
 
 MIN_WORDS, GRAM = 50, 8
-#: Suffixes of one k-gram, with different words around it, beyond which their windows are counted instead of sorted.
-HOT = 20_000
-#: Bits of the filter of repeated k-grams: 16 for each, within these bounds (at most 32 MB are broadcast).
+#: Suffixes of one k-gram, with different words around it, beyond which their windows are counted instead of sorted: half
+#: of a partition's on average, but at least so many.
+LEAST_HOT = 2_000
+#: Bits of the filter of repeated k-grams: 16 for each, within these bounds (at most 32 MB are broadcast). Beyond, a join drops the rest.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -81,8 +82,8 @@ def bloom_bits(hashes, n: int):
     return hashes.bitwiseAND(F.lit(n - 1)), F.shiftrightunsigned(hashes, 36).bitwiseAND(F.lit(n - 1))
 
 
-def repeated_grams(docs: DataFrame, min_words: int, gram: int) -> tuple[np.ndarray, int]:
-    """A Bloom filter (64-bit words, bits) of the minimiser k-grams that two or more documents hold."""
+def repeated_grams(docs: DataFrame, min_words: int, gram: int) -> tuple[DataFrame, np.ndarray, int]:
+    """The minimiser k-grams that two or more documents hold, and a Bloom filter of them (64-bit words, bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
@@ -93,15 +94,15 @@ def repeated_grams(docs: DataFrame, min_words: int, gram: int) -> tuple[np.ndarr
 
     grams = map_batches(docs.select("text"), run, struct(("gram", T.LongType())))
     repeated = materialise(grams.groupBy("gram").count().filter("count > 1").select("gram"))
-    n = LEAST_BITS
-    while n < min(MOST_BITS, 16 * repeated.count()):
+    n, wanted = LEAST_BITS, 16 * repeated.count()
+    while n < min(MOST_BITS, wanted):
         n *= 2
     bits = repeated.select(F.explode(F.array(*bloom_bits(F.col("gram"), n))).alias("bit"))
-    words = bits.select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
+    words = bits.select(F.shiftright("bit", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
+    got = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # n / 64 rows at most
     filled = np.zeros(n // 64, np.int64)
-    for row in words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
-        filled[row["word"]] = row["mask"]
-    return filled.view(np.uint64), n
+    filled[got["word"].to_numpy()] = got["mask"].to_numpy()
+    return repeated, filled.view(np.uint64), n
 
 
 def _in_filter(hashes: np.ndarray, filled: np.ndarray, n: int) -> np.ndarray:
@@ -126,9 +127,10 @@ _SUFFIX_ARROW = pa.list_(
 )
 
 
-def _suffixes(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """Per row: row_id, doc_id, n_words, and the kept suffixes with the words around them."""
-    spread = docs.sparkSession.sparkContext.broadcast(repeated_grams(docs, min_words, gram))
+def _suffixes(docs: DataFrame, min_words: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Per row: row_id, doc_id, n_words, and the kept suffixes with the words around them; and these suffixes as rows."""
+    repeated, filled_, bits_ = repeated_grams(docs, min_words, gram)
+    spread = docs.sparkSession.sparkContext.broadcast((filled_, bits_))
     reach = min_words - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +157,11 @@ def _suffixes(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(kept, _SUFFIX_ARROW)], names=["doc_id", "n_words", "suffixes"])
 
     out = struct(("doc_id", docs.schema["doc_id"].dataType), ("n_words", T.LongType()), ("suffixes", T.ArrayType(_SUFFIX)))
-    return materialise(map_batches(docs, run, out).withColumn("row_id", F.monotonically_increasing_id()))
+    rows = materialise(map_batches(docs, run, out).withColumn("row_id", F.monotonically_increasing_id()))
+    each = rows.select("row_id", F.explode("suffixes").alias("s")).select("row_id", "s.*")
+    if bits_ < 8 * repeated.count():  # the filter is too full to keep out most of the others
+        each = each.join(repeated, "gram", "left_semi")
+    return rows, each.withColumn("context", F.xxhash64("low", "high", "right", "left"))
 
 
 def shared_windows(pdf: pd.DataFrame, min_words: int, gram: int) -> np.ndarray:
@@ -190,7 +196,7 @@ def shared_windows(pdf: pd.DataFrame, min_words: int, gram: int) -> np.ndarray:
 
 
 def counted_windows(contexts: DataFrame, min_words: int, hot: int) -> DataFrame:
-    """context and bits as of shared_windows, for contexts of any number: each window is a row, and equal ones are counted.
+    """gram, context and bits as of shared_windows, for contexts of any number: each window is a row, and equal ones are counted.
 
     Windows are compared within their k-gram and offset by 64-bit hashes. A window that more than `hot` contexts hold is looked
     up in a broadcast (there are at most as many of them as windows / hot), so that no task gets all its holders.
@@ -204,11 +210,11 @@ def counted_windows(contexts: DataFrame, min_words: int, hot: int) -> DataFrame:
     windows, by_many = windows.select("context", *key), F.broadcast(held.filter(F.col("n") > hot).select(*key))
     hits = windows.join(by_many, key, "left_semi")
     hits = hits.unionByName(windows.join(by_many, key, "left_anti").join(held.filter(F.col("n") <= hot).select(*key), key, "left_semi"))
-    return hits.groupBy("context").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
+    return hits.groupBy("gram", "context").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
 
 
 def find_repeats(
-    docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_repeated, spans (begin, end: first word and word after).
 
@@ -217,20 +223,19 @@ def find_repeats(
     row alone don't count. Null, empty and shorter texts have no spans; repeated rows are repeats of each other; null ids
     stay null; other columns are ignored. An empty table gives no rows.
 
-    Words are compared by 32-bit codes, min_words of them at a time.
+    Words are compared by 32-bit codes, min_words of them at a time; suffixes are named by two 64-bit hashes. hot: suffixes of a
+    k-gram beyond which their windows are counted by hash; by default set from the number of suffixes and partitions.
     """
     if not 8 <= min_words - gram < 63:
         raise ValueError("min_words - gram must be from 8 to 62")
     reach = min_words - gram
-    rows = _suffixes(text_input(docs, id_col, text_col), min_words, gram)
-    each = rows.select("row_id", F.explode("suffixes").alias("s")).select("row_id", "s.*")
-    each = each.withColumn("context", F.xxhash64("gram", "low", "high", "right", "left"))
-    contexts = each.groupBy("context").agg(
-        F.min("row_id").alias("u0"),
-        F.max("row_id").alias("u1"),
-        *[F.first(c).alias(c) for c in ("gram", "low", "high", "right", "left")],
+    rows, each = _suffixes(text_input(docs, id_col, text_col), min_words, gram)
+    contexts = each.groupBy("gram", "context").agg(
+        F.min("row_id").alias("u0"), F.max("row_id").alias("u1"), *[F.first(c).alias(c) for c in ("low", "high", "right", "left")]
     )
     contexts = materialise(contexts)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = max(LEAST_HOT, contexts.count() // (2 * parts)) if hot is None else hot
     crowded = materialise(contexts.groupBy("gram").count().filter(F.col("count") > hot).select("gram"))  # at most contexts / hot
     few = contexts.join(F.broadcast(crowded), "gram", "left_anti").withColumnRenamed("gram", "part")
     dealt = few.select("part", "context", "u0", "u1", "low", "high", "right", "left")
@@ -240,7 +245,7 @@ def find_repeats(
         def found(pdf: pd.DataFrame) -> pa.RecordBatch:
             bits = shared_windows(pdf, min_words, gram)
             some = bits != 0
-            return pa.RecordBatch.from_arrays([pa.array(pdf["context"].to_numpy()[some]), pa.array(bits[some])], names=["context", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array(pdf["part"].to_numpy()[some]), pa.array(pdf["context"].to_numpy()[some]), pa.array(bits[some])], names=["gram", "context", "bits"])
 
         waiting = None
         for batch in batches:
@@ -254,12 +259,16 @@ def find_repeats(
         if waiting is not None and len(waiting):
             yield found(waiting)
 
-    shared = map_batches(sorted_, compare, struct(("context", T.LongType()), ("bits", T.LongType())))
+    shared = map_batches(sorted_, compare, struct(("gram", T.LongType()), ("context", T.LongType()), ("bits", T.LongType())))
     if not crowded.isEmpty():
         shared = shared.unionByName(counted_windows(contexts.join(F.broadcast(crowded), "gram", "left_semi"), min_words, hot))
-    hits = each.select("row_id", "context", "places").join(shared, "context")
-    hits = hits.groupBy("row_id").agg(F.collect_list(F.struct("places", "bits")).alias("hits"))
-    joined = rows.select("row_id", "doc_id", "n_words").join(hits, "row_id", "left").select("doc_id", "n_words", "hits")
+    shared = materialise(shared)
+    discard(contexts, crowded)
+    hits = each.select("row_id", "gram", "context", "places").join(small(shared), ["gram", "context"])
+    # dealt out evenly: laying out spans takes Python far longer than the few bytes of a partition suggest
+    even = max(parts, -(-rows.count() // 10_000))
+    hits = hits.select("row_id", "places", "bits").repartition(even, "row_id").groupBy("row_id").agg(F.collect_list(F.struct("places", "bits")).alias("hits"))
+    joined = rows.select("row_id", "doc_id", "n_words").repartition(even, "row_id").join(hits, "row_id", "left").select("doc_id", "n_words", "hits")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
