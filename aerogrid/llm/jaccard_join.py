@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blank_words, map_batches, materialise, raw_texts, struct
+from .common import blank_words, discard, map_batches, materialise, raw_texts, small, small_batches, struct
 from .components import connected_components
 
 #: Frequent shingles that the order puts last, at most; 16 bytes each are broadcast.
@@ -32,8 +32,6 @@ CHUNK, REPORTED = 2_000_000, 3
 LONGEST, COSTLY = 8, 64
 #: Bits of a set's parity sketch, and words that a task keeps hashes of.
 PARITY, KEPT = 512, 300_000
-#: Representatives whose texts are found by broadcasting their keys (8 bytes each); beyond, by shuffle.
-BROADCAST_KEYS = 2_000_000
 
 
 class WordHashes(dict):
@@ -63,9 +61,9 @@ def shingles(raw: bytes, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(h)
 
 
-def set_id(s: np.ndarray) -> int:
-    """A signed 64-bit hash of a whole set; it names the class of documents with that set."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def set_id(s: np.ndarray) -> bytes:
+    """A 128-bit hash of a whole set; it names the class of documents with that set."""
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -116,7 +114,8 @@ def frequent_shingles(docs: DataFrame, n: int, text_col: str) -> tuple[np.ndarra
     found = map_batches(
         docs.select(F.col(text_col).cast("string").alias("text")), count, struct(("token", T.LongType()), ("n", T.LongType()))
     )
-    top = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+    with small_batches(docs.sparkSession):
+        top = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
     tokens, counts = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(tokens)
     return tokens[order], counts[order]
@@ -163,7 +162,7 @@ def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
                     batch.column(0),
                     batch.column(1),
                     pa.array(sizes, pa.int32()),
-                    pa.array(ids, pa.int64()),
+                    pa.array(ids, pa.binary()),
                     pa.array(mores, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                     pa.array(sketches, pa.list_(pa.int64())),
@@ -175,7 +174,7 @@ def _sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
         ("doc_id", rows.schema["doc_id"].dataType),
         ("text_key", T.LongType()),
         ("n", T.IntegerType()),
-        ("sid", T.LongType()),
+        ("sid", T.BinaryType()),
         ("more", T.IntegerType()),
         ("prefix", T.ArrayType(T.LongType())),
         ("parity", T.ArrayType(T.LongType())),
@@ -202,9 +201,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
     close = materialise(close.filter(_enough("x", "y", percent)).select("a", "b"))
     wanted = close.select(F.col("a").alias("sid")).union(close.select(F.col("b").alias("sid"))).distinct()
     wanted = materialise(wanted.join(classes.select("sid", "text_key"), "sid"))
-    keys = wanted.select("sid", "text_key")
-    if wanted.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
+    keys = small(wanted.select("sid", "text_key"))
     text = F.col(text_col).cast("string")
     found = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(keys, "text_key").select("sid", "text")
 
@@ -221,7 +218,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
                 seen.clear()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    texts = map_batches(found, once, struct(("sid", T.LongType()), ("text", T.StringType()))).groupBy("sid").agg(F.first("text").alias("text"))
+    texts = map_batches(found, once, struct(("sid", T.BinaryType()), ("text", T.StringType()))).groupBy("sid").agg(F.first("text").alias("text"))
     texts = materialise(texts)  # the joins then read plain tables, and a leader's many pairs can be split over tasks
     joined = (
         close.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
@@ -241,15 +238,18 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return materialise(map_batches(joined, compare, struct(("a", T.LongType()), ("b", T.LongType()))))
+    out = materialise(map_batches(joined, compare, struct(("a", T.BinaryType()), ("b", T.BinaryType()))))
+    discard(close, wanted, texts)
+    return out
 
 
 def link_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets (sid, n, more, prefix, parity, text_key, first_doc), and (node, root) for those that are linked."""
     classes = materialise(
         sets.filter(F.col("n") > 0)
-        .groupBy("sid", "n")
+        .groupBy("sid")
         .agg(
+            F.first("n").alias("n"),
             F.min("doc_id").alias("first_doc"),
             F.first("more").alias("more"),
             F.first("prefix").alias("prefix"),
@@ -285,6 +285,7 @@ def link_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, text_co
 
     # second round: another leader for each shingle, for those in other components than it
     still = materialise(open_tokens(rooted(live.drop("leader"))))
+    discard(live)
     one = F.struct(F.xxhash64("sid", "token").alias("k"), "sid", "n", "pos", "root")
     second = still.groupBy("token").agg(F.min(one).alias("leader"))
     more = _verified(to_leader(still.join(second, "token").filter(F.col("root") != F.col("leader.root"))), classes, docs, n, percent, text_col)
@@ -294,6 +295,7 @@ def link_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, text_co
 
     # the rest, pair by pair, unless the sketches already differ in more bits than linked sets in elements
     rest = materialise(open_tokens(rooted(still.drop("root"))).join(classes.select("sid", "parity"), "sid"))
+    discard(still)
     x, y = rest.alias("x"), rest.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
     apart = sum((F.bit_count(F.get("x.parity", F.lit(i)).bitwiseXOR(F.get("y.parity", F.lit(i)))) for i in range(1, PARITY // 64)), F.bit_count(F.get("x.parity", F.lit(0)).bitwiseXOR(F.get("y.parity", F.lit(0)))))
@@ -307,6 +309,7 @@ def link_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, text_co
     )
     pairs = pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     more = _verified(pairs, classes, docs, n, percent, text_col)
+    discard(rest)
     if not more.isEmpty():
         roots = materialise(connected_components(links.union(more)))
     return classes, roots
@@ -321,7 +324,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     give a row each and are linked; rows with a null id count as documents, but a null is never the smallest id unless
     there is no other. Other columns are ignored. An empty table gives no rows.
 
-    Equal sets are one class from the start; classes are named by a 64-bit hash of the set and its size.
+    Equal sets are one class from the start; classes are named by a 128-bit hash of the set.
     """
     sets = materialise(_sets(docs, n, percent, id_col, text_col))
     classes, roots = link_classes(docs, sets, n, percent, text_col)
