@@ -12,6 +12,15 @@ def _w(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def _until_here(keys: Sequence[str], order: Sequence[str]) -> tuple:
+    """Frames of all rows up to this one, in the order and from its end.
+
+    A frame that reaches to the end of the partition would be gone through anew for each row; one from the start grows.
+    """
+    back = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return _w(keys, order).rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, 0)
+
+
 def centred_mean(df: DataFrame, keys, order, col: str, n: int, into: str) -> DataFrame:
     """Mean of n rows around each; null where the window isn't full. Nulls inside are passed over."""
     half = n // 2
@@ -29,9 +38,8 @@ def trailing_mean(df: DataFrame, keys, order, col: str, n: int, into: str) -> Da
 
 def fill_down_up(df: DataFrame, keys, order, cols: Sequence[str]) -> DataFrame:
     """Nulls take the last value before, else the first after."""
-    down = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    up = _w(keys, order).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(down), F.first(c, ignorenulls=True).over(up)) for c in cols})
+    down, up = _until_here(keys, order)
+    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(down), F.last(c, ignorenulls=True).over(up)) for c in cols})
 
 
 def complete_series(df: DataFrame, keys: Sequence[str], time: str, step: str = "INTERVAL 1 DAY") -> DataFrame:
@@ -46,14 +54,13 @@ def interpolate_linear(df: DataFrame, keys, time: str, cols: Sequence[str]) -> D
 
     A series with fewer than two known values is filled down and up.
     """
-    down = _w(keys, [time]).rowsBetween(Window.unboundedPreceding, 0)
-    up = _w(keys, [time]).rowsBetween(0, Window.unboundedFollowing)
+    down, up = _until_here(keys, [time])
     t = F.unix_timestamp(F.col(time).cast("timestamp"))
     out = df
     for c in cols:
         at = F.when(F.col(c).isNotNull(), t)
         v0, t0 = F.last(c, ignorenulls=True).over(down), F.last(at, ignorenulls=True).over(down)
-        v1, t1 = F.first(c, ignorenulls=True).over(up), F.first(at, ignorenulls=True).over(up)
+        v1, t1 = F.last(c, ignorenulls=True).over(up), F.last(at, ignorenulls=True).over(up)
         between = v0 + (v1 - v0) * (t - t0) / (t1 - t0)
         out = out.withColumn(c, F.coalesce(F.col(c), F.when(t1 > t0, between), v0, v1))
     return out
@@ -90,10 +97,50 @@ def upper_fence(col: str, k: float) -> Column:
     return q[1] + F.lit(k) * (q[1] - q[0])
 
 
+#: Values that one look at a quantile collects at most, and bins of a count.
+COLLECTED, BINS = 100_000, 10_000
+
+
+def exact_quantile(df: DataFrame, col: str, share: float) -> float | None:
+    """The interpolated quantile of a whole column, without all values in one task.
+
+    Values are counted in bins, then those of the bin (or two) that hold the wanted ranks again, until few are left to sort.
+    """
+    values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    at = share * (n - 1)
+    ranks = (int(at), min(int(at) + 1, n - 1))
+    inside, before = n, 0  # rows between low and high, and below low
+    while inside > COLLECTED and low < high:
+        width = (high - low) / BINS
+        number = F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1)).alias("b")
+        held = values.filter(F.col("v").between(low, high)).groupBy(number).agg(F.count("v").alias("n"), F.min("v").alias("a"), F.max("v").alias("z"))
+        place, kept = before, []
+        for r in held.orderBy("b").collect():  # BINS rows at most
+            if place <= ranks[1] and place + r["n"] > ranks[0]:
+                kept.append((place, r))
+            place += r["n"]
+        if len(kept) == 2 and kept[0][1]["n"] + kept[1][1]["n"] > COLLECTED:
+            # the two ranks are the end of one bin and the start of the next
+            return kept[0][1]["z"] + (at - ranks[0]) * (kept[1][1]["a"] - kept[0][1]["z"])
+        before, inside = kept[0][0], sum(r["n"] for _, r in kept)
+        low, high = kept[0][1]["a"], kept[-1][1]["z"]
+    if low == high:
+        return low
+    found = [r["v"] for r in values.filter(F.col("v").between(low, high)).orderBy("v").collect()]  # COLLECTED rows at most
+    a, b = (found[r - before] for r in ranks)
+    return a + (at - ranks[0]) * (b - a)
+
+
 def winsorise(df: DataFrame, col: str, k: float, keys: Sequence[str] = (), into: str | None = None) -> DataFrame:
     """Values cut off at the upper fence, of the station or of all."""
-    fences = df.groupBy(*keys).agg(upper_fence(col, k).alias("_fence"))
-    joined = df.join(fences, list(keys), "left") if keys else df.crossJoin(F.broadcast(fences))
+    if keys:
+        joined = df.join(df.groupBy(*keys).agg(upper_fence(col, k).alias("_fence")), list(keys), "left")
+    else:
+        q1, q3 = (exact_quantile(df, col, s) for s in (0.25, 0.75))
+        joined = df.withColumn("_fence", F.lit(None if q1 is None else q3 + k * (q3 - q1)).cast("double"))
     return joined.withColumn(into or col, F.when(F.col(col).isNotNull(), F.least(col, "_fence"))).drop("_fence")
 
 
