@@ -153,6 +153,28 @@ def in_ring(px, py, ring) -> Column:
     return count % 2 == 1
 
 
+def ring_meets_box(ring, xmin, ymin, xmax, ymax) -> Column:
+    """Whether a ring of struct(x, y) and a box share a point: an edge enters the box, or the box lies within the ring."""
+    ring, xmin, ymin, xmax, ymax = (_c(v) for v in (ring, xmin, ymin, xmax, ymax))
+    n = F.size(ring)
+
+    def inside(start: Column, step: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        """The part of an edge, from 0 to 1, that lies between two bounds of one axis; an empty one is (2, -1)."""
+        a, b = (low - start) / F.nullif(step, F.lit(0.0)), (high - start) / F.nullif(step, F.lit(0.0))
+        still, between = step == 0, start.between(low, high)
+        return (
+            F.when(~still, F.least(a, b)).when(between, F.lit(0.0)).otherwise(F.lit(2.0)),
+            F.when(~still, F.greatest(a, b)).when(between, F.lit(1.0)).otherwise(F.lit(-1.0)),
+        )
+
+    def enters(i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
+        (x0, x1), (y0, y1) = inside(a["x"], b["x"] - a["x"], xmin, xmax), inside(a["y"], b["y"] - a["y"], ymin, ymax)
+        return F.greatest(F.lit(0.0), x0, y0) <= F.least(F.lit(1.0), x1, y1)
+
+    return F.exists(F.sequence(F.lit(0), n - 1), enters) | in_ring(xmin, ymin, ring)
+
+
 def direction_features(dx, dy) -> dict[str, Column]:
     """Bearing sine and cosine, distance in km, and two damped forms of it."""
     dx, dy = _c(dx), _c(dy)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import direction_features, in_ring, planar_m, segment_m
+from ..functions.geometry import direction_features, in_ring, planar_m, ring_meets_box, segment_m
+from ..scratch import cut
 
 #: Rows that are broadcast where each point meets all of them (24 to 40 bytes each); more are met by pairs of partitions.
 BROADCAST_SOURCES = 500_000
@@ -58,37 +59,34 @@ def _with_all(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
     return left.crossJoin(right.repartition(parts).hint("shuffle_replicate_nl"))
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, key: str, segment_id: str, size: float, rings: int = 64) -> DataFrame:
+def nearest_segment(points: DataFrame, segments: DataFrame, key: str, segment_id: str, size: float, rings: int = 16) -> DataFrame:
     """Each point with its nearest segment and the distance; ties go to the smaller segment id.
 
-    Segments are laid out over coarse cells. A point looks at the cells around it, in a square that doubles until it
-    holds a segment no farther than the square reaches; points that `rings` cells don't settle are compared with all
-    segments. points: key, x, y; segments: segment_id, x1, y1, x2, y2.
+    Segments are laid out over coarse cells. A point looks at the cells around it, in a square four times as wide each
+    time, until it holds a segment no farther than the square reaches. Points that `rings` cells don't settle go on with cells
+    that are `rings` times as large, and so on, so that a point far from all segments meets only those in its own direction's
+    neighbourhood too. Each look is written, and only open points take the next. Points without a place have no row; nor
+    has any if there are no segments. points: key, x, y; segments: segment_id, x1, y1, x2, y2.
     """
-    s = cover_box(
-        segments.select(segment_id, "x1", "y1", "x2", "y2"),
-        F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size,
-    )
-    best, open_, reach = None, points.select(key, "x", "y").dropDuplicates([key]), 1
+    lines = segments.select(segment_id, "x1", "y1", "x2", "y2").dropna()
+    best, open_ = None, points.select(key, "x", "y").dropna(subset=["x", "y"]).dropDuplicates([key])
     order = F.struct("distance", segment_id)
+    if lines.isEmpty():
+        return open_.limit(0).select(key, F.lit(None).cast(segments.schema[segment_id].dataType).alias(segment_id), F.lit(0.0).alias("distance"))
     while True:
-        last = reach > rings
-        if last:
-            found = _with_all(open_, segments.select(segment_id, "x1", "y1", "x2", "y2"), segments.count())
-        else:
+        s = cover_box(lines, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
+        reach = 1
+        while reach <= rings:
             looked = cover_box(open_, F.col("x") - reach * size, F.col("y") - reach * size, F.col("x") + reach * size, F.col("y") + reach * size, size)
-            found = looked.join(s, "cell")
-        found = found.withColumn("distance", segment_m("x", "y", "x1", "y1", "x2", "y2"))
-        got = found.groupBy(key).agg(F.min(order).alias("m")).select(key, F.col(f"m.{segment_id}").alias(segment_id), "m.distance")
-        if not last:
-            got = got.filter(F.col("distance") <= reach * size)
-        best = got if best is None else best.unionByName(got)
-        if last:
-            return best
-        open_ = open_.join(got, key, "left_anti")
-        if open_.isEmpty():
-            return best
-        reach *= 4
+            found = looked.join(s, "cell").withColumn("distance", segment_m("x", "y", "x1", "y1", "x2", "y2"))
+            got = found.groupBy(key).agg(F.min(order).alias("m")).select(key, F.col(f"m.{segment_id}").alias(segment_id), "m.distance")
+            got = cut(got.filter(F.col("distance") <= reach * size))
+            best = got if best is None else best.unionByName(got)
+            open_ = cut(open_.join(got, key, "left_anti"))
+            if open_.isEmpty():
+                return best
+            reach *= 4
+        size *= rings
 
 
 def nearest_neighbours(stations: DataFrame, key: str, k: int = 5) -> DataFrame:
@@ -105,17 +103,17 @@ def nearest_neighbours(stations: DataFrame, key: str, k: int = 5) -> DataFrame:
         pairs = pairs.filter(F.col(key) != F.col("neighbour"))
         return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-    n, best = stations.count(), None
+    a, n, best = cut(a), stations.count(), None
     wide = [] if n <= FEW_STATIONS else [hi - lo for lo, hi in stations.approxQuantile(["x", "y"], [0.05, 0.95], 0.01)]
     size = max(max(wide, default=0.0) * (k / max(n, 1)) ** 0.5, 0.0)
-    for reach in (size * 4**i for i in range(4) if size > 0):
+    for reach in (size * 4**i for i in range(6) if size > 0):
         looked = cover_box(a, F.col("x") - reach, F.col("y") - reach, F.col("x") + reach, F.col("y") + reach, reach)
         near = looked.join(b.withColumn("cell", cell_of("nx", "ny", reach)), "cell").drop("cell").withColumn("distance", planar_m("x", "y", "nx", "ny"))
-        got = ranked(near.filter(F.col("distance") <= 0.999 * reach))  # all that are as near, whatever the rounding
+        got = cut(ranked(near.filter(F.col("distance") <= 0.999 * reach)))  # all that are as near, whatever the rounding
         settled = got.filter(F.col("rank") == k).select(key)
         got = got.join(settled, key, "left_semi")
         best = got if best is None else best.unionByName(got)
-        a = a.join(settled, key, "left_anti")
+        a = cut(a.join(settled, key, "left_anti"))
         if a.isEmpty():
             return best
     rest = ranked(_with_all(a, b, n).withColumn("distance", planar_m("x", "y", "nx", "ny")))
@@ -149,7 +147,7 @@ def kernel_sources(
 
     With truncate, and for kernels that end at bw, sources within bw count, found by cells of that size. Otherwise all
     sources count where at least one is within bw: broadcast, or by pairs of partitions if they are many. Points without a source, outside
-    the clip polygons, or with weights that sum to 0, get `empty`.
+    the clip polygons, or with weights that sum to 0, get `empty`; sources outside them don't count.
     """
     if value not in sources.columns:
         raise ValueError(f"sources have no column {value}")
@@ -159,11 +157,14 @@ def kernel_sources(
         s = s.filter(F.when(F.col("xw").isNull() | (F.col("xw") < 0), F.raise_error(F.lit("weights must be known and not negative"))).otherwise(True))
     p = points.select(key, "x", "y")
     used = points_in_polygons(p, clip, bw, [], "left_semi") if clip is not None else p
+    if clip is not None:
+        s = points_in_polygons(s.withColumnsRenamed({"sx": "x", "sy": "y"}), clip, bw, [], "left_semi").withColumnsRenamed({"x": "sx", "y": "sy"})
     if truncate or name in ("tricube", "epanechnikov"):
         looked = cover_box(used, F.col("x") - bw, F.col("y") - bw, F.col("x") + bw, F.col("y") + bw, bw)
         pairs = looked.join(s.withColumn("cell", cell_of("sx", "sy", bw)), "cell").withColumn("d", planar_m("x", "y", "sx", "sy")).filter(F.col("d") <= bw)
     else:
-        pairs = _with_all(used, s, sources.count()).withColumn("d", planar_m("x", "y", "sx", "sy"))
+        s = cut(s)
+        pairs = _with_all(used, s, s.count()).withColumn("d", planar_m("x", "y", "sx", "sy"))
     pairs = pairs.withColumn("w", kernel(name, F.col("d"), bw) * F.col("xw"))
     sums = pairs.groupBy(key).agg(
         F.sum(F.col("e") * F.col("w")).alias("ew"), F.sum(F.when(F.col("e").isNotNull(), F.col("w"))).alias("w"), F.min("d").alias("least")
@@ -194,6 +195,21 @@ def padded_grid(extent: DataFrame, size: float, chunks: int) -> DataFrame:
     )
 
 
+def auto_grid(extent: DataFrame, size: float, chunks: int, region: DataFrame | None = None) -> DataFrame:
+    """cell_id, row, col, xmin, ymin, xmax, ymax: chunks by chunks cells over the padded extent, those that meet the region.
+
+    The extent is padded as in padded_grid. region: polygons with a ring; cells that only touch one meet it. Without a region all stay.
+    """
+    p = padded_grid(extent, size, chunks).agg(F.min("xmin").alias("x0"), F.max("xmax").alias("x1"), F.min("ymin").alias("y0"), F.max("ymax").alias("y1"))
+    p = p.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    w, h = (F.col("x1") - F.col("x0")) / chunks, (F.col("y1") - F.col("y0")) / chunks
+    x, y = F.col("x0") + F.col("col") * w, F.col("y0") + F.col("row") * h
+    cells = p.select(F.concat_ws("_", "row", "col").alias("cell_id"), "row", "col", x.alias("xmin"), y.alias("ymin"), (x + w).alias("xmax"), (y + h).alias("ymax"))
+    if region is None:
+        return cells
+    return cells.join(region.select("ring"), ring_meets_box("ring", "xmin", "ymin", "xmax", "ymax"), "left_semi")
+
+
 def split_extent(extent: DataFrame, nx: int, ny: int, padding: float = 0.0) -> DataFrame:
     """part, xmin, ymin, xmax, ymax: nx by ny parts, each widened by the padding."""
     p = extent.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nx - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))))
@@ -214,10 +230,11 @@ def point_grid(spark, xmin: float, ymin: float, xmax: float, ymax: float, step:
 
 
 def random_points(spark, n: int, xmin: float, ymin: float, xmax: float, ymax: float, seed: int = 1, inside: DataFrame | None = None, size: float = 1000.0) -> DataFrame:
-    """Reproducible points of a box, or those of them in polygons: their places are hashes of their number."""
+    """Reproducible points of a box, or those of them in polygons: their places are drawn by their number."""
 
     def share(salt: int) -> Column:
-        return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        text = F.concat(F.lit(f"{seed}.{salt}:"), F.col("id").cast("string"))
+        return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
     p = spark.range(n).select("id", (F.lit(xmin) + share(1) * (xmax - xmin)).alias("x"), (F.lit(ymin) + share(2) * (ymax - ymin)).alias("y"))
     return points_in_polygons(p, inside, size, [], "left_semi") if inside is not None else p
