@@ -10,9 +10,10 @@ import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, PCA, StandardScaler, StringIndexer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut, discard, small
 
 
 def select_terms(df: DataFrame, patterns: Sequence[str], drop: Sequence[str] = ()) -> list[str]:
@@ -78,16 +79,11 @@ def impute_forest(df: DataFrame, cols: Sequence[str], key: str, trees: int = 50,
             model = Pipeline(stages=[VectorAssembler(inputCols=others, outputCol="_x"), forest]).fit(out.filter(known[c]))
             out = model.transform(out)
             if donors:
-                out = _cut(_nearest_donors(_cut(out), c, known[c], key, donors))
+                out = cut(_nearest_donors(cut(out), c, known[c], key, donors))
             out = out.withColumn(c, F.when(F.col(known[c]), F.col(c)).otherwise(F.col("_p"))).drop("_x", "_p")
     return out.drop(*known.values())
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df computed once, without its plan, which would grow with each column; in the checkpoint folder where one is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def _nearest_donors(df: DataFrame, col: str, known: str, key: str, k: int) -> DataFrame:
     """_p of the unknown rows replaced by the known value at one of the k nearest predictions.
 
@@ -102,7 +98,7 @@ def _nearest_donors(df: DataFrame, col: str, known: str, key: str, k: int) -> Da
     asked = df.filter(~F.col(known)).select("_p").distinct()
     cuts = sorted(set(asked.approxQuantile("_p", [i / parts for i in range(1, parts)], 0.2 / parts)))
     range_of = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("_p"))) if cuts else F.lit(0)
-    held, asked = _cut(held.withColumn("_range", range_of)), asked.withColumn("_range", range_of)
+    held, asked = cut(held.withColumn("_range", range_of)), asked.withColumn("_range", range_of)
 
     def ends(order) -> list:
         w = Window.partitionBy("_range").orderBy(order, "_donor")
@@ -146,24 +142,36 @@ def latin_hypercube(ranges: Mapping[str, tuple[float, float]], n: int, seed: int
     return out
 
 
+def drawn(key: str | Column, seed: int | str) -> Column:
+    """A whole number below 2**48 that a key (and a seed) always draws: the first digits of an MD5 sum."""
+    text = F.concat(F.lit(f"{seed}:"), (F.col(key) if isinstance(key, str) else key).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
+
+
 def random_folds(df: DataFrame, key: str, k: int, seed: int = 0, into: str = "fold") -> DataFrame:
-    return df.withColumn(into, F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int"))
+    return df.withColumn(into, (drawn(key, seed) % k).cast("int"))
 
 
 def grouped_folds(df: DataFrame, group: str, into: str = "fold") -> DataFrame:
-    """A fold for each group, numbered by its order."""
+    """A fold for each group, numbered by its order. A model is fitted for each fold, so groups are few."""
     names = df.select(group).distinct()
     names = names.withColumn(into, F.row_number().over(Window.orderBy(group)) - 1)  # a row for each group
-    return df.join(F.broadcast(names), group)
+    return df.join(small(names), group)
 
 
 def block_folds(df: DataFrame, size: float, k: int = 5, x: str = "x", y: str = "y", into: str = "fold") -> DataFrame:
-    """Square blocks dealt to folds along a snake through their rows."""
+    """Square blocks dealt to folds along a snake through their rows.
+
+    Blocks are numbered within their row of blocks, and rows from the counts of those before, so no task gets all blocks.
+    """
     bx, by = F.floor(F.col(x) / size), F.floor(F.col(y) / size)
     blocks = df.select(bx.alias("_bx"), by.alias("_by")).distinct()
     along = F.when(F.pmod(F.col("_by"), F.lit(2)) == 0, F.col("_bx")).otherwise(-F.col("_bx"))
-    snake = F.row_number().over(Window.orderBy("_by", along)) - 1  # a row for each block
-    return df.withColumns({"_bx": bx, "_by": by}).join(blocks.withColumn(into, snake % k), ["_bx", "_by"]).drop("_bx", "_by")
+    before = Window.orderBy("_by").rowsBetween(Window.unboundedPreceding, -1)  # a row for each row of blocks
+    rows = blocks.groupBy("_by").agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    snake = F.col("_first") + F.row_number().over(Window.partitionBy("_by").orderBy(along)) - 1
+    blocks = blocks.join(rows.select("_by", "_first"), "_by").select("_bx", "_by", (snake % k).alias(into))
+    return df.withColumns({"_bx": bx, "_by": by}).join(blocks, ["_bx", "_by"]).drop("_bx", "_by")
 
 
 def folds(df: DataFrame, how: str | None, key: str, group: str | None = None, size: float = 10_000.0, k: int = 5) -> DataFrame:
@@ -200,30 +208,47 @@ def fold_scores(df: DataFrame, steps: Sequence, estimator: Estimator, params: Ma
     return float(row["rmse"]) if row and row["rmse"] is not None else float("nan")
 
 
-def tune(df: DataFrame, steps: Sequence, estimator: Estimator, design: Sequence[Mapping], label: str, k: int, race_after: int | None = 3) -> DataFrame:
+def still_racing(scores: Mapping[int, Sequence[float]]) -> list[int]:
+    """The configurations whose paired loss against the best isn't beyond doubt: two standard errors above it."""
+    best = min(scores, key=lambda i: float(np.mean(scores[i])))
+    kept = []
+    for i, got in scores.items():
+        gap = np.array(got) - np.array(scores[best])
+        if i == best or gap.mean() - 2 * gap.std(ddof=1) / np.sqrt(len(gap)) <= 0:
+            kept.append(i)
+    return kept
+
+
+def tune(df: DataFrame, steps: Sequence, estimator: Estimator, design: Sequence[Mapping], label: str, k: int, race_after: int | None = 3, at_once: int = 4) -> DataFrame:
     """(config, params, fold, rmse) of every configuration run; df has a column fold from 0 to k - 1.
 
-    With race_after, once so many folds are in, a configuration goes if its paired loss against the best is
-    beyond doubt (two standard errors).
+    With race_after, once so many folds (two at least) are in, configurations that lose beyond doubt drop out. Rows are written
+    once and read by all fits, of which at_once run side by side.
     """
     import json
+    from multiprocessing.pool import ThreadPool
 
+    rows_in = cut(df)
     alive, scores = list(range(len(design))), {i: [] for i in range(len(design))}
-    for fold in range(k):
-        for i in alive:
-            scores[i].append(fold_scores(df, steps, estimator, design[i], label, fold))
-        if race_after and fold + 1 >= race_after and len(alive) > 1:
-            best = min(alive, key=lambda i: float(np.mean(scores[i])))
-            kept = []
-            for i in alive:
-                gap = np.array(scores[i]) - np.array(scores[best])
-                if i == best or gap.mean() - 2 * gap.std(ddof=1) / np.sqrt(len(gap)) <= 0:
-                    kept.append(i)
-            alive = kept
+    with ThreadPool(at_once) as pool:
+        for fold in range(k):
+            for i, s in zip(alive, pool.map(lambda i: fold_scores(rows_in, steps, estimator, design[i], label, fold), alive), strict=True):  # noqa: B023
+                scores[i].append(s)
+            if race_after and fold + 1 >= max(2, race_after) and len(alive) > 1:
+                alive = still_racing({i: scores[i] for i in alive})
+    discard(rows_in)
     rows = [(i, json.dumps(dict(design[i]), sort_keys=True), f, float(s)) for i, got in scores.items() for f, s in enumerate(got)]
     return df.sparkSession.createDataFrame(rows, "config int, params string, fold int, rmse double")
 
 
+def best_config(tuned: DataFrame, k: int) -> dict:
+    """The parameters of least mean loss among the configurations that ran all folds."""
+    import json
+
+    ran = tuned.groupBy("config", "params").agg(F.avg("rmse").alias("rmse"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+    return json.loads(ran.orderBy("rmse", "config").first()["params"])  # a row for each configuration
+
+
 def spline_steps(terms: Sequence[str], knots: int = 4, out: str = "features") -> Callable[[DataFrame], list]:
     """Hinges at each feature's quantiles, for an additive model by a linear one."""
     from pyspark.ml.feature import SQLTransformer
@@ -243,6 +268,7 @@ LEARNERS: dict[str, Callable[[str], Estimator]] = {
     "elastic": lambda label: LinearRegression(labelCol=label, elasticNetParam=0.5, regParam=0.01),
     "forest": lambda label: RandomForestRegressor(labelCol=label, numTrees=100, seed=2025),
     "additive": lambda label: LinearRegression(labelCol=label, regParam=0.001),
+    "linear": lambda label: LinearRegression(labelCol=label),
 }
 
 
@@ -286,11 +312,16 @@ def top_importance(model: PipelineModel, terms: Sequence[str], spark, n: int = 1
     return spark.createDataFrame([(t, v, i) for i, (t, v) in enumerate(rows, 1)], "variable string, importance double, rank int")
 
 
-def shuffled_column(df: DataFrame, col: str, key: str, seed: int = 1) -> DataFrame:
-    """df with one column's values dealt out anew (by hash order), all others as they were."""
-    a = df.withColumn("_i", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key)))
-    a = a.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(64)))
-    mixed = Window.partitionBy("_b").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+def shuffled_column(df: DataFrame, col: str, key: str, seed: int = 1, part_rows: int = 100_000) -> DataFrame:
+    """df with one column's values dealt out anew (in a drawn order), all others as they were.
+
+    Rows are dealt to parts of about part_rows, and values change places within each.
+    """
+    parts = max(1, -(-df.count() // part_rows))
+    part = drawn(key, "part") % parts
+    a = df.withColumn("_b", part)
+    a = a.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
+    mixed = Window.partitionBy("_b").orderBy(drawn(key, seed), key)
     b = a.select("_b", F.col(col).alias("_v"), F.row_number().over(mixed).alias("_i"))
     return a.join(b, ["_b", "_i"]).withColumn(col, F.col("_v")).drop("_b", "_i", "_v")
 
@@ -305,13 +336,13 @@ def permutation_importance(model: PipelineModel, df: DataFrame, terms: Sequence[
     return parts.crossJoin(F.broadcast(base)).withColumn("increase", F.col("rmse") - F.col("base_rmse"))
 
 
-def shapley_importance(model: PipelineModel, df: DataFrame, terms: Sequence[str], key: str, samples: int = 8) -> DataFrame:
+def shapley_importance(model: PipelineModel, df: DataFrame, terms: Sequence[str], key: str, samples: int = 8, part_rows: int = 100_000) -> DataFrame:
     """(variable, importance): mean absolute Monte-Carlo Shapley values.
 
-    Each row meets `samples` other rows (by hash order in 64 parts) and as many feature orders; a feature's
+    Each row meets `samples` other rows (drawn in parts of about part_rows) and as many feature orders; a feature's
     share is what the prediction changes when it joins those before it in the order.
     """
-    part = F.pmod(F.xxhash64(key), F.lit(64))
+    part = F.pmod(F.xxhash64(key), F.lit(max(1, -(-df.count() // part_rows))))
     n = F.count(F.lit(1)).over(Window.partitionBy("_b"))
     a = df.select(key, *terms, part.alias("_b")).withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1).withColumn("_n", n)
     other = a.select("_b", F.col("_i").alias("_j"), *[F.col(t).alias(f"o_{t}") for t in terms])
@@ -330,20 +361,39 @@ def shapley_importance(model: PipelineModel, df: DataFrame, terms: Sequence[str]
     return each.groupBy("variable").agg(F.avg(F.abs("phi")).alias("importance"))
 
 
-def moving_window_tuning(df: DataFrame, targets: Sequence[str], terms: Sequence[str], test_years: Sequence[int], before: int = 3, learner: str = "boosted") -> DataFrame:
-    """(target, test_year, rmse, mae, rsq, n): models of the years before each test year, scored on it."""
+def moving_window_tuning(
+    df: DataFrame, targets: Sequence[str], terms: Sequence[str], test_years: Sequence[int], design: Sequence[Mapping], before: int = 3,
+    learner: str | Callable[[str], Estimator] = "boosted", categorical: Sequence[str] = (), components: Sequence[str] = (), block: float = 10_000.0, k: int = 5, least_rows: int = 100, top: int = 10,
+) -> DataFrame:
+    """(target, test_year, rmse, mae, rsq, n, params, importance): for each target and test year, on the `before` years before it,
+    the configuration that wins a race over spatial folds is fitted anew and scored on the test year.
+
+    A window of fewer than least_rows training rows has no row. importance names the `top` features of a tree model with
+    their importance, by slots of the assembled features; of other models it is null. rows need x and y for spatial folds.
+    """
+    import json
+
     from .series import rolling_origin
 
-    parts = None
+    make, parts = LEARNERS[learner] if isinstance(learner, str) else learner, None
     for target, year in itertools.product(targets, test_years):
-        rows = rolling_origin(df.filter(F.col(target).isNotNull()), "year", [year], before)
-        model = Pipeline(stages=[*mixed_steps(terms, [], out="features"), LEARNERS[learner](target)]).fit(rows.filter("role = 'train'"))
-        got = metrics(model.transform(rows.filter("role = 'test'")), target, "prediction").select(F.lit(target).alias("target"), F.lit(year).alias("test_year"), "rmse", "mae", "rsq", "n")
+        rows = cut(rolling_origin(df.filter(F.col(target).isNotNull()), "year", [year], before))
+        train, test = rows.filter("role = 'train'"), rows.filter("role = 'test'")
+        if train.count() < least_rows:
+            continue
+        steps = [*mixed_steps(terms, categorical, components, out="_all"), VarianceThresholdSelector(featuresCol="_all", outputCol="_varied", varianceThreshold=0.0), StandardScaler(inputCol="_varied", outputCol="features", withMean=True, withStd=True)]
+        dealt = folds(train, "spatial", "id", size=block, k=k)
+        won = best_config(tune(dealt, steps, make(target), design, target, k), k) if len(design) > 1 else dict(design[0])
+        model = Pipeline(stages=[*steps, _with_params(make(target), won)]).fit(train)
+        weights = getattr(model.stages[-1], "featureImportances", None)
+        named = None if weights is None else ", ".join(f"{i}({w:.4f})" for w, i in sorted(((float(w), i) for i, w in enumerate(weights.toArray())), key=lambda r: (-r[0], r[1]))[:top])
+        got = metrics(model.transform(test), target, "prediction").select(F.lit(target).alias("target"), F.lit(year).alias("test_year"), "rmse", "mae", "rsq", "n")
+        got = got.withColumns({"params": F.lit(json.dumps(won, sort_keys=True)), "importance": F.lit(named).cast("string")})
         parts = got if parts is None else parts.unionByName(got)
+    if parts is None:
+        return df.sparkSession.createDataFrame([], "target string, test_year int, rmse double, mae double, rsq double, n bigint, params string, importance string")
     return parts
 
 
 def with_residual(df: DataFrame, truth: str, prediction: str = "prediction") -> DataFrame:
     return df.withColumns({"y_true": F.col(truth), "y_pred": F.col(prediction), "residual": F.col(truth) - F.col(prediction)})
-
-
