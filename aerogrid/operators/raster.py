@@ -85,37 +85,35 @@ def radius_cells(radius: float, pixel: float, metric: bool) -> int:
     return math.ceil(radius / pixel) if metric else int(radius)
 
 
-def disk_offsets(r: int) -> list[tuple[int, int]]:
-    """(row, half width) of the rows of a disk."""
-    return [(d, math.isqrt(r * r - d * d)) for d in range(-r, r + 1)]
+def kernel_rows(r: int, shape: str = "disk") -> list[tuple[int, int]]:
+    """(row, half width) of a kernel of 2 r + 1 rows.
+
+    disk: dr² + dc² <= r²; wide: the same with r + 1/2, which is half the window; mask: the disk with the two cells beside
+    each of its four tips (for r = 3 the 7 by 7 kernel of 3, 5, 7, 7, 7, 5, 3 cells); square: all.
+    """
+    if shape == "square":
+        return [(d, r) for d in range(-r, r + 1)]
+    if shape == "wide":
+        return [(d, math.isqrt(((2 * r + 1) ** 2 - 4 * d * d) // 4)) for d in range(-r, r + 1)]
+    rows = [(d, math.isqrt(r * r - d * d)) for d in range(-r, r + 1)]
+    if shape == "mask":
+        rows = [(d, max(h, r if abs(d) == 1 else 1 if abs(d) == r else 0)) for d, h in rows]
+    elif shape != "disk":
+        raise ValueError(f"no kernel {shape}")
+    return rows
 
 
 def kernel_offsets(spark, r: int, shape: str = "disk") -> DataFrame:
-    """dr, dc, w of a kernel of ones: disk, square, or ring (the square's border)."""
-    one = spark.range(-r, r + 1).select(F.col("id").cast("int").alias("dr")).withColumn("dc", F.explode(F.sequence(F.lit(-r), F.lit(r))))
-    if shape == "disk":
-        one = one.filter(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc") <= r * r)
-    elif shape == "ring":
+    """dr, dc, w of a kernel of ones: those of kernel_rows, or ring (the square's border)."""
+    if shape == "ring":
+        one = spark.range(-r, r + 1).select(F.col("id").cast("int").alias("dr")).withColumn("dc", F.explode(F.sequence(F.lit(-r), F.lit(r))))
         one = one.filter(F.greatest(F.abs("dr"), F.abs("dc")) == r)
+    else:
+        rows = F.array(*[F.struct(F.lit(d).alias("dr"), F.lit(h).alias("h")) for d, h in kernel_rows(r, shape)])
+        one = spark.range(1).select(F.inline(rows)).select("dr", F.explode(F.sequence(-F.col("h"), F.col("h"))).alias("dc"))
     return one.withColumn("w", F.lit(1.0))
 
 
-def tile_bounds(width: int, height: int, tile: int, pad: int) -> list[dict[str, int]]:
-    """Tiles of a raster in reading order: their own bounds, and those to read with the padding."""
-    out = []
-    for r in range(0, height, tile):
-        for c in range(0, width, tile):
-            r1, c1 = min(r + tile, height), min(c + tile, width)
-            out.append(
-                {
-                    "row0": r, "row1": r1, "col0": c, "col1": c1,
-                    "read_row0": max(0, r - pad), "read_row1": min(height, r1 + pad),
-                    "read_col0": max(0, c - pad), "read_col1": min(width, c1 + pad),
-                }
-            )
-    return out
-
-
 def with_halo(cells: DataFrame, tile: int, pad: int) -> DataFrame:
     """Every cell once for each tile (tr, tc) that reads it."""
     near = lambda c: F.sequence(F.floor((F.col(c) - pad) / tile), F.floor((F.col(c) + pad) / tile))
@@ -128,13 +126,12 @@ def focal_class_fraction(
 ) -> DataFrame:
     """row, col, class, fraction: the share of each class among the cells around each.
 
-    cells: row, col, class (null or absent cells have none; each (row, col) once). A disk holds offsets of dr² + dc² <=
-    radius². denom 'valid' divides by the cells with a class, 'kernel' by all cells of the kernel; without
+    cells: row, col, class (null or absent cells have none; each (row, col) once). shape is one of kernel_rows. denom 'valid' divides by the cells with a class, 'kernel' by all cells of the kernel; without
     any valid cell the fraction is `empty`. border 'zero' leaves 0 within radius of the raster's edge (its size
     given as rows, cols). Tiles with a halo are computed apart, from row sums: a disk costs its rows, not its cells.
     """
     ship_package(cells.sparkSession)
-    rows = disk_offsets(radius) if shape == "disk" else [(d, radius) for d in range(-radius, radius + 1)]
+    rows = kernel_rows(radius, shape)
     full = float(sum(2 * h + 1 for _, h in rows))
     codes, side = list(classes), tile + 2 * radius
 

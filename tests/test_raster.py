@@ -17,32 +17,52 @@ def fraction(df, row, col, k):
     return df.filter((F.col("row") == row) & (F.col("col") == col) & (F.col("class") == k)).first()["fraction"]
 
 
-def test_uniform_class(spark):
-    out = R.focal_class_fraction(cells(spark, [[1] * 3] * 3), [1], 1)
-    assert fraction(out, 1, 1, 1) == 1.0
-
-
-def test_nodata_is_left_out(spark):
-    out = R.focal_class_fraction(cells(spark, [[1, 2, -9999], [2, 1, 2], [1, 2, 1]]), [1], 1)
-    assert fraction(out, 1, 1, 1) == pytest.approx(0.2)
-
-
-def test_two_classes_sum_to_one(spark):
-    grid = [[1 + (r * c) % 2 for c in range(5)] for r in range(5)]
-    out = R.focal_class_fraction(cells(spark, grid), [1, 2], 2)
-    assert fraction(out, 2, 2, 1) + fraction(out, 2, 2, 2) == pytest.approx(1.0)
-
-
-def test_class_list(spark):
-    got = R.distinct_classes(cells(spark, [[1, 2, 3], [2, 3, -9999], [1, 1, 2]]))
-    assert [r["class"] for r in got.collect()] == [1, 2, 3]
-
-
-def test_tile_bounds():
-    tiles = R.tile_bounds(4000, 4000, 2000, 67)
-    assert len(tiles) == 4
-    assert (tiles[0]["read_row1"], tiles[0]["read_col1"]) == (2067, 2067)
-    assert (tiles[3]["read_row0"], tiles[3]["read_col0"]) == (1933, 1933)
+def around(grid, row, col, r, nodata=-9999):
+    """The known classes in a disk, cell by cell."""
+    near = [(i, j) for i in range(len(grid)) for j in range(len(grid[0])) if (i - row) ** 2 + (j - col) ** 2 <= r * r]
+    return [grid[i][j] for i, j in near if grid[i][j] != nodata]
+
+
+@pytest.mark.parametrize("seed, rows, cols, r", [(1, 6, 9, 1), (2, 7, 7, 2), (3, 11, 5, 4)])
+def test_fractions_cell_by_cell(spark, seed, rows, cols, r):
+    grid = np.random.default_rng(seed).choice([3, 4, 8, -9999], (rows, cols), p=[0.4, 0.3, 0.2, 0.1]).tolist()
+    got = {(x["row"], x["col"], x["class"]): x["fraction"] for x in R.focal_class_fraction(cells(spark, grid), [3, 4, 8], r, tile=4).collect()}
+    assert len(got) == rows * cols * 3
+    for (i, j, k), f in got.items():
+        held = around(grid, i, j, r)
+        assert f == pytest.approx(held.count(k) / len(held) if held else 0.0)
+
+
+def test_classes_that_occur(spark):
+    got = R.distinct_classes(cells(spark, [[7, -9999, 5, 5], [9, 7, -9999, 5]]), nodata=9)
+    assert [r["class"] for r in got.collect()] == [5, 7]
+
+
+def test_tiles_read_their_halo(spark):
+    width, tile, pad = 23, 7, 2
+    df = spark.range(width * 9).select((F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
+    got = {(r["tr"], r["tc"]): r["n"] for r in R.with_halo(df, tile, pad).groupBy("tr", "tc").count().withColumnRenamed("count", "n").collect()}
+    inside = lambda at, n: [t for t in range(n) if at * tile - pad <= t < (at + 1) * tile + pad]
+    for (tr, tc), n in got.items():
+        assert n == len(inside(tr, 9)) * len(inside(tc, width))
+    assert {(tr, tc) for tr in range(2) for tc in range(4)} <= set(got)
+
+
+@pytest.mark.parametrize("shape, inside", [
+    ("disk", lambda a, b, r: a * a + b * b <= r * r), ("square", lambda a, b, r: True), ("wide", lambda a, b, r: a * a + b * b <= (r + 0.5) ** 2),
+    ("mask", lambda a, b, r: a * a + b * b <= r * r or max(abs(a), abs(b)) == r and min(abs(a), abs(b)) == 1), ("ring", lambda a, b, r: max(abs(a), abs(b)) == r),
+])
+def test_kernels_cell_by_cell(spark, shape, inside):
+    for r in (1, 3, 6):
+        got = {(x["dr"], x["dc"]) for x in R.kernel_offsets(spark, r, shape).collect()}
+        assert got == {(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if inside(a, b, r)}
+
+
+def test_blocks_that_the_edge_cuts(spark):
+    df = spark.range(35).select((F.col("id") / 7).cast("int").alias("row"), (F.col("id") % 7).cast("int").alias("col"), F.col("id").cast("double").alias("value"))
+    assert R.block_aggregate(df, 3).count() == 6
+    kept = {(r["row"], r["col"]): r["value"] for r in R.block_aggregate(df, 3, "truncate", (5, 7)).collect()}
+    assert kept == {(0, c): sum(7 * i + j for i in range(3) for j in range(3 * c, 3 * c + 3)) / 9 for c in (0, 1)}
 
 
 def test_radius_in_cells():
