@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import small
+
 
 def merge_features(base: DataFrame, features: Sequence[DataFrame], keys: Sequence[str], units: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
     """Left joins of feature tables on one set of keys, then unit changes. Each feature table has a row a key at most."""
@@ -48,8 +50,16 @@ def lookup_first(df: DataFrame, table: DataFrame, key: str, value: str, order: S
 
 
 def cross_branches(*tables: DataFrame) -> DataFrame:
-    """All combinations of small dimension tables."""
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), tables)
+    """All combinations of dimension tables; small ones are broadcast."""
+    return reduce(lambda a, b: a.crossJoin(small(b)), tables)
+
+
+def date_by_position(df: DataFrame, keys: Sequence[str], order: Sequence, dates: DataFrame, into: str = "date") -> DataFrame:
+    """The i-th row of each group with the i-th of the dates (one column, any order, each counted once); null beyond the last."""
+    name = dates.columns[0]
+    calendar = dates.select(F.col(name).alias(into)).distinct()
+    calendar = calendar.withColumn("_i", F.row_number().over(Window.orderBy(into)))  # a row for each date of the calendar
+    return df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).join(small(calendar), "_i", "left").drop("_i")
 
 
 def map_layers(df: DataFrame, codes: Mapping[int, int], col: str = "layer", into: str = "class") -> DataFrame:

@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import calendar_features
 from ..operators import aggregates, joins, raster, series, sites, spatial
 from ..operators.raster import Frame
+from ..scratch import cut
 
 #: A site's stays in time; of two that start together, by their coordinates.
 STAY_ORDER = ("date_start", "coords")
@@ -39,20 +41,36 @@ def daily_monitors(history: DataFrame, readings: DataFrame, since: int = 2010) -
     return out.filter(F.col("lon").isNotNull())
 
 
-def static_features(points: DataFrame, key: str, roads: DataFrame, elevation: DataFrame, landuse: DataFrame, emitters: DataFrame, frame: Frame, radii: Sequence[float], classes: Sequence[int], bw: float, cell: float = 2000.0, coverage: str = "exact") -> DataFrame:
-    """A point's distance from roads (km), elevation, land use around it and kernel-weighted emission."""
-    parts = [
-        spatial.nearest_segment(points, roads, key, "link_id", cell).select(key, (F.col("distance") / 1000.0).alias("d_road")),
-        raster.sample_at_points(points.select(key, "x", "y"), elevation, frame).select(key, F.col("value").alias("dem")),
-        raster.zonal_fraction(points, key, radii, landuse, frame, classes, coverage=coverage),
-        spatial.kernel_sources(points, emitters, key, bw, "epanechnikov", truncate=True),
+def annual_features(
+    base: DataFrame, roads: DataFrame, terrain: DataFrame, landuse: DataFrame, emitters: DataFrame, clip: DataFrame, aod: DataFrame, blh: DataFrame,
+    fine: Frame, coarse: Frame, radii: Sequence[float], classes: Sequence[int], bw: float, cell: float = 2000.0, lag: int = 1, coverage: str = "exact",
+) -> DataFrame:
+    """base (site, segment or grid rows with x, y and year) with all yearly features.
+
+    d_road (km), emission (gaussian, clipped), dem, dsm, mtpi and mtpi_1km belong to places and are computed once a place; land use
+    (by radius and class) is that of `lag` years before; aod and blh are the year's medians, 0 where there is none.
+    terrain: row, col and a column for each of its four; landuse: year, row, col, class; aod, blh: row, col, year, value.
+    """
+    base = base.withColumn("place", F.struct(F.col("x").alias("px"), F.col("y").alias("py")))
+    places = base.select("place", "x", "y").distinct()
+    by_place = [
+        spatial.nearest_segment(places, roads, "place", "link_id", cell).select("place", (F.col("distance") / 1000.0).alias("d_road")),
+        spatial.kernel_sources(places, emitters, "place", bw, "gaussian", clip=clip),
+        raster.sample_at_points(places, terrain, fine, ("dem", "dsm", "mtpi", "mtpi_1km")).drop("x", "y"),
     ]
-    return joins.merge_features(points, parts, [key])
+    land = raster.zonal_fraction(places, "place", radii, landuse, fine, classes, by=["year"], coverage=coverage)
+    out = joins.lagged_join(joins.merge_features(base, by_place, ["place"]), land, "year", lag)
+    for name, cells in (("aod", aod), ("blh", blh)):
+        yearly = raster.cell_median(cells, ["row", "col", "year"]).withColumnsRenamed({"row": "_row", "col": "_col", "year": "_year", "value": name})
+        here = (coarse.row("y") == F.col("_row")) & (coarse.col("x") == F.col("_col")) & (F.col("year") == F.col("_year"))
+        out = out.join(yearly, here, "left").drop("_row", "_col", "_year").fillna(0.0, [name])
+    return out.drop("place")
 
 
-def daily_features(monitors: DataFrame, weather: DataFrame, aod: DataFrame, static: DataFrame, key: str) -> DataFrame:
-    """Daily monitors with what changes by day, and what doesn't."""
-    return monitors.join(weather, [key, "date"], "left").join(aod, [key, "date"], "left").join(static, key, "left")
+def daily_features(monitors: DataFrame, dynamic: Sequence[DataFrame], yearly: DataFrame, key: str, static: Sequence[str]) -> DataFrame:
+    """Daily monitors with what changes by day, and the named yearly features of the day's year."""
+    out = joins.merge_features(monitors, list(dynamic), [key, "date"]).withColumn("year", F.year("date"))
+    return out.join(yearly.select(key, "year", *static), [key, "year"], "left")
 
 
 def landuse_comparison(points: DataFrame, key: str, old: DataFrame, new: DataFrame, frame: Frame, radii: Sequence[float], classes: Sequence[int], coverage: str = "exact") -> DataFrame:
@@ -66,12 +84,17 @@ def landuse_comparison(points: DataFrame, key: str, old: DataFrame, new: DataFra
     return joins.stack_typed({c: pick(c) for c in ("old", "new", "diff")})
 
 
-def smoothed_daily(readings: DataFrame, features: DataFrame | None, limits: Mapping[str, float], key: str = "tmsid2", k: float = 1.5, n: int = 3) -> DataFrame:
-    """Daily means, cut off, winsorised, smoothed, with features joined."""
-    values = list(limits)
+def smoothed_daily(readings: DataFrame, features: DataFrame, values: Sequence[str] = ("pm10", "pm25"), key: str = "tmsid2", k: float = 1.5, n: int = 7, limits: Mapping[str, float] | None = None) -> DataFrame:
+    """Daily means of the sites that have features, with calendar columns and, for each value, <v>_a (winsorised by the fence of all),
+    <v>_<n> and <v>_a<n> (centred means of n days of either; null where the window isn't full).
+
+    With limits, values above them are cut off first. features: key, year and more.
+    """
     daily = readings.groupBy(key, "date").agg(*[F.avg(v).alias(v) for v in values])
-    daily = series.cut_off(daily, dict(limits))
+    daily = cut(series.cut_off(daily, dict(limits)) if limits else daily)
+    out = calendar_features(daily, "date").select(*daily.columns, "year", "month", "day", F.col("iso_wday").alias("weekday"), "is_weekend")
     for v in values:
-        daily = series.winsorise(daily, v, k)
-        daily = series.centred_mean(daily, [key], ["date"], v, n, f"{v}_smooth")
-    return daily.join(features, key, "left") if features is not None else daily
+        out = series.winsorise(out, v, k, into=f"{v}_a")
+        for c in (v, f"{v}_a"):
+            out = series.centred_mean(out, [key], ["date"], c, n, f"{c}_{n}" if c == v else f"{c}{n}")
+    return out.join(features, [key, "year"])

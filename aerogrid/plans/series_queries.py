@@ -9,6 +9,7 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import series as W
 from ..operators import sites as H
+from ..scratch import new_path
 from ..sources import readers as S
 from . import jobs
 from .tables import Tables
@@ -67,7 +68,7 @@ def operating_emitters(t: Tables):
 
 @query("SELECT event_id, date FROM {measurements} WHERE strftime(date, '%Y-%m') = '2024-01' AND year(date) = 2024")
 def month_branch(t: Tables):
-    return t.measurements.filter((F.date_format("date", "yyyy-MM") == "2024-01") & (F.year("date") == 2024)).select("event_id", "date")
+    return t.measurements.filter(F.col("date").between(F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date"))).select("event_id", "date")
 
 
 @query("SELECT stay, tmsid FROM {stays} WHERE date_start < make_date(2024, 1, 1) + 5 AND date_end >= make_date(2024, 1, 1)")
@@ -325,9 +326,9 @@ def original_distance(t: Tables):
     return H.original_distance(clean, t.original_sites, ["date_start", "coords"]).select("tmsid", F.round("shift_m", 2).alias("shift_m"))
 
 
-@query("SELECT o_orderkey, unnest(range(year(o_orderdate), year(o_orderdate + INTERVAL 900 DAYS) + 1))::INT AS year FROM orders WHERE o_orderkey % 5 = 0")
+@query("SELECT o_orderkey, unnest(range(year(o_orderdate), year(o_orderdate + INTERVAL 900 DAYS) + 1))::INT AS year FROM orders")
 def expand_years(t: Tables):
-    df = t.orders.filter("o_orderkey % 5 = 0").withColumn("b", F.expr("o_orderdate + INTERVAL 900 DAYS"))
+    df = t.orders.withColumn("b", F.expr("o_orderdate + INTERVAL 900 DAYS"))
     return H.expand_years(df, "o_orderdate", "b").select("o_orderkey", "year")
 
 
@@ -392,9 +393,9 @@ def merge_features(t: Tables):
     return J.merge_features(t.points.select("pid", "x"), [a, b], ["pid"], {"v1": (0.001, 0.0)}).select("pid", "x", "v1", "v2")
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, a.n AS na, b.n AS nb FROM (SELECT user_id AS k, COUNT(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY 1) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, a.n AS na, b.n AS nb FROM (SELECT user_id AS k, COUNT(*) AS n FROM events GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY 1) b ON a.k = b.k")
 def full_join(t: Tables):
-    a = t.events.filter("event_id % 2 = 0").groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("na"))
+    a = t.events.groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("na"))
     return a.join(t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("nb")), "k", "full")
 
 
@@ -459,19 +460,27 @@ def wide_to_long(t: Tables):
     return J.to_long(t.daily.select("tmsid", "date", "pm10", "pm25"), ["tmsid", "date"], r"^((pm)\d+)$", ["name", "kind"])
 
 
-LONG_DATES = ("2024-01-05", "2024-01-06", "2024-01-07")
-
-
-@query("SELECT tmsid2, date, MIN(pm10) AS value FROM {daily} WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-07' AND tmsid2 IN (SELECT tmsid2 FROM {daily} WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-07' GROUP BY 1 HAVING COUNT(*) = 3) GROUP BY 1, 2")
+@query("SELECT k.tmsid2, d.date, v.pm10 AS value FROM (SELECT DISTINCT tmsid2 FROM {daily}) k CROSS JOIN (SELECT DISTINCT date FROM {daily}) d LEFT JOIN {daily} v ON v.tmsid2 = k.tmsid2 AND v.date = d.date")
 def long_wide_long(t: Tables):
+    """All dates become columns (the calendar is as long as the table's span of days) and rows again."""
     rows = t.daily.withColumn("d", F.date_format("date", "yyyyMMdd"))
-    wide = J.to_wide(rows, ["tmsid2"], "d", [d.replace("-", "") for d in LONG_DATES], "pm10", "pm10_").dropna()
-    return J.to_long_dated(wide, ["tmsid2"])
+    dates = [r["d"] for r in rows.select("d").distinct().orderBy("d").collect()]
+    return J.to_long_dated(J.to_wide(rows, ["tmsid2"], "d", dates, "pm10", "pm10_"), ["tmsid2"])
 
 
 @query("SELECT tmsid2, MAX(CASE WHEN date = DATE '2024-01-05' THEN pm10 END) AS \"d_2024-01-05\", MAX(CASE WHEN date = DATE '2024-01-06' THEN pm10 END) AS \"d_2024-01-06\" FROM {daily} GROUP BY tmsid2")
 def long_to_wide(t: Tables):
-    return J.to_wide(t.daily.withColumn("d", F.col("date").cast("string")), ["tmsid2"], "d", list(LONG_DATES[:2]), "pm10", "d_")
+    return J.to_wide(t.daily.withColumn("d", F.col("date").cast("string")), ["tmsid2"], "d", ["2024-01-05", "2024-01-06"], "pm10", "d_")
+
+
+@query(
+    """WITH g AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier),
+    c AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM {measurements}))
+    SELECT s_nationkey, s_suppkey, date FROM g LEFT JOIN c USING (i)"""
+)
+def date_by_position(t: Tables):
+    rows = t.supplier.select("s_nationkey", "s_suppkey")
+    return J.date_by_position(rows, ["s_nationkey"], ["s_suppkey"], t.measurements.select("date")).select("s_nationkey", "s_suppkey", "date")
 
 
 @query("SELECT s_suppkey, unnest(range(1, s_suppkey % 4 + 1))::INT AS copy FROM supplier WHERE s_suppkey % 4 > 0")
@@ -552,7 +561,14 @@ def decompose(t: Tables):
     return df.select("tmsid2", "date", *[F.round(c, 3).alias(c) for c in ("trend", "seasonal", "remainder")])
 
 
-@query()
+@query(
+    f"""WITH l AS {LINE}, p AS (SELECT *, (row_number() OVER (PARTITION BY tmsid2 ORDER BY date) - 1) % 7 AS phase FROM l),
+    q AS (SELECT *, coalesce(avg(pm10) OVER (PARTITION BY tmsid2, phase), 0) AS season FROM p), f AS (SELECT *, pm10 - season AS flat, (epoch(date::TIMESTAMP) / 86400)::BIGINT AS d FROM q),
+    k AS (SELECT *, last_value(flat IGNORE NULLS) OVER a AS v0, last_value(CASE WHEN flat IS NOT NULL THEN d END IGNORE NULLS) OVER a AS t0,
+      first_value(flat IGNORE NULLS) OVER b AS v1, first_value(CASE WHEN flat IS NOT NULL THEN d END IGNORE NULLS) OVER b AS t1 FROM f
+      WINDOW a AS (PARTITION BY tmsid2 ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY tmsid2 ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT tmsid2, date, round(coalesce(pm10, CASE WHEN t1 > t0 THEN v0 + (v1 - v0) * (d - t0) / (t1 - t0) END + season, v0 + season, v1 + season), 3) AS pm10 FROM k"""
+)
 def impute_seasonal(t: Tables):
     df = W.impute_seasonal(W.complete_series(_sparse(t), ["tmsid2"], "date"), ["tmsid2"], "date", "pm10", 7)
     return df.select("tmsid2", "date", F.round("pm10", 3).alias("pm10"))
@@ -641,12 +657,79 @@ def job_daily_monitors(t: Tables):
     return out.select("tmsid", "tmsid2", "date", F.round("moved_m", 2).alias("moved_m"), "pm10", "pm25", "pm10_flag")
 
 
+def _smoothed_sql(v: str) -> tuple[str, str]:
+    fence = FENCE.replace("pm10", v).format("1.5")
+    a = f"CASE WHEN {v} IS NOT NULL THEN least({v}, (SELECT {fence} FROM a)) END AS {v}_a"
+    m = ", ".join(f"round(CASE WHEN count(*) OVER w = 7 THEN avg({c}) OVER w END, 3) AS {n}" for c, n in ((v, f"{v}_7"), (f"{v}_a", f"{v}_a7")))
+    return a, f"round({v}, 3) AS {v}, round({v}_a, 3) AS {v}_a, {m}"
+
+
+_PM10, _PM25 = _smoothed_sql("pm10"), _smoothed_sql("pm25")
+
+
 @query(
-    """WITH a AS (SELECT tmsid2, date, CASE WHEN AVG(pm10) <= 8000 THEN AVG(pm10) END AS pm10 FROM {measurements} GROUP BY tmsid2, date),
-    b AS (SELECT tmsid2, date, CASE WHEN pm10 IS NOT NULL THEN least(pm10, (SELECT """ + FENCE.format("1.5") + """ FROM a)) END AS pm10 FROM a)
-    SELECT tmsid2, date, round(pm10, 3) AS pm10, round(CASE WHEN count(*) OVER w = 3 THEN avg(pm10) OVER w END, 3) AS pm10_smooth FROM b
-    WINDOW w AS (PARTITION BY tmsid2 ORDER BY date ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"""
+    f"""WITH a AS (SELECT tmsid2, date, CASE WHEN AVG(pm10) <= 8000 THEN AVG(pm10) END AS pm10, AVG(pm25) AS pm25 FROM {{measurements}} GROUP BY tmsid2, date),
+    b AS (SELECT *, {_PM10[0]}, {_PM25[0]} FROM a),
+    c AS (SELECT tmsid2, date, year(date)::INT AS year, month(date)::INT AS month, day(date)::INT AS day, isodow(date)::INT AS weekday, (isodow(date) >= 6)::INT AS is_weekend, {_PM10[1]}, {_PM25[1]}
+      FROM b WINDOW w AS (PARTITION BY tmsid2 ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+    f AS (SELECT k.tmsid2, p.x AS coords_x, p.y AS coords_y, l.value AS dem FROM (SELECT DISTINCT tmsid2, tmsid FROM {{measurements}}) k JOIN {{points}} p ON p.pid = CAST(k.tmsid AS BIGINT)
+      LEFT JOIN {{landuse}} l ON l.row = floor((1920000 - p.y) / 500) AND l.col = floor((p.x - 900000) / 400))
+    SELECT c.*, f.coords_x, f.coords_y, f.dem FROM c JOIN f ON f.tmsid2 = c.tmsid2 WHERE c.year = 2024"""
 )
 def job_smoothed_daily(t: Tables):
-    out = jobs.smoothed_daily(t.measurements, None, {"pm10": 8000.0})
-    return out.select("tmsid2", "date", F.round("pm10", 3).alias("pm10"), F.round("pm10_smooth", 3).alias("pm10_smooth"))
+    from ..operators import raster as R
+
+    fine = R.Frame(900_000.0, 1_920_000.0, 400.0, 500.0)
+    places = R.sample_at_points(t.points, t.landuse.select("row", "col", "value"), fine).select(F.col("pid").cast("string").alias("tmsid"), F.col("x").alias("coords_x"), F.col("y").alias("coords_y"), F.col("value").alias("dem"))
+    features = t.measurements.select("tmsid2", "tmsid", F.lit(2024).alias("year")).distinct().join(places, "tmsid").drop("tmsid")
+    out = jobs.smoothed_daily(t.measurements, features, limits={"pm10": 8000.0})
+    values = [f"{v}{e}" for v in ("pm10", "pm25") for e in ("", "_a", "_7", "_a7")]
+    return out.withColumns({c: F.round(c, 3) for c in values})
+
+
+# --- readers, by what they read back ------------------------------------------------------------------------------
+@query("SELECT tmsid, site_type, year, date_start::TIMESTAMP AS date_start, coords FROM {site_history}")
+def read_site_history(t: Tables):
+    path = new_path(t.spark)
+    dated = t.site_history.select("tmsid", "site_type", "year", F.col("date_start").cast("timestamp_ntz").alias("date_start"), F.col("date_end").cast("timestamp_ntz").alias("date_end"), "coords")
+    dated.write.csv(path, header=True)
+    return S.read_site_history(t.spark, path).select("tmsid", "site_type", "year", "date_start", "coords")
+
+
+@query("SELECT tmsid, lon AS longitude, lat AS latitude FROM {original_sites}")
+def read_original_sites(t: Tables):
+    path = new_path(t.spark)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    t.original_sites.select("tmsid", text("lon").alias("longitude"), text("lat").alias("latitude")).write.parquet(path)
+    return S.read_original_sites(t.spark, path)
+
+
+@query("SELECT event_id, tmsid, CASE WHEN pm10 > -990 THEN pm10 * 0.1::DOUBLE END AS pm10 FROM {raw_measurements}")
+def read_weather(t: Tables):
+    path = new_path(t.spark)
+    t.raw_measurements.select("event_id", "tmsid", "pm10").write.parquet(path)
+    return S.read_weather(t.spark, path, ["pm10"], scale=0.1)
+
+
+@query("SELECT row, col, CASE WHEN class IS NOT NULL THEN value END AS value FROM {landuse}")
+def read_raster_cells(t: Tables):
+    path = new_path(t.spark)
+    t.landuse.select("row", "col", F.when(F.col("class").isNotNull(), F.col("value")).otherwise(-9999.0).alias("value")).write.parquet(path)
+    return S.read_raster_cells(t.spark, path, nodata=-9999.0)
+
+
+@query("SELECT user_id, value FROM events")
+def read_or_empty(t: Tables):
+    """The table that is there with one that isn't: only the former's rows."""
+    schema = t.events.select("user_id", "value").schema
+    here = S.read_or_empty(t.spark, f"{t.sf_dir}/events.parquet", schema)
+    return here.union(S.read_or_empty(t.spark, new_path(t.spark), schema))
+
+
+@query("SELECT event_id, date, date AS name_date, year(date)::INT AS name_year FROM {measurements}")
+def read_partitions(t: Tables):
+    """A folder for each day of the year; the day is read back from the names of the files."""
+    path = new_path(t.spark)
+    stamped = t.measurements.select("event_id", "date", F.concat(F.lit("MCD19.A"), F.date_format("date", "yyyyDDD")).alias("stamp"))
+    stamped.repartition("stamp").write.partitionBy("stamp").parquet(path)
+    return S.read_partitions(t.spark, f"{path}/stamp=*", r"A(\d{7})/", "yyyyDDD").select("event_id", "date", "name_date", "name_year")

@@ -46,7 +46,26 @@ def great_circle(t: Tables):
     return a.join(b, "tmsid").filter("a < b").select("a", "b", F.round(G.haversine_m("lon", "lat", "lon2", "lat2"), 2).alias("metres"))
 
 
-@query()
+def _ellipsoid_sql(rounds: int = 12) -> str:
+    """The geodesic by a fixed number of rounds of the usual iteration in the difference of longitudes."""
+    f, a = "(1 / 298.257223563::DOUBLE)", "6378137.0::DOUBLE"
+    b = f"({a} * (1 - {f}))"
+    parts = [f"""g0 AS (SELECT stay, radians(127.5 - lon) AS lo, radians(127.5 - lon) AS lam, atan((1 - {f}) * tan(radians(lat))) AS u1, atan((1 - {f}) * tan(radians(38.0))) AS u2 FROM {{stays}})"""]
+    trig = """sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs"""
+    for i in range(rounds):
+        parts.append(f"s{i} AS (SELECT *, {trig} FROM g{i})")
+        parts.append(f"t{i} AS (SELECT *, atan2(ss, cs) AS sigma, CASE WHEN ss = 0 THEN 0 ELSE cos(u1) * cos(u2) * sin(lam) / ss END AS sa FROM s{i})")
+        parts.append(f"c{i} AS (SELECT *, 1 - sa * sa AS ca2, CASE WHEN sa * sa = 1 THEN 0 ELSE cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) END AS cm FROM t{i})")
+        parts.append(f"k{i} AS (SELECT *, {f} / 16 * ca2 * (4 + {f} * (4 - 3 * ca2)) AS c FROM c{i})")
+        if i < rounds - 1:
+            parts.append(f"g{i + 1} AS (SELECT stay, lo, lo + (1 - c) * {f} * sa * (sigma + c * ss * (cm + c * cs * (2 * cm * cm - 1))) AS lam, u1, u2 FROM k{i})")
+    parts.append(f"u AS (SELECT *, ca2 * ({a} * {a} - {b} * {b}) / ({b} * {b}) AS u FROM k{rounds - 1})")
+    parts.append("w AS (SELECT *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS big, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS small FROM u)")
+    swing = "small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))"
+    return f"WITH {', '.join(parts)} SELECT stay, round({b} * big * (sigma - {swing}), 2) AS metres FROM w"
+
+
+@query(_ellipsoid_sql())
 def ellipsoid_distance(t: Tables):
     a = t.stays.select("stay", "lon", "lat")
     return a.select("stay", F.round(G.ellipsoid_m("lon", "lat", F.lit(127.5), F.lit(38.0)), 2).alias("metres"))
@@ -86,9 +105,9 @@ NEAREST = f"""n AS (SELECT p.pid, r.link_id, sqrt(pow(p.x - r.x1 - coalesce({SEG
 near AS (SELECT pid, arg_min(link_id, (d, link_id)) AS link_id, round(min(d), 3) AS distance FROM n GROUP BY pid)"""
 
 
-@query(f"WITH {NEAREST} SELECT pid, distance FROM near")
+@query(f"WITH {NEAREST} SELECT pid, link_id, distance FROM near")
 def nearest_road(t: Tables):
-    return X.nearest_segment(t.points, t.roads, "pid", "link_id", 1000.0).select("pid", F.round("distance", 3).alias("distance"))
+    return X.nearest_segment(t.points, t.roads, "pid", "link_id", 1000.0).select("pid", "link_id", F.round("distance", 3).alias("distance"))
 
 
 @query("SELECT eid, zone FROM {emitters}, {watersheds} WHERE x >= xmin AND x < xmax AND y >= ymin AND y < ymax")
@@ -142,12 +161,31 @@ def kernel_epanechnikov(t: Tables):
     return X.kernel_sources(t.points, t.emitters, "pid", 1500, "epanechnikov").withColumn("emission", F.round("emission", 3))
 
 
-@query("SELECT pid, CASE WHEN inside THEN emission END AS emission FROM (" + _kernel_sql("exp(-(d / 1500) * (d / 1500) / 2)", "WHERE d <= 1500", 1500).replace("WITH ", "SELECT * FROM (WITH ", 1) + ")) k JOIN (SELECT pid, EXISTS (SELECT 1 FROM {watersheds} WHERE zone % 2 = 0 AND x >= xmin AND x < xmax AND y >= ymin AND y < ymax) AS inside FROM {points}) USING (pid)")
+IN_EVEN = "EXISTS (SELECT 1 FROM {watersheds} WHERE zone % 2 = 0 AND x >= xmin AND x < xmax AND y >= ymin AND y < ymax)"
+
+
+@query(
+    f"""WITH k AS (SELECT *, {IN_EVEN} AS inside FROM {{points}}), e AS (SELECT * FROM {{emitters}} WHERE {IN_EVEN}),
+    d AS (SELECT p.pid, e.emission AS v, sqrt(pow(p.x - e.x, 2) + pow(p.y - e.y, 2)) AS d FROM k p, e WHERE p.inside),
+    s AS (SELECT pid, sum(v * exp(-(d / 1500) * (d / 1500) / 2)) / sum(exp(-(d / 1500) * (d / 1500) / 2)) AS m FROM d WHERE d <= 1500 GROUP BY pid)
+    SELECT p.pid, round(m, 3) AS emission FROM {{points}} p LEFT JOIN s USING (pid)"""
+)
 def kernel_clipped(t: Tables):
     clip = _rings(t).filter("zone % 2 = 0")
     return X.kernel_sources(t.points, t.emitters, "pid", 1500, truncate=True, clip=clip).withColumn("emission", F.round("emission", 3))
 
 
+@query(
+    """WITH d AS (SELECT p.pid, e.emission AS v, (e.eid % 4)::DOUBLE AS xw, sqrt(pow(p.x - e.x, 2) + pow(p.y - e.y, 2)) AS d FROM {points} p, {emitters} e),
+    s AS (SELECT pid, sum(v * xw * pow(1 - pow(d / 900, 3), 3)) / nullif(sum(xw * pow(1 - pow(d / 900, 3), 3)), 0) AS m FROM d WHERE d <= 900 GROUP BY pid)
+    SELECT p.pid, round(coalesce(m, -1), 3) AS emission FROM {points} p LEFT JOIN s USING (pid)"""
+)
+def kernel_weighted(t: Tables):
+    """Sources with a weight of their own; points without a source in reach get -1."""
+    sources = t.emitters.withColumn("share", (F.col("eid") % 4).cast("double"))
+    return X.kernel_sources(t.points, sources, "pid", 900, "tricube", weight="share", empty=-1.0).withColumn("emission", F.round("emission", 3))
+
+
 @query("SELECT zone, coalesce(w, 0)::DOUBLE AS weight FROM {watersheds} LEFT JOIN (SELECT zone, sum(CASE kind WHEN 'class 1' THEN 80 WHEN 'class 2' THEN 20 WHEN 'class 3' THEN 10 WHEN 'class 4' THEN 2 WHEN 'class 5' THEN 0.25 ELSE 0 END::DOUBLE) AS w FROM {emitters}, {watersheds} WHERE x >= xmin AND x < xmax AND y >= ymin AND y < ymax GROUP BY zone) s USING (zone)")
 def watershed_sources(t: Tables):
     from ..functions.columns import class_weight
@@ -166,21 +204,49 @@ def padded_grid(t: Tables):
     return X.padded_grid(e, 500.0, 4).select("row", "col", "xmin", "ymin")
 
 
+@query(
+    """WITH e AS (SELECT floor(min(x)) AS xmin, floor(max(x)) AS xmax, floor(min(y)) AS ymin, floor(max(y)) AS ymax FROM {points}),
+    b AS (SELECT xmin - 1000 AS x0, ymin - 1000 AS y0, (xmax + 1000 - ((xmax - xmin) % 1000) - xmin) / 10 AS w, (ymax + 1000 - ((ymax - ymin) % 1000) - ymin) / 10 AS h FROM e),
+    g AS (SELECT r::INT AS row, c::INT AS col, x0 + c * w AS xmin, y0 + r * h AS ymin, x0 + c * w + w AS xmax, y0 + r * h + h AS ymax FROM b, range(10) a(r), range(10) d(c))
+    SELECT row, col, round(xmin, 3) AS xmin, round(ymin, 3) AS ymin FROM g WHERE EXISTS (SELECT 1 FROM {watersheds} z WHERE z.zone % 4 = 0 AND z.xmin <= g.xmax AND z.xmax >= g.xmin AND z.ymin <= g.ymax AND z.ymax >= g.ymin)"""
+)
+def auto_grid(t: Tables):
+    e = t.points.agg(F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"))
+    out = X.auto_grid(e, 100.0, 10, _rings(t).filter("zone % 4 = 0"))
+    return out.select("row", "col", F.round("xmin", 3).alias("xmin"), F.round("ymin", 3).alias("ymin"))
+
+
 @query("SELECT (j * 3 + i)::INT AS part, xmin + i * (xmax - xmin) / 3 - 100 AS xmin, ymin + j * (ymax - ymin) / 2 - 100 AS ymin FROM (SELECT min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM {points}), range(3) a(i), range(2) b(j)")
 def split_extent(t: Tables):
     e = t.points.agg(F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"))
     return X.split_extent(e, 3, 2, 100.0).select("part", "xmin", "ymin")
 
 
-@query("SELECT concat(r, '_', c) AS gid, zone FROM (SELECT r, c, 900500 + c * 1000.0::DOUBLE AS x, 1900500 + r * 1000.0::DOUBLE AS y FROM range(20) a(r), range(20) b(c)) g JOIN {watersheds} ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax")
+def _plots(t: Tables):
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return t.plots.select("zone", F.array(at("xmin", "ymin"), at("xmax", "ymin"), at("xmax", "ymax"), at("xmin", "ymax")).alias("ring"))
+
+
+@query("SELECT concat(r, '_', c) AS gid, zone FROM (SELECT r, c, 900050 + c * 100.0::DOUBLE AS x, 1900050 + r * 100.0::DOUBLE AS y FROM range(200) a(r), range(200) b(c)) g JOIN {plots} ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax")
 def grid_in_region(t: Tables):
-    grid = X.point_grid(t.spark, 900_000, 1_900_000, 920_000, 1_920_000, 1000)
-    return X.points_in_polygons(grid, _rings(t), 4000.0, ["zone"]).select("gid", "zone")
+    """Cell centres in the plot of each emitter; plots overlap, and a centre is given with each that holds it."""
+    grid = X.point_grid(t.spark, 900_000, 1_900_000, 920_000, 1_920_000, 100)
+    return X.points_in_polygons(grid, _plots(t), 300.0, ["zone"]).select("gid", "zone")
+
 
+def _drawn_sql(salt: int) -> str:
+    return f"(('0x' || substr(md5('1.{salt}:' || id), 1, 12))::BIGINT / 281474976710656::DOUBLE)"
 
-@query()
+
+@query(
+    f"""WITH p AS (SELECT id, 900000 + {_drawn_sql(1)} * 20000 AS x, 1900000 + {_drawn_sql(2)} * 20000 AS y FROM (SELECT unnest(range((SELECT count(*) FROM {{emitters}})))::BIGINT AS id))
+    SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM p WHERE EXISTS (SELECT 1 FROM {{plots}} WHERE zone % 3 = 0 AND x >= xmin AND x < xmax AND y >= ymin AND y < ymax)"""
+)
 def random_points_in_region(t: Tables):
-    return X.random_points(t.spark, 500, 900_000, 1_900_000, 920_000, 1_920_000, inside=_rings(t).filter("zone % 3 = 0"), size=4000.0)
+    """As many points as there are emitters, those of them in a third of the plots."""
+    inside = _plots(t).filter("zone % 3 = 0")
+    out = X.random_points(t.spark, t.emitters.count(), 900_000, 1_900_000, 920_000, 1_920_000, inside=inside, size=300.0)
+    return out.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 # --- rasters ------------------------------------------------------------------------------------------------------
@@ -197,11 +263,49 @@ def zonal_mean(t: Tables):
     return R.zonal_mean(t.points, "pid", RADII, t.landuse, FINE, coverage="centre")
 
 
-@query()
+def _cover_sql(x0: str, x1: str, y0: str, y1: str, r: str, area: float) -> str:
+    """The share of a box, given relative to a circle's centre, that lies in the circle: signed areas from the centre to its corners."""
+
+    def corner(x: str, y: str) -> str:
+        a, b = f"least(abs({x}), {r})", f"least(abs({y}), {r})"
+        under = lambda t: f"(({t}) * sqrt(greatest({r} * {r} - ({t}) * ({t}), 0)) + {r} * {r} * asin(least(({t}) / {r}, 1))) / 2"
+        start = f"least(sqrt(greatest({r} * {r} - {b} * {b}, 0)), {a})"
+        return f"(sign({x}) * sign({y}) * CASE WHEN {a} * {a} + {b} * {b} <= {r} * {r} THEN {a} * {b} ELSE {b} * {start} + {under(a)} - {under(start)} END)"
+
+    return f"(greatest(0, {corner(x1, y1)} - {corner(x0, y1)} - {corner(x1, y0)} + {corner(x0, y0)}) / {area})"
+
+
+def _covered_sql(points: str, key: str, radii, rows: int, cols: int, dx: float, dy: float) -> str:
+    """key, radius, row, col and cover of all cells that circles touch, on a raster of so many rows and columns at the upper left corner."""
+    values = ", ".join(f"({float(r)}::DOUBLE)" for r in radii)
+    box = f"""SELECT p.{key}, v.r, a.r AS row, b.c AS col, 900000 + b.c * {dx} - p.x AS x0, 900000 + b.c * {dx} + {dx} - p.x AS x1,
+      1920000 - a.r * {dy} - {dy} - p.y AS y0, 1920000 - a.r * {dy} - p.y AS y1 FROM {points} p, (VALUES {values}) v(r), range({rows}) a(r), range({cols}) b(c)"""
+    near = "x0 < r AND x1 > -r AND y0 < r AND y1 > -r"
+    return f"(SELECT * FROM (SELECT {key}, r AS radius, row, col, {_cover_sql('x0', 'x1', 'y0', 'y1', 'r', dx * dy)} AS cover FROM ({box}) WHERE {near}) WHERE cover > 0)"
+
+
+#: Rows of cells that a circle about a point of the 20 km square can reach.
+FINE_ROWS = 50
+
+
+@query("WITH c AS " + _covered_sql("{points}", "pid", RADII, FINE_ROWS, 50, 400.0, 500.0) + " SELECT pid, radius, round(sum(value * cover) / sum(cover), 4) AS mean FROM c JOIN {landuse} l USING (row, col) WHERE value IS NOT NULL GROUP BY pid, radius")
 def zonal_mean_exact(t: Tables):
     return R.zonal_mean(t.points, "pid", RADII, t.landuse, FINE).withColumn("mean", F.round("mean", 4))
 
 
+def _fractions_sql(radii, digits: int = 6) -> str:
+    return ", ".join(
+        f"coalesce(round(sum(CASE WHEN class = {k} AND radius = {r} THEN cover END) / sum(CASE WHEN radius = {r} AND class IS NOT NULL THEN cover END), {digits}), 0) AS landuse_frac_{k}_{r}"
+        for k in CLASSES for r in radii
+    )
+
+
+@query("WITH c AS " + _covered_sql("{points}", "pid", RADII, FINE_ROWS, 50, 400.0, 500.0) + f", b AS (SELECT c.*, l.class FROM c JOIN {{landuse}} l USING (row, col)) SELECT p.pid, {_fractions_sql(RADII)} FROM {{points}} p LEFT JOIN b USING (pid) GROUP BY p.pid")
+def zonal_fraction_exact(t: Tables):
+    out = R.zonal_fraction(t.points, "pid", RADII, t.landuse, FINE, CLASSES)
+    return out.select("pid", *[F.round(c, 6).alias(c) for c in out.columns if c != "pid"])
+
+
 FRACTIONS = ", ".join(f"coalesce(round(sum(CASE WHEN class = {k} AND radius = {r} THEN 1.0::DOUBLE END) / sum(CASE WHEN radius = {r} AND class IS NOT NULL THEN 1.0::DOUBLE END), 6), 0) AS landuse_frac_{k}_{r}" for k in CLASSES for r in RADII)
 
 
@@ -225,7 +329,7 @@ def _focal_sql(shape: str, denom: str = "n") -> str:
 
 @query(_focal_sql("a * a + b * b <= 9"))
 def focal_class_fraction(t: Tables):
-    return R.focal_class_fraction(t.landuse, CLASSES, 3, tile=16).withColumn("fraction", F.round("fraction", 6))
+    return R.focal_class_fraction(t.landuse, CLASSES, 3).withColumn("fraction", F.round("fraction", 6))
 
 
 @query(_focal_sql("a * a + b * b <= 9"))
@@ -234,14 +338,32 @@ def focal_fraction_join(t: Tables):
     return out.withColumn("fraction", F.round("fraction", 6))
 
 
+@query(_focal_sql("a * a + b * b <= 9 OR greatest(abs(a), abs(b)) = 3 AND least(abs(a), abs(b)) = 1"))
+def focal_mask(t: Tables):
+    """The 7 by 7 kernel: a disk with the cells beside its tips."""
+    return R.focal_class_fraction(t.landuse, CLASSES, 3, shape="mask").withColumn("fraction", F.round("fraction", 6))
+
+
+@query(_focal_sql("a * a + b * b <= 12.25"))
+def focal_wide(t: Tables):
+    """A disk of half the window's width, 3.5 cells."""
+    return R.focal_class_fraction(t.landuse, CLASSES, 3, shape="wide").withColumn("fraction", F.round("fraction", 6))
+
+
+@query("SELECT r AS tr, c AS tc, count(*) AS n, sum(value) AS value FROM {landuse}, range(-1, 60) a(r), range(-1, 10) b(c) WHERE row BETWEEN r * 16 - 3 AND r * 16 + 18 AND col BETWEEN c * 16 - 3 AND c * 16 + 18 GROUP BY 1, 2")
+def tiles_with_halo(t: Tables):
+    dealt = R.with_halo(t.landuse.select("row", "col", "value"), 16, R.radius_cells(1200.0, 400.0, True))
+    return dealt.groupBy("tr", "tc").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+
+
 @query(_focal_sql("TRUE"))
 def focal_square(t: Tables):
-    return R.focal_class_fraction(t.landuse, CLASSES, 3, shape="square", tile=32).withColumn("fraction", F.round("fraction", 6))
+    return R.focal_class_fraction(t.landuse, CLASSES, 3, shape="square").withColumn("fraction", F.round("fraction", 6))
 
 
 @query(_focal_sql("a * a + b * b <= 9", "29"))
 def focal_kernel_denominator(t: Tables):
-    return R.focal_class_fraction(t.landuse, CLASSES, 3, denom="kernel", tile=16).withColumn("fraction", F.round("fraction", 6))
+    return R.focal_class_fraction(t.landuse, CLASSES, 3, denom="kernel").withColumn("fraction", F.round("fraction", 6))
 
 
 @query("SELECT l.row, l.col, (coalesce(count(*) FILTER (WHERE r.value > l.value), 0) / 16.0::DOUBLE) AS higher FROM {landuse} l LEFT JOIN {landuse} r ON greatest(abs(r.row - l.row), abs(r.col - l.col)) = 2 GROUP BY l.row, l.col")
@@ -273,9 +395,9 @@ def temporal_aggregate(t: Tables):
     return R.temporal_aggregate(t.reanalysis, "ts", HOW)
 
 
-@query("SELECT a.row, a.col, b.value FROM (SELECT DISTINCT row, col FROM {landuse} WHERE row < 20 AND col < 20) a LEFT JOIN (SELECT row, col, median(value) AS value FROM {reanalysis} WHERE variable = 't2m' GROUP BY row, col) b USING (row, col)")
+@query("SELECT a.row, a.col, b.value FROM (SELECT DISTINCT row, col FROM {landuse}) a LEFT JOIN (SELECT row, col, median(value) AS value FROM {reanalysis} WHERE variable = 't2m' GROUP BY row, col) b USING (row, col)")
 def cell_median_aligned(t: Tables):
-    template = t.landuse.filter("row < 20 AND col < 20").select("row", "col").distinct()
+    template = t.landuse.select("row", "col").distinct()
     return R.align_to(template, R.cell_median(t.reanalysis.filter("variable = 't2m'"), ["row", "col"]))
 
 
@@ -362,11 +484,11 @@ def dates_in_names(t: Tables):
     return S.with_name_date(t.orders, r"A(\d{7})\.", name).select("o_orderkey", "name_date", "name_year")
 
 
-@query("SELECT zone, xmin, ymin, xmax, ymax FROM {watersheds}")
+@query("SELECT zone, xmin, ymin, xmax, ymax FROM {plots}")
 def parse_wkt(t: Tables):
     pair = lambda x, y: F.concat_ws(" ", F.col(x).cast("string"), F.col(y).cast("string"))
     text = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", pair("xmin", "ymin"), pair("xmax", "ymin"), pair("xmax", "ymax"), pair("xmin", "ymax")), F.lit("))"))
-    df = t.watersheds.select("zone", text.alias("wkt")).withColumn("ring", S.parse_wkt("wkt"))
+    df = t.plots.select("zone", text.alias("wkt")).withColumn("ring", S.parse_wkt("wkt"))
     return X.with_box(df).select("zone", "xmin", "ymin", "xmax", "ymax")
 
 
@@ -377,54 +499,67 @@ def repeated_mean(t: Tables):
 
 
 @query(
-    """WITH p AS (SELECT a.pid, b.pid AS neighbour, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS d FROM {points} a, {points} b WHERE a.pid <> b.pid AND a.pid < 16 AND b.pid < 16),
+    """WITH p AS (SELECT a.pid, b.pid AS neighbour, b.x - a.x AS dx, b.y - a.y AS dy, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS d FROM {points} a, {points} b WHERE a.pid <> b.pid AND a.pid IN (SELECT CAST(tmsid AS BIGINT) FROM {measurements}) AND b.pid IN (SELECT CAST(tmsid AS BIGINT) FROM {measurements})),
     k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, neighbour)::INT AS rank FROM p) WHERE rank <= 3),
-    d AS (SELECT CAST(tmsid AS BIGINT) AS pid, date, AVG(pm10) AS pm10 FROM {measurements} WHERE event_id % 40 < 13 GROUP BY 1, 2),
+    d AS (SELECT CAST(tmsid AS BIGINT) AS pid, date, AVG(pm10) AS pm10 FROM {measurements} GROUP BY 1, 2),
     w AS (SELECT * FROM (SELECT pid, date, count(*) OVER (PARTITION BY pid ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n, first_value(pm10) OVER (PARTITION BY pid ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS first_pm10 FROM d) WHERE n = 5)
-    SELECT w.pid, w.date, w.first_pm10, count(*) AS n_neighbours, sum((v.pid IS NOT NULL)::INT)::BIGINT AS n_known, max(CASE WHEN k.rank = 1 THEN v.first_pm10 END) AS nearest_first
+    SELECT w.pid, w.date, w.first_pm10, count(*) AS n_neighbours, sum((v.pid IS NOT NULL)::INT)::BIGINT AS n_known, max(CASE WHEN k.rank = 1 THEN v.first_pm10 END) AS nearest_first, max(CASE WHEN k.rank = 1 THEN round(k.d / 1000, 5) END) AS nearest_km, max(CASE WHEN k.rank = 1 THEN round(sin(atan2(k.dx, k.dy)), 5) END) AS nearest_sin
     FROM w JOIN k ON k.pid = w.pid LEFT JOIN w v ON v.pid = k.neighbour AND v.date = w.date GROUP BY w.pid, w.date, w.first_pm10"""
 )
 def space_time_samples(t: Tables):
     from ..operators.series import space_time_samples as samples
 
-    daily = t.measurements.filter("event_id % 40 < 13").groupBy(F.col("tmsid").cast("bigint").alias("pid"), "date").agg(F.avg("pm10").alias("pm10"))
-    pairs = X.neighbour_features(X.nearest_neighbours(t.points.filter("pid < 16"), "pid", 3))
+    daily = t.measurements.groupBy(F.col("tmsid").cast("bigint").alias("pid"), "date").agg(F.avg("pm10").alias("pm10"))
+    pairs = X.neighbour_features(X.nearest_neighbours(t.points.join(daily.select("pid"), "pid", "left_semi"), "pid", 3))
     out = samples(daily, "pid", "date", ["pm10"], 5, pairs, ["bearing_sin", "dist_km"])
     first = F.get("neighbours", F.lit(0))
     return out.select(
         "pid", "date", F.get("window", F.lit(0))["pm10"].alias("first_pm10"), F.size("neighbours").cast("bigint").alias("n_neighbours"),
         F.aggregate("neighbours", F.lit(0), lambda a, n: a + n["mask"]).cast("bigint").alias("n_known"), F.get(first["window"], F.lit(0))["pm10"].alias("nearest_first"),
+        F.round(first["dist_km"], 5).alias("nearest_km"), F.round(first["bearing_sin"], 5).alias("nearest_sin"),
     )
 
 
 # --- jobs ---------------------------------------------------------------------------------------------------------
-STATIC = f"""WITH {NEAREST}, {BUFFERS.replace('{cells}', '{landuse}')}, f AS (SELECT p.pid, {FRACTIONS} FROM {{points}} p LEFT JOIN b USING (pid) GROUP BY p.pid),
-k AS (SELECT pid, sum(v * (1 - (d / 1500) * (d / 1500))) / nullif(sum(1 - (d / 1500) * (d / 1500)), 0) AS e FROM (SELECT p.pid, e.emission AS v, sqrt(pow(p.x - e.x, 2) + pow(p.y - e.y, 2)) AS d FROM {{points}} p, {{emitters}} e) WHERE d <= 1500 GROUP BY pid)
-SELECT p.pid, p.x, p.y, round(near.distance / 1000, 6) AS d_road, l.value AS dem, f.* EXCLUDE (pid), round(k.e, 2) AS emission
-FROM {{points}} p JOIN near USING (pid) JOIN f USING (pid) LEFT JOIN k USING (pid) LEFT JOIN {{landuse}} l ON l.row = floor((1920000 - p.y) / 500) AND l.col = floor((p.x - 900000) / 400)"""
+LAND_RADII = (500, 1500, 2000, 3000)
+
+
+def _annual_sql(base: str) -> str:
+    """All yearly features of the rows of a base table (pid, x, y, year, ...), by trying all pairs."""
+    places = f"(SELECT DISTINCT x, y, concat(x, ' ', y) AS place FROM {base})"
+    near = NEAREST.replace("p.pid", "p.place").replace("pid", "place").replace("{points}", places)
+    whole = "EXISTS (SELECT 1 FROM {watersheds} WHERE x >= xmin AND x < xmax AND y >= ymin AND y < ymax)"
+    return f"""WITH {near}, c AS {_covered_sql(places, 'place', LAND_RADII, FINE_ROWS, 50, 400.0, 500.0)},
+    land AS (SELECT c.place, l.year, {_fractions_sql(LAND_RADII, 5)} FROM c JOIN {{landuse_years}} l USING (row, col) WHERE l.class IS NOT NULL GROUP BY c.place, l.year),
+    s AS (SELECT * FROM {{emitters}} WHERE {whole}), q AS (SELECT * FROM {places} WHERE {whole}),
+    k AS (SELECT place, sum(v * exp(-(d / 2000) * (d / 2000) / 2)) / sum(exp(-(d / 2000) * (d / 2000) / 2)) AS e, min(d) AS least FROM (SELECT q.place, s.emission AS v, sqrt(pow(q.x - s.x, 2) + pow(q.y - s.y, 2)) AS d FROM q, s) GROUP BY place),
+    a AS (SELECT row, col, year, median(value) AS aod FROM {{aod_years}} GROUP BY ALL), h AS (SELECT row, col, year, median(value) AS blh FROM {{blh_years}} GROUP BY ALL)
+    SELECT b.*, round(near.distance / 1000, 6) AS d_road, round(CASE WHEN k.least <= 2000 THEN k.e END, 3) AS emission, t.dem, t.dsm, t.mtpi, t.mtpi_1km,
+      land.* EXCLUDE (place, year), coalesce(a.aod, 0) AS aod, coalesce(h.blh, 0) AS blh
+    FROM {base} b JOIN near ON near.place = concat(b.x, ' ', b.y) LEFT JOIN k ON k.place = near.place LEFT JOIN land ON land.place = near.place AND land.year = b.year - 1
+    LEFT JOIN {{terrain}} t ON t.row = floor((1920000 - b.y) / 500) AND t.col = floor((b.x - 900000) / 400)
+    LEFT JOIN a ON a.row = floor((1920000 - b.y) / 1000) AND a.col = floor((b.x - 900000) / 1000) AND a.year = b.year
+    LEFT JOIN h ON h.row = floor((1920000 - b.y) / 1000) AND h.col = floor((b.x - 900000) / 1000) AND h.year = b.year"""
 
 
-def _static(t: Tables, points):
-    cells = t.landuse.select("row", "col", "value")
-    out = jobs.static_features(points, "pid", t.roads, cells, t.landuse, t.emitters, FINE, RADII, CLASSES, 1500, 1000.0, "centre")
-    return out.withColumns({"d_road": F.round("d_road", 6), "emission": F.round("emission", 2)} | {c: F.round(c, 6) for c in out.columns if c.startswith("landuse_")})
+def _annual(t: Tables, base):
+    out = jobs.annual_features(base, t.roads, t.terrain, t.landuse_years, t.emitters, _rings(t), t.aod_years, t.blh_years, FINE, COARSE, LAND_RADII, CLASSES, 2000, 1000.0)
+    return out.withColumns({"d_road": F.round("d_road", 6), "emission": F.round("emission", 3)} | {c: F.round(c, 5) for c in out.columns if c.startswith("landuse_")})
 
 
-@query(STATIC)
+@query(_annual_sql("{site_years}"))
 def job_annual_features(t: Tables):
-    return _static(t, t.points)
+    return _annual(t, t.site_years)
 
 
-@query(STATIC.replace("{points}", "{gridpoints}"))
+@query(_annual_sql("{grid_years}"))
 def job_grid_features(t: Tables):
-    grid = X.point_grid(t.spark, 900_000, 1_900_000, 920_000, 1_920_000, 2000)
-    rc = F.split("gid", "_")
-    return _static(t, grid.withColumn("pid", rc[0].cast("bigint") * 10 + rc[1].cast("bigint")).select("pid", "x", "y"))
+    return _annual(t, t.grid_years)
 
 
-@query(STATIC.replace("{points}", "{originals}"))
+@query(_annual_sql("{original_years}"))
 def job_original_features(t: Tables):
-    return _static(t, t.originals)
+    return _annual(t, t.original_years)
 
 
 @query(
@@ -440,15 +575,33 @@ def job_landuse_comparison(t: Tables):
     return out.select("pid", "class", "radius", "type", F.round("fraction", 5).alias("fraction"))
 
 
-@query(
-    f"""WITH d AS ({DAILY}), {ZONE_DAYS}, w AS (SELECT pid, date, round(max(CASE WHEN variable = 't2m' THEN mean END) - 273.15, 1) AS t2m_1500 FROM z GROUP BY pid, date),
-    m AS (SELECT CAST(tmsid AS BIGINT) AS pid, DATE '1995-01-01' + (date - DATE '2024-01-01')::INT AS date, AVG(pm10) AS pm10 FROM {{measurements}} GROUP BY 1, 2)
-    SELECT m.pid, m.date, m.pm10, w.t2m_1500, l.value AS dem FROM m LEFT JOIN w USING (pid, date) LEFT JOIN {{points}} p USING (pid) LEFT JOIN {{landuse}} l ON l.row = floor((1920000 - p.y) / 500) AND l.col = floor((p.x - 900000) / 400)"""
-)
+AOD_RADII, WEATHER_RADII = (1000, 1500, 2000, 2500, 3000), (1500, 2500)
+STATIC = ("d_road", "dem", "dsm", "emission", "mtpi", "mtpi_1km", *[f"landuse_frac_{k}_{r}" for k in CLASSES for r in LAND_RADII])
+
+
+def _daily_features_sql() -> str:
+    weather = ", ".join(f"round(max(CASE WHEN variable = '{v}' AND radius = {r} THEN mean END) - {273.15 if v == 't2m' else 0}, 1) AS {v}_{r}" for v in HOW for r in WEATHER_RADII)
+    aod = ", ".join(f"round(max(CASE WHEN radius = {r} THEN mean END), 3) AS aod_{r}" for r in AOD_RADII)
+    return f"""WITH d AS ({DAILY}), c AS {_covered_sql('{points}', 'pid', sorted({*AOD_RADII, *WEATHER_RADII}), 20, 20, 1000.0, 1000.0)},
+    z AS (SELECT pid, radius, variable, date, sum(value * cover) / sum(cover) AS mean FROM c JOIN d USING (row, col) WHERE value IS NOT NULL GROUP BY ALL),
+    w AS (SELECT pid, date, {weather} FROM z WHERE radius IN {WEATHER_RADII} GROUP BY pid, date),
+    o AS (SELECT row, col, date, avg(aod) AS value FROM {{aod}} GROUP BY ALL),
+    y AS (SELECT pid, radius, date, sum(value * cover) / sum(cover) AS mean FROM c JOIN o USING (row, col) WHERE value IS NOT NULL AND date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31' GROUP BY ALL),
+    v AS (SELECT pid, date, {aod} FROM y GROUP BY pid, date),
+    m AS (SELECT CAST(tmsid AS BIGINT) AS pid, DATE '1995-01-01' + (date - DATE '2024-01-01')::INT AS date, AVG(pm10) AS pm10 FROM {{measurements}} GROUP BY 1, 2),
+    f AS ({_annual_sql('{point_years}')})
+    SELECT m.*, year(m.date)::INT AS year, w.* EXCLUDE (pid, date), v.* EXCLUDE (pid, date), {', '.join('f.' + c for c in STATIC)}
+    FROM m LEFT JOIN w USING (pid, date) LEFT JOIN v USING (pid, date) LEFT JOIN f ON f.pid = m.pid AND f.year = year(m.date)"""
+
+
+@query(_daily_features_sql())
 def job_daily_features(t: Tables):
+    """Monitors of 2024 are laid on the same days of 1995, the years that the rasters have."""
     day = F.expr("date_add(DATE '1995-01-01', datediff(date, DATE '2024-01-01'))")
     monitors = t.measurements.groupBy(F.col("tmsid").cast("bigint").alias("pid"), day.alias("date")).agg(F.avg("pm10").alias("pm10"))
-    weather = R.daily_weather(t.points, "pid", t.reanalysis, COARSE, [1500], HOW, coverage="centre").select("pid", "date", F.round("t2m_1500", 1).alias("t2m_1500"))
-    static = R.sample_at_points(t.points, t.landuse.select("row", "col", "value"), FINE).select("pid", F.col("value").alias("dem"))
-    none = t.spark.createDataFrame([], "pid bigint, date date, aod_2000 double")
-    return jobs.daily_features(monitors, weather, none, static, "pid").drop("aod_2000")
+    weather = R.daily_weather(t.points, "pid", t.reanalysis, COARSE, WEATHER_RADII, HOW)
+    stays = t.points.select("pid", "x", "y", F.lit("1995-01-01").cast("date").alias("date_start"), F.lit("1995-12-31").cast("date").alias("date_end"))
+    cells = t.aod.groupBy("row", "col", "date").agg(F.avg("aod").alias("value"))
+    aod = R.daily_aod(stays, "pid", cells, COARSE, AOD_RADII)
+    out = jobs.daily_features(monitors, [weather, aod], _annual(t, t.point_years), "pid", STATIC)
+    return out.withColumns({f"{v}_{r}": F.round(f"{v}_{r}", 1) for v in HOW for r in WEATHER_RADII} | {f"aod_{r}": F.round(f"aod_{r}", 3) for r in AOD_RADII})

@@ -42,16 +42,35 @@ VIEWS = {
         SELECT CAST(s_suppkey AS BIGINT) AS pid, CAST(900000 + s_suppkey * 7919 % 20000 AS DOUBLE) AS x, CAST(1900000 + s_suppkey * 6101 % 20000 AS DOUBLE) AS y
         FROM {supplier}""",
     "original_sites": """
-        SELECT CAST(s_suppkey % 16 AS STRING) AS tmsid, CASE WHEN s_suppkey % 17 <> 0 THEN 126 + CAST(s_suppkey * 37 % 400 AS DOUBLE) / 100 + CAST(s_suppkey % 5 AS DOUBLE) / 1000 END AS lon,
-          CASE WHEN s_suppkey % 17 <> 0 THEN 34 + CAST(s_suppkey * 53 % 400 AS DOUBLE) / 100 + CAST(s_suppkey % 5 AS DOUBLE) / 1000 END AS lat
-        FROM {supplier} WHERE s_suppkey < 16""",
+        SELECT tmsid, CASE WHEN s_suppkey % 17 <> 0 THEN lon + CAST(s_suppkey % 5 AS DOUBLE) / 1000 END AS lon,
+          CASE WHEN s_suppkey % 17 <> 0 THEN lat + CAST(s_suppkey % 5 AS DOUBLE) / 1000 END AS lat
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tmsid ORDER BY s_suppkey) AS nth FROM {site_history}) WHERE nth = 1""",
     "originals": """
         SELECT CAST(s_suppkey AS BIGINT) AS pid, CAST(900000 + (s_suppkey * 7919 + 137) % 20000 AS DOUBLE) AS x, CAST(1900000 + (s_suppkey * 6101 + 211) % 20000 AS DOUBLE) AS y
         FROM {supplier}""",
     "gridpoints": """
-        SELECT DISTINCT CAST(FLOOR(c_custkey % 100 / 10) * 10 + c_custkey % 10 AS BIGINT) AS pid, CAST(901000 + c_custkey % 10 * 2000 AS DOUBLE) AS x,
-          CAST(1901000 + FLOOR(c_custkey % 100 / 10) * 2000 AS DOUBLE) AS y
+        SELECT CAST(c_custkey AS BIGINT) AS pid, CAST(900050 + c_custkey % 200 * 100 AS DOUBLE) AS x, CAST(1900050 + FLOOR(c_custkey / 200) % 200 * 100 AS DOUBLE) AS y
         FROM {customer}""",
+    "plots": """
+        SELECT eid AS zone, x - 150 AS xmin, y - 150 AS ymin, x + 150 AS xmax, y + 150 AS ymax FROM {emitters}""",
+    "site_years": """
+        SELECT stay AS pid, tmsid, CONCAT(tmsid, '-', CAST(stay AS STRING)) AS tmsid2, x, y, CAST(1994 + stay % 2 + n AS INT) AS year
+        FROM {stays} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n) two""",
+    "point_years": """
+        SELECT pid, x, y, CAST(1995 AS INT) AS year FROM {points}""",
+    "grid_years": """
+        SELECT pid, x, y, CAST(1995 AS INT) AS year FROM {gridpoints}""",
+    "original_years": """
+        SELECT pid, x, y, CAST(1994 + pid % 3 AS INT) AS year FROM {originals}""",
+    "terrain": """
+        SELECT row, col, value AS dem, value + row % 3 AS dsm, value - col % 5 AS mtpi, value * 2 - row % 7 AS mtpi_1km FROM {landuse}""",
+    "landuse_years": """
+        SELECT CAST(1993 + n AS INT) AS year, row, col, CAST((class + n * row) % 6 AS INT) AS class
+        FROM {landuse} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n UNION ALL SELECT 2 AS n) three""",
+    "aod_years": """
+        SELECT row, col, CAST(YEAR(date) AS INT) AS year, aod AS value FROM {aod}""",
+    "blh_years": """
+        SELECT row, col, CAST(YEAR(ts) AS INT) AS year, value FROM {reanalysis} WHERE variable = 'sp'""",
     "emitters": """
         SELECT c_custkey AS eid, CAST(900000 + c_custkey * 7919 % 20000 AS DOUBLE) AS x, CAST(1900000 + c_custkey * 6101 % 20000 AS DOUBLE) AS y,
           ABS(c_acctbal) AS emission, CONCAT('class ', CAST(c_nationkey % 7 AS STRING)) AS kind, CASE WHEN c_custkey % 3 = 0 THEN '01' ELSE '02' END AS status

@@ -50,8 +50,10 @@ def read_original_sites(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c).cast("string"), F.lit("")).try_cast("double") for c in ("longitude", "latitude")})
 
 
-def read_weather(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_weather(spark: SparkSession, path: str, values: Sequence[str], missing: float = -990.0, scale: float = 1.0) -> DataFrame:
+    """Station weather: values at or below the mark of missing ones are null, the others are scaled."""
+    df = spark.read.parquet(path)
+    return df.withColumns({v: F.when(F.col(v) > missing, F.col(v) * scale) for v in values})
 
 
 def parse_wkt(col: str) -> Column:

@@ -101,6 +101,26 @@ def test_tables(spark, line):
     spark.sql("DROP TABLE kept_line")
 
 
+def test_export_to_a_database(spark, line, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    K.write_jdbc(line, url, "line")
+    back = spark.read.jdbc(url, "line")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, line.collect()), key=str)
+
+
+def test_dates_by_position(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 9), ("a", 2)], "k string, i int")
+    dates = spark.createDataFrame([("2024-01-02",), ("2024-01-01",), ("2024-01-02",)], "d string")
+    got = {(r["k"], r["i"]): r["date"] for r in J.date_by_position(df, ["k"], ["i"], dates).collect()}
+    assert got == {("a", 1): "2024-01-01", ("a", 2): "2024-01-02", ("a", 3): None, ("b", 9): "2024-01-01"}
+
+
+def test_infinite_values_in_ranges(spark):
+    df = spark.createDataFrame([(1.0,), (float("inf"),), (None,), (-3.0,)], "v double")
+    got = A.range_report(df, ["v"]).first()
+    assert (got["min"], got["max"]) == (-3.0, 1.0)
+
+
 def test_latin_hypercube_fills_each_axis():
     got = M.latin_hypercube({"a": (0.0, 10.0), "b": (-3.0, 0.0)}, 10, powers=["b"])
     assert sorted(int(r["a"]) for r in got) == list(range(10))
