@@ -196,33 +196,32 @@ def _enough(x: str, y: str, percent: int) -> Column:
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
     """The pairs (a, b) of classes that are linked, by their texts."""
-    c = classes.select("sid", "n", "more", "prefix")
-    close = pairs.join(c.alias("x"), F.col("a") == F.col("x.sid")).join(c.alias("y"), F.col("b") == F.col("y.sid"))
+    c = classes.select("cid", "n", "more", "prefix")
+    close = pairs.join(c.alias("x"), F.col("a") == F.col("x.cid")).join(c.alias("y"), F.col("b") == F.col("y.cid"))
     close = materialise(close.filter(_enough("x", "y", percent)).select("a", "b"))
-    wanted = close.select(F.col("a").alias("sid")).union(close.select(F.col("b").alias("sid"))).distinct()
-    wanted = materialise(wanted.join(classes.select("sid", "text_key"), "sid"))
-    keys = small(wanted.select("sid", "text_key"))
+    wanted = close.select(F.col("a").alias("cid")).union(close.select(F.col("b").alias("cid"))).distinct()
+    wanted = materialise(wanted.join(classes.select("cid", "sid", "text_key"), "cid"))
     text = F.col(text_col).cast("string")
-    found = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(keys, "text_key").select("sid", "text")
+    found = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(small(wanted), "text_key").select("cid", "sid", "text")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
             keep = []
-            for sid, raw in zip(batch.column(0).to_pylist(), raw_texts(batch), strict=True):
-                new = sid not in seen and set_id(shingles(raw, n, hashes)) == sid
+            for cid, sid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch), strict=True):
+                new = cid not in seen and set_id(shingles(raw, n, hashes)) == sid
                 keep.append(new)
                 if new:
-                    seen.add(sid)
+                    seen.add(cid)
             if len(seen) > 1_000_000:
                 seen.clear()
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
 
-    texts = map_batches(found, once, struct(("sid", T.BinaryType()), ("text", T.StringType()))).groupBy("sid").agg(F.first("text").alias("text"))
+    texts = map_batches(found, once, struct(("cid", T.LongType()), ("text", T.StringType()))).groupBy("cid").agg(F.first("text").alias("text"))
     texts = materialise(texts)  # the joins then read plain tables, and a leader's many pairs can be split over tasks
     joined = (
-        close.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
+        close.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
 
@@ -238,28 +237,20 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    out = materialise(map_batches(joined, compare, struct(("a", T.BinaryType()), ("b", T.BinaryType()))))
+    out = materialise(map_batches(joined, compare, struct(("a", T.LongType()), ("b", T.LongType()))))
     discard(close, wanted, texts)
     return out
 
 
 def link_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets (sid, n, more, prefix, parity, text_key, first_doc), and (node, root) for those that are linked."""
-    classes = materialise(
-        sets.filter(F.col("n") > 0)
-        .groupBy("sid")
-        .agg(
-            F.first("n").alias("n"),
-            F.min("doc_id").alias("first_doc"),
-            F.first("more").alias("more"),
-            F.first("prefix").alias("prefix"),
-            F.first("parity").alias("parity"),
-            F.min("text_key").alias("text_key"),
-        )
+    """Classes of equal sets (sid, cid, n, more, prefix, parity, text_key, first_doc), and (node, root) for the cids that are linked."""
+    classes = sets.filter(F.col("n") > 0).groupBy("sid").agg(
+        F.min("doc_id").alias("first_doc"), F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "more", "prefix", "parity")]
     )
-    postings = classes.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
-    one = F.struct(F.xxhash64("sid").alias("k"), "sid", "n", "pos")
-    leaders = postings.groupBy("token").agg(F.min(one).alias("leader"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    # from here on a class is a number: half as long as its hash, and far easier to compress
+    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()))
+    postings = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
+    leaders = postings.groupBy("token").agg(F.min(F.struct("cid", "n", "pos")).alias("leader"), F.count(F.lit(1)).alias("held")).filter("held > 1")
     live = materialise(postings.join(leaders.select("token", "leader"), "token"))
 
     def near(nx, px, ny, py) -> Column:
@@ -269,14 +260,14 @@ def link_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, text_co
 
     def to_leader(rows: DataFrame) -> DataFrame:
         lead = F.col("leader")
-        rows = rows.filter((F.col("sid") != lead["sid"]) & near(F.col("n"), F.col("pos"), lead["n"], lead["pos"]))
-        return rows.select(F.col("sid").alias("a"), lead["sid"].alias("b")).distinct()
+        rows = rows.filter((F.col("cid") != lead["cid"]) & near(F.col("n"), F.col("pos"), lead["n"], lead["pos"]))
+        return rows.select(F.col("cid").alias("a"), lead["cid"].alias("b")).distinct()
 
     links = _verified(to_leader(live), classes, docs, n, percent, text_col)
     roots = materialise(connected_components(links))
 
     def rooted(rows: DataFrame) -> DataFrame:
-        return rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        return rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
     def open_tokens(rows: DataFrame) -> DataFrame:
         """Postings of the shingles that still stand in more than one component."""
@@ -286,15 +277,14 @@ def link_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, text_co
     # second round: another leader for each shingle, for those in other components than it
     still = materialise(open_tokens(rooted(live.drop("leader"))))
     discard(live)
-    one = F.struct(F.xxhash64("sid", "token").alias("k"), "sid", "n", "pos", "root")
-    second = still.groupBy("token").agg(F.min(one).alias("leader"))
+    second = still.groupBy("token").agg(F.max(F.struct("cid", "n", "pos", "root")).alias("leader"))
     more = _verified(to_leader(still.join(second, "token").filter(F.col("root") != F.col("leader.root"))), classes, docs, n, percent, text_col)
     if not more.isEmpty():
         links = links.union(more)
         roots = materialise(connected_components(links))
 
     # the rest, pair by pair, unless the sketches already differ in more bits than linked sets in elements
-    rest = materialise(open_tokens(rooted(still.drop("root"))).join(classes.select("sid", "parity"), "sid"))
+    rest = materialise(open_tokens(rooted(still.drop("root"))).join(classes.select("cid", "parity"), "cid"))
     discard(still)
     x, y = rest.alias("x"), rest.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
@@ -302,12 +292,12 @@ def link_classes(docs: DataFrame, sets: DataFrame, n: int, percent: int, text_co
     pairs = x.join(
         y,
         (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.sid") < F.col("y.sid"))
+        & (F.col("x.cid") < F.col("y.cid"))
         & (F.col("x.root") != F.col("y.root"))
         & near(nx, F.col("x.pos"), ny, F.col("y.pos"))
         & (apart <= nx + ny - 2 * _least_overlap_col(nx, ny, percent)),
     )
-    pairs = pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    pairs = pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     more = _verified(pairs, classes, docs, n, percent, text_col)
     discard(rest)
     if not more.isEmpty():
@@ -328,8 +318,8 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     """
     sets = materialise(_sets(docs, n, percent, id_col, text_col))
     classes, roots = link_classes(docs, sets, n, percent, text_col)
-    named = classes.select("sid", "first_doc").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    named = named.withColumn("root", F.coalesce("root", "sid"))
+    named = classes.select("sid", "cid", "first_doc").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    named = named.withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = named.join(least, "root").select("sid", "component_id")
     out = sets.select("doc_id", "n", "sid").join(named, "sid", "left")
