@@ -40,7 +40,7 @@ def sample_at_points(points: DataFrame, cells: DataFrame, frame: Frame, values:
 def buffer_cells(points: DataFrame, key: str, radii: Sequence[float], frame: Frame, coverage: str = "exact") -> DataFrame:
     """key, radius, row, col, cover: every cell that a circle about a point touches, and the share of it inside.
 
-    coverage 'centre' takes cells whole whose centre is inside.
+    coverage 'centre' takes cells whole whose centre is inside. A share below 1e-9 is rounding, not contact.
     """
     p = points.select(key, "x", "y").withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii])))
     x, y, r = F.col("x"), F.col("y"), F.col("radius")
@@ -53,7 +53,7 @@ def buffer_cells(points: DataFrame, key: str, radii: Sequence[float], frame: Fra
         p = p.withColumn("cover", F.when(inside, 1.0))
     else:
         p = p.withColumn("cover", circle_cover(x, y, r, left, top - frame.dy, left + frame.dx, top))
-    return p.filter(F.col("cover") > 0).select(key, "radius", "row", "col", "cover")
+    return p.filter(F.col("cover") > 1e-9).select(key, "radius", "row", "col", "cover")
 
 
 def zonal_mean(points: DataFrame, key: str, radii: Sequence[float], cells: DataFrame, frame: Frame, by: Sequence[str] = (), coverage: str = "exact") -> DataFrame:

@@ -356,11 +356,11 @@ def collapse_first(t: Tables):
 @query(
     """WITH j AS (SELECT d.tmsid, d.date, d.pm10, s.date_start, s.date_end, count(*) OVER (PARTITION BY d.tmsid, d.date) AS n
       FROM {daily} d JOIN {stays} s ON d.tmsid = s.tmsid)
-    SELECT tmsid, date, AVG(CASE WHEN n = 1 OR date BETWEEN date_start AND date_end THEN pm10 END) AS pm10, MIN(date_start) AS date_start, MAX(date_end) AS date_end FROM j GROUP BY tmsid, date"""
+    SELECT tmsid, date, round(AVG(CASE WHEN n = 1 OR date BETWEEN date_start AND date_end THEN pm10 END), 6) AS pm10, MIN(date_start) AS date_start, MAX(date_end) AS date_end FROM j GROUP BY tmsid, date"""
 )
 def collapse_by_interval(t: Tables):
     rows = t.daily.select("tmsid", "date", "pm10").join(t.stays.select("tmsid", "date_start", "date_end"), "tmsid")
-    return H.collapse_by_interval(rows, ["tmsid", "date"], ["pm10"])
+    return H.collapse_by_interval(rows, ["tmsid", "date"], ["pm10"]).withColumn("pm10", F.round("pm10", 6))
 
 
 @query("SELECT s.s_suppkey, s.tmsid, m.year, m.pm10 FROM {site_history} s LEFT JOIN (SELECT tmsid, year(date)::INT AS year, AVG(pm10) AS pm10 FROM {measurements} GROUP BY 1, 2) m USING (tmsid)")

@@ -281,7 +281,7 @@ def _covered_sql(points: str, key: str, radii, rows: int, cols: int, dx: float,
     box = f"""SELECT p.{key}, v.r, a.r AS row, b.c AS col, 900000 + b.c * {dx} - p.x AS x0, 900000 + b.c * {dx} + {dx} - p.x AS x1,
       1920000 - a.r * {dy} - {dy} - p.y AS y0, 1920000 - a.r * {dy} - p.y AS y1 FROM {points} p, (VALUES {values}) v(r), range({rows}) a(r), range({cols}) b(c)"""
     near = "x0 < r AND x1 > -r AND y0 < r AND y1 > -r"
-    return f"(SELECT * FROM (SELECT {key}, r AS radius, row, col, {_cover_sql('x0', 'x1', 'y0', 'y1', 'r', dx * dy)} AS cover FROM ({box}) WHERE {near}) WHERE cover > 0)"
+    return f"(SELECT * FROM (SELECT {key}, r AS radius, row, col, {_cover_sql('x0', 'x1', 'y0', 'y1', 'r', dx * dy)} AS cover FROM ({box}) WHERE {near}) WHERE cover > 1e-9)"
 
 
 #: Rows of cells that a circle about a point of the 20 km square can reach.
@@ -580,8 +580,8 @@ STATIC = ("d_road", "dem", "dsm", "emission", "mtpi", "mtpi_1km", *[f"landuse_fr
 
 
 def _daily_features_sql() -> str:
-    weather = ", ".join(f"round(max(CASE WHEN variable = '{v}' AND radius = {r} THEN mean END) - {273.15 if v == 't2m' else 0}, 1) AS {v}_{r}" for v in HOW for r in WEATHER_RADII)
-    aod = ", ".join(f"round(max(CASE WHEN radius = {r} THEN mean END), 3) AS aod_{r}" for r in AOD_RADII)
+    weather = ", ".join(f"round(max(CASE WHEN variable = '{v}' AND radius = {r} THEN mean END) - {273.15 if v == 't2m' else 0}, 4) AS {v}_{r}" for v in HOW for r in WEATHER_RADII)
+    aod = ", ".join(f"round(max(CASE WHEN radius = {r} THEN mean END), 6) AS aod_{r}" for r in AOD_RADII)
     return f"""WITH d AS ({DAILY}), c AS {_covered_sql('{points}', 'pid', sorted({*AOD_RADII, *WEATHER_RADII}), 20, 20, 1000.0, 1000.0)},
     z AS (SELECT pid, radius, variable, date, sum(value * cover) / sum(cover) AS mean FROM c JOIN d USING (row, col) WHERE value IS NOT NULL GROUP BY ALL),
     w AS (SELECT pid, date, {weather} FROM z WHERE radius IN {WEATHER_RADII} GROUP BY pid, date),
@@ -604,4 +604,4 @@ def job_daily_features(t: Tables):
     cells = t.aod.groupBy("row", "col", "date").agg(F.avg("aod").alias("value"))
     aod = R.daily_aod(stays, "pid", cells, COARSE, AOD_RADII)
     out = jobs.daily_features(monitors, [weather, aod], _annual(t, t.point_years), "pid", STATIC)
-    return out.withColumns({f"{v}_{r}": F.round(f"{v}_{r}", 1) for v in HOW for r in WEATHER_RADII} | {f"aod_{r}": F.round(f"aod_{r}", 3) for r in AOD_RADII})
+    return out.withColumns({f"{v}_{r}": F.round(f"{v}_{r}", 4) for v in HOW for r in WEATHER_RADII} | {f"aod_{r}": F.round(f"aod_{r}", 6) for r in AOD_RADII})
