@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import cut, discard, small
 from ..session import ship_package
 
+__all__ = [
+    "WORD", "ascii_words", "blank_words", "discard", "fold_of", "lower_ascii", "map_batches", "materialise", "raw_texts", "small", "small_batches", "struct", "table", "text_input",
+]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word: letters and digits of ASCII, and every character beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -78,59 +80,13 @@ def struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields])
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir. Only a local master may do without: it gets a temporary one."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="aerogrid-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def _path(spark: SparkSession, name: str):
-    """A Hadoop path and its file system."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
+    """cut() with small Arrow batches: df written as a Parquet table in the shared folder and read back.
 
-    This cuts the lineage: a lost executor costs nothing that was finished, and later
-    steps don't repeat the passes over the texts. Tables go when the application ends, or by discard().
+    A lost executor then costs nothing that was finished, and later steps don't repeat the passes over the texts.
     """
-    spark = df.sparkSession
-    root = f"{scratch_dir(spark)}/aerogrid-{spark.sparkContext.applicationId}"
-    path, files = _path(spark, root)
-    if not files.exists(path):
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-    name = f"{root}/{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.parquet(name)
-    out = spark.read.schema(df.schema).parquet(name)
-    out.scratch_table = name
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialise() that nothing reads any more; other frames are left alone."""
-    for df in tables:
-        if name := getattr(df, "scratch_table", None):
-            path, files = _path(df.sparkSession, name)
-            files.delete(path, True)
-
-
-#: Bytes of a table up to which it is broadcast to a join; beyond, both sides are shuffled.
-BROADCAST_BYTES = 32_000_000
-
-
-def small(df: DataFrame, row_bytes: Column | None = None) -> DataFrame:
-    """df, for broadcast if it is small: 32 bytes a row and row_bytes."""
-    held = df.agg(F.sum(F.lit(32) if row_bytes is None else row_bytes + 32)).first()[0] or 0
-    return F.broadcast(df) if held <= BROADCAST_BYTES else df
+    with small_batches(df.sparkSession):
+        return cut(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -218,7 +218,7 @@ def decontaminate(
 
     Texts are read twice: for fingerprints, and (only those that met the benchmark) for windows. What is found
     belongs to a text, so copies of one are looked at once. A filter of at most 8 MB of the benchmark's fingerprints thins out those
-    of the documents before the join; tables are broadcast up to common.BROADCAST_BYTES and shuffled beyond.
+    of the documents before the join; tables are broadcast up to scratch.BROADCAST_BYTES and shuffled beyond.
     """
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")

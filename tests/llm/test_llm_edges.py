@@ -220,7 +220,7 @@ def test_quality(docs, none, spark):
 def test_decontamination(docs, none, spark, monkeypatch):
     items = spark.createDataFrame([(1, "p0 p1 P2! p3 p4 p5 p6 p7 p8 p9 p10"), (2, "la la"), (3, None), (4, "!!"), (None, "three"), (2, "same text of some")], "item_id bigint, text string")
     for most in (0, 10_000_000):  # by shuffle, by broadcast
-        monkeypatch.setattr("aerogrid.llm.common.BROADCAST_BYTES", most)
+        monkeypatch.setattr("aerogrid.scratch.BROADCAST_BYTES", most)
         out = decontaminate(docs, items)
         got = by_id(out)
         assert out.count() == 15 and (got[1]["n_words"], got[1]["n_hit"], got[1]["contaminated"]) == (0, 0, False)
