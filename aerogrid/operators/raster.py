@@ -56,22 +56,84 @@ def buffer_cells(points: DataFrame, key: str, radii: Sequence[float], frame: Fra
     return p.filter(F.col("cover") > 1e-9).select(key, "radius", "row", "col", "cover")
 
 
-def zonal_mean(points: DataFrame, key: str, radii: Sequence[float], cells: DataFrame, frame: Frame, by: Sequence[str] = (), coverage: str = "exact") -> DataFrame:
-    """key, radius, by..., mean of the known cells in each circle, weighted by the share inside.
+#: Columns of a strip: a raster's rows are cut into strips, of which a circle takes whole ones by their sums.
+STRIP = 64
+
+
+def circle_pieces(points: DataFrame, key: str, radii: Sequence[float], frame: Frame, coverage: str = "exact") -> DataFrame:
+    """key, radius, row, strip, lo, hi, cover: circles as runs of whole cells from column lo to before hi, one strip each, and as
+    single cells (hi = lo + 1) where the circle's line cuts them.
 
-    Circles are laid out before they meet the cells, so the join is on row and col alone, whatever the raster's size.
+    The cells are those of buffer_cells; a circle of r cells across has about r rows of runs and r cut cells instead of r² cells.
     """
-    found = buffer_cells(points, key, radii, frame, coverage).join(cells.filter(F.col("value").isNotNull()), ["row", "col"])
-    return found.groupBy(key, "radius", *by).agg((F.sum(F.col("value") * F.col("cover")) / F.sum("cover")).alias("mean"))
+    p = points.select(key, "x", "y").dropna(subset=["x", "y"]).withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii])))
+    x, y, r = F.col("x"), F.col("y"), F.col("radius")
+    p = p.withColumn("row", F.explode(F.sequence(frame.row(y + r), frame.row(y - r))))
+    top = F.lit(frame.y0) - F.col("row") * frame.dy
+    west = x - F.lit(frame.x0)
+
+    def reach(away: Column) -> Column:
+        """Half the chord at a distance from the centre; null beyond the circle."""
+        return F.when(away <= r, F.sqrt(r * r - away * away))
+
+    if coverage == "centre":
+        half = reach(F.abs(top - frame.dy / 2 - y))
+        p = p.withColumns({"c0": F.ceil((west - half) / frame.dx - 0.5).cast("int"), "c1": F.floor((west + half) / frame.dx - 0.5).cast("int")})
+    else:
+        above, below = top - y, top - frame.dy - y
+        whole = reach(F.greatest(F.abs(above), F.abs(below)))
+        cut_ = reach(F.when((above >= 0) & (below <= 0), 0.0).otherwise(F.least(F.abs(above), F.abs(below))))
+        p = p.withColumns({"c0": F.ceil((west - whole) / frame.dx).cast("int"), "c1": (F.floor((west + whole) / frame.dx) - 1).cast("int")})
+        p = p.withColumns({"a": F.floor((west - cut_) / frame.dx).cast("int"), "z": F.floor((west + cut_) / frame.dx).cast("int")})
+    runs = p.filter(F.col("c0") <= F.col("c1")).withColumn("strip", F.explode(F.sequence(F.floor(F.col("c0") / STRIP).cast("int"), F.floor(F.col("c1") / STRIP).cast("int"))))
+    first, after = F.greatest("c0", F.col("strip") * STRIP), F.least(F.col("c1") + 1, (F.col("strip") + 1) * STRIP)
+    runs = runs.select(key, "radius", "row", "strip", first.alias("lo"), after.alias("hi"), F.lit(1.0).alias("cover"))
+    if coverage == "centre":
+        return runs
+    none, some = F.array().cast("array<int>"), F.col("c0") <= F.col("c1")
+    before = F.when(F.col("a") < F.col("c0"), F.sequence(F.col("a"), F.col("c0") - 1)).otherwise(none)
+    behind = F.when(F.col("c1") < F.col("z"), F.sequence(F.col("c1") + 1, F.col("z"))).otherwise(none)
+    edge = p.filter(F.col("a").isNotNull()).withColumn("lo", F.explode(F.when(some, F.concat(before, behind)).otherwise(F.sequence("a", "z"))))
+    left = F.lit(frame.x0) + F.col("lo") * frame.dx
+    edge = edge.withColumn("cover", circle_cover(x, y, r, left, top - frame.dy, left + frame.dx, top)).filter(F.col("cover") > 1e-9)
+    edge = edge.select(key, "radius", "row", F.floor(F.col("lo") / STRIP).cast("int").alias("strip"), "lo", (F.col("lo") + 1).alias("hi"), "cover")
+    return runs.unionByName(edge)
+
+
+def zonal_sums(points: DataFrame, key: str, radii: Sequence[float], cells: DataFrame, frame: Frame, by: Sequence[str] = (), coverage: str = "exact") -> DataFrame:
+    """key, radius, by..., total (of value times the share inside) and weight (the shares) of the known cells in each circle.
+
+    Cells (row, col, by..., value; each once) are gathered to strips of a row, so the join is on (row, strip), whatever the raster's size.
+    """
+    known = cells.filter(F.col("value").isNotNull()).withColumn("strip", F.floor(F.col("col") / STRIP).cast("int"))
+    strips = known.groupBy("row", "strip", *by).agg(
+        F.sum(F.col("value").cast("double")).alias("v"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("col", F.col("value").cast("double").alias("value"))).alias("cells")
+    )
+    strips = strips.withColumn("of", F.map_from_entries("cells"))
+    pieces = circle_pieces(points, key, radii, frame, coverage)
+    all_, one = (F.col("hi") - F.col("lo")) == STRIP, (F.col("hi") - F.col("lo")) == 1
+    single = F.element_at("of", F.col("lo"))
+    inside = F.filter("cells", lambda c: (c["col"] >= F.col("lo")) & (c["col"] < F.col("hi")))
+    value = F.when(all_, F.col("v")).when(one, F.coalesce(single, F.lit(0.0))).otherwise(F.aggregate(inside, F.lit(0.0), lambda a, c: a + c["value"]))
+    number = F.when(all_, F.col("n")).when(one, F.when(single.isNotNull(), 1).otherwise(0)).otherwise(F.size(inside))
+    found = pieces.join(strips, ["row", "strip"]).select(key, "radius", *by, (value * F.col("cover")).alias("v"), (number * F.col("cover")).alias("w"))
+    return found.groupBy(key, "radius", *by).agg(F.sum("v").alias("total"), F.sum("w").alias("weight")).filter(F.col("weight") > 0)
+
+
+def zonal_mean(points: DataFrame, key: str, radii: Sequence[float], cells: DataFrame, frame: Frame, by: Sequence[str] = (), coverage: str = "exact") -> DataFrame:
+    """key, radius, by..., mean of the known cells in each circle, weighted by the share inside."""
+    found = zonal_sums(points, key, radii, cells, frame, by, coverage)
+    return found.select(key, "radius", *by, (F.col("total") / F.col("weight")).alias("mean"))
 
 
 def zonal_fraction(points: DataFrame, key: str, radii: Sequence[float], cells: DataFrame, frame: Frame, classes: Sequence[int], by: Sequence[str] = (), coverage: str = "exact") -> DataFrame:
     """key, by..., and landuse_frac_<class>_<radius> columns: the share of each class of the cells with one; 0 if absent."""
-    found = buffer_cells(points, key, radii, frame, coverage).join(cells.filter(F.col("class").isNotNull()), ["row", "col"])
+    known = cells.filter(F.col("class").isNotNull()).select("row", "col", "class", *by, F.lit(1.0).alias("value"))
+    found = zonal_sums(points, key, radii, known, frame, ["class", *by], coverage)
     inside = {(k, r): (F.col("radius") == float(r)) & (F.col("class") == k) for k in classes for r in radii}
-    total = {r: F.sum(F.when(F.col("radius") == float(r), F.col("cover"))) for r in radii}
+    total = {r: F.sum(F.when(F.col("radius") == float(r), F.col("weight"))) for r in radii}
     cols = [
-        F.coalesce(F.sum(F.when(w, F.col("cover"))) / total[r], F.lit(0.0)).alias(f"landuse_frac_{k}_{int(r)}") for (k, r), w in inside.items()
+        F.coalesce(F.sum(F.when(w, F.col("weight"))) / total[r], F.lit(0.0)).alias(f"landuse_frac_{k}_{int(r)}") for (k, r), w in inside.items()
     ]
     got = found.groupBy(key, *by).agg(*cols)
     if by:

@@ -102,6 +102,28 @@ def test_circle_cover_is_the_circle(spark):
         assert r["s"] * 100 == pytest.approx(math.pi * r["radius"] ** 2, rel=1e-9)
 
 
+@pytest.mark.parametrize("coverage", ["exact", "centre"])
+def test_runs_and_cut_cells_are_the_circle_s_cells(spark, coverage):
+    rng = np.random.default_rng(9)
+    rows = [(r, c, float(rng.integers(0, 50)) if rng.random() > 0.1 else None, int(rng.integers(0, 2)), int(rng.integers(0, 3))) for r in range(60) for c in range(150) if rng.random() > 0.05]
+    df = spark.createDataFrame(rows, "row int, col int, value double, t int, class int")
+    pts = spark.createDataFrame([(i, float(rng.uniform(-20, 1500)), float(rng.uniform(0, 900))) for i in range(12)] + [(50, 755.0, 300.0), (51, None, 1.0)], "pid int, x double, y double")
+    frame, radii = R.Frame(0.0, 900.0, 10.0, 15.0), [4, 90, 700]
+    held = R.buffer_cells(pts, "pid", radii, frame, coverage).join(df.filter("value IS NOT NULL"), ["row", "col"])
+    want = {(r["pid"], r["radius"], r["t"]): (r["m"], r["w"]) for r in held.groupBy("pid", "radius", "t").agg((F.sum(F.col("value") * F.col("cover")) / F.sum("cover")).alias("m"), F.sum("cover").alias("w")).collect()}
+    sums = {(r["pid"], r["radius"], r["t"]): (r["total"] / r["weight"], r["weight"]) for r in R.zonal_sums(pts, "pid", radii, df, frame, ["t"], coverage).collect()}
+    assert set(sums) == set(want)
+    for k, (m, w) in want.items():
+        assert sums[k] == (pytest.approx(m), pytest.approx(w)), k
+    pieces = R.circle_pieces(pts, "pid", radii, frame, coverage)
+    assert pieces.count() < 0.25 * R.buffer_cells(pts, "pid", radii, frame, coverage).count()
+    got = {(r["pid"], k, q): r[f"landuse_frac_{k}_{q}"] for r in R.zonal_fraction(pts, "pid", radii, df.drop("value"), frame, [0, 1, 2], coverage=coverage).collect() for k in range(3) for q in radii}
+    all_ = R.buffer_cells(pts, "pid", radii, frame, coverage).join(df, ["row", "col"]).toPandas()
+    for (pid, k, q), f in got.items():
+        mine = all_[(all_["pid"] == pid) & (all_["radius"] == q)]
+        assert f == pytest.approx(mine[mine["class"] == k]["cover"].sum() / mine["cover"].sum() if len(mine) else 0.0)
+
+
 def test_projection_round_trip(spark):
     df = spark.createDataFrame([(127.5, 38.0), (126.0, 34.0), (129.3, 36.6)], "lon double, lat double")
     for grid in G.GRIDS.values():
