@@ -45,10 +45,14 @@ def _assembled(t: Tables):
     return rows, model
 
 
-@query("SELECT s_suppkey AS id, 'x + y' AS terms, 'pm10 ~ x + y' AS formula FROM supplier")
+@query("SELECT pid, mtpi, mtpi_1km, dem, 'pm10 ~ dem + mtpi + mtpi_1km' AS formula FROM (SELECT p.pid, t.* FROM {points} p LEFT JOIN {terrain} t ON t.row = floor((1920000 - p.y) / 500) AND t.col = floor((p.x - 900000) / 400))")
 def select_terms(t: Tables):
-    terms = M.select_terms(t.points, ["^x$", "^y$"])
-    return t.points.select(F.col("pid").alias("id"), F.lit(" + ".join(terms)).alias("terms"), F.lit(M.formula("pm10", terms)).alias("formula"))
+    """The columns of the feature table that a model's patterns choose."""
+    from ..operators import raster as R
+
+    features = R.sample_at_points(t.points, t.terrain, R.Frame(900_000.0, 1_920_000.0, 400.0, 500.0), ("dem", "dsm", "mtpi", "mtpi_1km"))
+    terms = M.select_terms(features, ["^mtpi", "^d.m$"], drop=["dsm"])
+    return features.select("pid", *terms, F.lit(M.formula("pm10", terms)).alias("formula"))
 
 
 @query(
