@@ -1,9 +1,9 @@
 """Licence scan by a positional rare-token index, in DataFrame functions alone.
 
 Templates are a table of texts, each with a key phrase that must stand as it is. One pass over the documents lists the places of
-all words that templates use; their document frequencies rank the words of each key phrase. A file is looked up by those of
-its licence words that are rarest for a template: each says where the template would start, and where they all say the same is
-a candidate. Candidates are verified from the same list of places: the whole key phrase, then the share of
+all words that templates use; their document frequencies rank the words of each key phrase. A file is looked up by the rarest
+word of each phrase; of the phrases found so, the words that this file holds least often (ties: the rarest in all files) each
+say where the template would start, and where they all say the same is a candidate. Candidates are verified from the same list of places: the whole key phrase, then the share of
 the template's words that stand at their relative places.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, discard, lower_ascii, materialise, small
@@ -70,7 +70,7 @@ TEMPLATES = (
     ),
 )
 
-#: The least share of a template's words that must be in place for its label, and words of a key phrase that are looked up.
+#: The least share of a template's words that must be in place for its label, and words of a key phrase whose places are intersected.
 MIN_SHARE, RARE = 0.6, 3
 
 
@@ -122,15 +122,25 @@ def scan_licenses(
     places = materialise(each.select("row", "word", (F.col("place") - 1).alias("place"), F.when(own, F.col("doc_id")).alias("doc_id"), F.when(own, F.col("n")).alias("n_words")))
     rows, hits = places.filter("place = -1").select("row", "doc_id", "n_words"), places.filter("place >= 0").select("row", "word", "place")
 
-    # the rarest words of each key phrase, by documents that hold them
+    # the words of each key phrase, the rarest first: that of the highest log(N / df), whatever N
     key_words = small(index.filter("in_key").select("word").distinct(), F.octet_length("word"))
     frequency = hits.join(key_words, "word", "left_semi").groupBy("word", "row").agg(F.lit(1).alias("one")).groupBy("word").agg(F.count("one").alias("df"))
-    # the word of rank 1 has the highest log(N / df), whatever N
-    by_idf = F.row_number().over(_window("template", F.coalesce("df", F.lit(0)), "at"))
-    ranked = index.filter("in_key").join(F.broadcast(frequency), "word", "left").withColumn("by_idf", by_idf).filter(F.col("by_idf") <= rare)
-    ranked = materialise(ranked.select("template", "word", "at", F.least("key_size", F.lit(rare)).alias("wanted")))
-    looked = hits.join(small(ranked, F.octet_length("word")), "word").select("row", "template", (F.col("place") - F.col("at")).alias("start"), "wanted")
-    starts = looked.groupBy("row", "template", "start").agg(F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted"))
+    by_idf = F.row_number().over(Window.partitionBy("template").orderBy(F.coalesce("df", F.lit(0)), "at"))
+    keys = index.filter("in_key").join(small(frequency, F.octet_length("word")), "word", "left").withColumn("by_idf", by_idf)
+    keys = small(materialise(keys.select("template", "word", "at", "by_idf", "key_size")), F.octet_length("word"))
+
+    # a file is looked up by the rarest word of each template; what it holds of such a template's key phrase goes on
+    asked = hits.join(keys.filter("by_idf = 1").select("template", "word"), "word").select("row", "template").distinct()
+    asked = materialise(asked)
+    mine = hits.join(small(asked.select("row").distinct()), "row", "left_semi").join(keys, "word").join(small(asked), ["row", "template"])
+    mine = materialise(mine.select("row", "template", "at", "place", "by_idf", "key_size"))
+    # of the words of the phrase, those that this file holds least often, and of these the rarest in all files, say where it may start
+    held = mine.groupBy("row", "template", "at").agg(F.count(F.lit(1)).alias("n"), F.first("by_idf").alias("by_idf"), F.first("key_size").alias("key_size"))
+    of_phrase = Window.partitionBy("row", "template")
+    held = held.withColumns({"nth": F.row_number().over(of_phrase.orderBy("n", "by_idf")), "words": F.count(F.lit(1)).over(of_phrase)})
+    chosen = held.filter((F.col("words") == F.col("key_size")) & (F.col("nth") <= rare)).select("row", "template", "at", F.least("key_size", F.lit(rare)).alias("wanted"))
+    starts = mine.join(chosen, ["row", "template", "at"]).groupBy("row", "template", (F.col("place") - F.col("at")).alias("start"))
+    starts = starts.agg(F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted"))
     starts = materialise(starts.filter(F.col("n") == F.col("wanted")).select("row", "template", "start"))
 
     # verification: what should stand where, and does
@@ -150,7 +160,7 @@ def scan_licenses(
         labels(F.when(base, F.col("label"))).alias("base_labels"), labels("label").alias("labels"), F.max("share").alias("score"),
     )
     of_row = materialise(of_row)
-    discard(ranked, starts)
+    discard(asked, mine, starts)
     out = rows.join(small(of_row, F.octet_length("labels") + 64), "row", "left")
     return out.select(
         "doc_id",
@@ -164,12 +174,6 @@ def scan_licenses(
     )
 
 
-def _window(key: str, *order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(*order)
-
-
 def scan_licenses_sql(templates=TEMPLATES, min_share: float = MIN_SHARE) -> str:
     """The same rows by trying every place where a key phrase's first word stands, as DuckDB SQL."""
     heads, words = [], []

@@ -29,7 +29,8 @@ def dedupe_lines(
     null with 0 lines; pages with a null host form one host with the empty name. Repeated rows are each cleaned. Other
     columns pass through, but columns named n_lines or n_dropped are replaced. An empty table stays empty.
 
-    Only 64-bit hashes of lines are shuffled, summed before the shuffle, so a hot host or line is no hot task.
+    Only 64-bit hashes of lines are shuffled, summed before the shuffle, so a hot host or line is no hot task. With more than
+    broadcast_lines boilerplate lines in all, rows are shuffled by host to meet their list; adaptive execution splits a hot host's.
     """
     spark_host = (F.col(host) if isinstance(host, str) else host).cast("string")
     site = F.coalesce(spark_host, F.lit(""))

@@ -270,3 +270,43 @@ def test_only_numbers_of_a_language_go_and_packing_keeps_all_ids(spark, small):
         ids = np.array([*library.encode(r["text"], add_special_tokens=False).ids, 1], "<u4")
         mine = pieces[pieces["doc_id"] == r["doc_id"]].sort_values("start")
         assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(mine["start"], mine["length"], strict=True)] == list(mine["ids_crc32"]) and mine["length"].sum() == len(ids)
+
+
+# --- licences -----------------------------------------------------------------------------------------------------
+def test_licence_words_in_any_order_against_sql(spark, tmp_path):
+    import duckdb
+
+    from aerogrid.llm import license_scan
+
+    r = random.Random(17)
+    phrases = [t.text for t in license_scan.TEMPLATES] + [t.key for t in license_scan.TEMPLATES]
+    words = sorted({w for p in phrases for w in p.lower().split()})
+    texts = ["", None, "license " * 400 + "mit license", "MIT License MIT license", "public license general public license general"]
+    for _ in range(150):
+        parts = [r.choice(phrases) if r.random() < 0.4 else " ".join(r.choice(words) for _ in range(r.randrange(1, 8))) for _ in range(r.randrange(1, 6))]
+        text = " ".join(parts).split()
+        for _ in range(r.randrange(0, 3)):  # a word changed
+            text[r.randrange(len(text))] = r.choice(words)
+        texts.append(r.choice([" ", ", ", "\n"]).join(text))
+    rows = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    rows.to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for rare in (1, 3, 99):
+        mine = license_scan.scan_licenses(df, rare=rare).toPandas().sort_values("doc_id", ignore_index=True)
+        theirs = con.execute(license_scan.scan_licenses_sql()).df().sort_values("doc_id", ignore_index=True)[list(mine.columns)]
+        for c in mine.columns:
+            assert [None if pd.isna(x) else x for x in mine[c]] == [None if pd.isna(x) else x for x in theirs[c]], c
+    assert (mine["labels"] != "").sum() > 60
+
+
+def test_templates_of_ones_own(spark):
+    from aerogrid.llm import license_scan
+
+    docs = spark.createDataFrame([(1, "All rights are kept by the owner of this house"), (2, "kept by the owner")], "doc_id int, text string")
+    own = spark.createDataFrame([("house", "rights are kept by the owner of this house", "kept by the owner", False)] * 2, "label string, text string, key string, base boolean")
+    got = {r["doc_id"]: (r["labels"], r["score"], r["n_base"]) for r in license_scan.scan_licenses(docs, own).collect()}
+    assert got == {1: ("house", 1.0, 0), 2: ("", 0.0, 0)}
+    with pytest.raises(Exception, match="key phrase"):
+        license_scan.scan_licenses(docs, own.withColumn("key", F.lit("absent words"))).collect()
