@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from aerogrid.llm.common import materialise, table  # noqa: E402
+from aerogrid.llm.common import discard, materialise, table  # noqa: E402
 from aerogrid.llm.pipeline import STAGES  # noqa: E402
 
 #: Language models, hash-ordered prefixes and packing aren't SQL; tests hold the stages against brute force.
@@ -20,5 +20,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written before the next reads it."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
