@@ -218,11 +218,10 @@ def focal_class_fraction(
 
         valid = sums(~np.isnan(kind))
         own = here[radius : radius + tile, radius : radius + tile]
-        at = np.nonzero(own)
-        out = []
+        at, present = np.nonzero(own), set(kind[~np.isnan(kind)])
+        n, out = valid[at], []
         for k in codes:
-            count = sums(kind == k)[at]
-            n = valid[at]
+            count = sums(kind == k)[at] if k in present else np.zeros(len(n), np.int32)
             f = count / full if denom == "kernel" else np.divide(count, n, out=np.full(len(n), np.nan), where=n > 0)
             f = np.where(n == 0, np.nan if empty is None else empty, f)
             out.append(pd.DataFrame({"row": at[0] + tr * tile, "col": at[1] + tc * tile, "class": k, "fraction": f}))
