@@ -96,7 +96,7 @@ class Model(NamedTuple):
 
 def candidates(model: Model, words: Words) -> np.ndarray:
     """The languages that some word's script allows; all, if a word is of a script that no language is written in."""
-    rows = model.allowed[np.unique(words.scripts)]
+    rows = model.allowed[np.flatnonzero(np.bincount(words.scripts))]
     return np.flatnonzero(rows.any(axis=0)) if rows.any(axis=1).all() else np.arange(len(model.languages))
 
 
@@ -106,7 +106,7 @@ def word_scores(model: Model, words: Words) -> np.ndarray:
     open_ = candidates(model, words)
     if len(open_) < len(model.languages):
         sums = np.full(allowed.shape, -np.inf)
-        sums[:, open_] = np.add.reduceat(model.table[:, open_][words.buckets], words.begins, axis=0)
+        sums[:, open_] = np.add.reduceat(model.table[words.buckets][:, open_], words.begins, axis=0)
     else:
         sums = np.add.reduceat(model.table[words.buckets], words.begins, axis=0)
     sums = np.where(allowed, sums, -np.inf)
