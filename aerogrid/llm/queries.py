@@ -12,10 +12,14 @@ from .common import fold_of, table
 from .decontaminate import decontaminate
 from .hilbert_ann import search
 from .jaccard_join import link_documents
+from .lexical_search import search as rank_documents
+from .lexical_search import search_sql
 from .license_scan import scan_licenses, scan_licenses_sql
 from .packing import pack
+from .prefix_trie import prefix_trie, prefix_trie_sql, share_openings, turns_of
 from .suffix_dedup import find_repeats
 from .token_count import count_tokens
+from .url_filter import filter_urls, filter_urls_sql
 
 
 def tokenizer(name: str) -> str:
@@ -74,6 +78,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(share_openings(turns_of(table(spark, sf_dir, "conversations")))).drop("node_id", "parent_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -88,6 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_decontaminate,
             op9_token_count,
             op10_jaccard_join,
+            op11_url_filter,
+            op12_lexical_search,
+            op13_prefix_trie,
         )
     }
 
@@ -96,4 +115,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": scan_licenses_sql(),
         "op3_line_dedup": line_dedup.dedupe_lines_sql(),
+        "op11_url_filter": filter_urls_sql(),
+        "op12_lexical_search": search_sql(),
+        "op13_prefix_trie": prefix_trie_sql(),
     }
