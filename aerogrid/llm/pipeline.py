@@ -58,9 +58,13 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts have no lines and stay as they are. Copies are cleaned alike; a null source is a source of its own.
     n_chars is counted anew.
     """
-    out = line_dedup.dedupe_lines(docs)
+    rest = [c for c in docs.columns if c not in ("text", "source")]
+    packed = docs.select("text", "source", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("aerogrid_row"))  # the operator's own counts mustn't meet their names
+    out = line_dedup.dedupe_lines(packed)
     out = out.filter((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    found = {"text": F.col("text"), "source": F.col("source"), "n_chars": n_chars}
+    return out.select(*[found.get(c, F.col(f"aerogrid_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

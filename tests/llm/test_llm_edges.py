@@ -17,7 +17,7 @@ from aerogrid.llm.license_scan import scan_licenses
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that operators use inside.
-CLASH = ["n_words", "score", "row", "site", "kept", "sid", "n", "token", "root", "spans", "words", "hits", "place", "v", "key", "label", "part"]
+CLASH = ["n_words", "score", "row", "site", "kept", "sid", "n", "token", "root", "spans", "words", "hits", "place", "v", "key", "label", "part", "n_lines", "n_dropped", "n_pages", "line", "rank"]
 
 
 def _long(n, seed):
@@ -103,7 +103,7 @@ def test_repeats_of_periodic_and_crowded_texts(spark):
 def test_lines(docs, none, spark):
     out = line_dedup.dedupe_lines(docs)
     assert out.count() == 15 and line_dedup.dedupe_lines(none).count() == 0
-    assert set(docs.columns) < set(out.columns)
+    assert set(docs.columns) | {"n_lines", "n_dropped"} == set(out.columns)
     rows = [(i, f"menu\n\nown line {i}", "h") for i in range(10)] + [(10, None, "h"), (11, "menu", None)]
     got = line_dedup.dedupe_lines(spark.createDataFrame(rows, "doc_id int, text string, source string"), ratio=0.5)
     got = {r["doc_id"]: r for r in got.collect()}
@@ -289,6 +289,7 @@ def test_stages_on_odd_rows(spark, docs, none, small):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             now = stage(spark, now, small)
             assert now.columns == docs.columns, name
+            assert now.select(*CLASH).distinct().collect() == ([] if table is none else [tuple(["clash"] * len(CLASH))]), name
         last = corpus_pipeline.STAGES[-1][1](spark, now, small)
         packed = last.filter("start = 0").groupBy("doc_id").count().collect()
         assert sorted(map(str, packed)) == sorted(map(str, now.groupBy("doc_id").count().collect()))
