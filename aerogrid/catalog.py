@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import model_queries, series_queries, spatial_queries
+from .plans import block_queries, model_queries, series_queries, shape_queries, spatial_queries
 from .plans.tables import Tables
 from .sources.fixtures import with_views
 
-_ALL = {**series_queries.Q, **spatial_queries.Q, **model_queries.Q}
+_ALL = {**series_queries.Q, **spatial_queries.Q, **shape_queries.Q, **block_queries.Q, **model_queries.Q}
 
 
 def _bound(f) -> Callable[[SparkSession, str], DataFrame]:

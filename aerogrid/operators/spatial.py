@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import direction_features, in_ring, planar_m, ring_meets_box, segment_m
 from ..scratch import cut
+from .shapes import finite, points_within
 
 #: Rows that are broadcast where each point meets all of them (24 to 40 bytes each); more are met by pairs of partitions.
 BROADCAST_SOURCES = 500_000
@@ -51,6 +52,13 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, keep
     return joined.drop("cell", "_cell", "ring", "xmin", "xmax", "ymin", "ymax")
 
 
+def inside_region(points: DataFrame, region: DataFrame, size: float) -> DataFrame:
+    """The points in any polygon of a region: rings (a column ring, of one ring each), or edges (feature, x1, y1, x2, y2) for any number of rings."""
+    if "x1" in region.columns:
+        return points_within(points, region, "feature", "left_semi")
+    return points_in_polygons(points, region, size, [], "left_semi")
+
+
 def _with_all(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
     """Each row of left with each of the n rows of right, whatever their number."""
     if n <= BROADCAST_SOURCES:
@@ -65,11 +73,11 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: str, segment_id
     Segments are laid out over coarse cells. A point looks at the cells around it, in a square four times as wide each
     time, until it holds a segment no farther than the square reaches. Points that `rings` cells don't settle go on with cells
     that are `rings` times as large, and so on, so that a point far from all segments meets only those in its own direction's
-    neighbourhood too. Each look is written, and only open points take the next. Points without a place have no row; nor
-    has any if there are no segments. points: key, x, y; segments: segment_id, x1, y1, x2, y2.
+    neighbourhood too. Each look is written, and only open points take the next. Points without a finite place have no row; nor
+    has any if there are no segments with finite ends. points: key, x, y; segments: segment_id, x1, y1, x2, y2.
     """
-    lines = segments.select(segment_id, "x1", "y1", "x2", "y2").dropna()
-    best, open_ = None, points.select(key, "x", "y").dropna(subset=["x", "y"]).dropDuplicates([key])
+    lines = segments.select(segment_id, "x1", "y1", "x2", "y2").filter(finite("x1", "y1", "x2", "y2"))
+    best, open_ = None, points.select(key, "x", "y").filter(finite("x", "y")).dropDuplicates([key])
     order = F.struct("distance", segment_id)
     if lines.isEmpty():
         return open_.limit(0).select(key, F.lit(None).cast(segments.schema[segment_id].dataType).alias(segment_id), F.lit(0.0).alias("distance"))
@@ -156,9 +164,9 @@ def kernel_sources(
     if weight:
         s = s.filter(F.when(F.col("xw").isNull() | (F.col("xw") < 0), F.raise_error(F.lit("weights must be known and not negative"))).otherwise(True))
     p = points.select(key, "x", "y")
-    used = points_in_polygons(p, clip, bw, [], "left_semi") if clip is not None else p
+    used = inside_region(p, clip, bw) if clip is not None else p
     if clip is not None:
-        s = points_in_polygons(s.withColumnsRenamed({"sx": "x", "sy": "y"}), clip, bw, [], "left_semi").withColumnsRenamed({"x": "sx", "y": "sy"})
+        s = inside_region(s.withColumnsRenamed({"sx": "x", "sy": "y"}), clip, bw).withColumnsRenamed({"x": "sx", "y": "sy"})
     if truncate or name in ("tricube", "epanechnikov"):
         looked = cover_box(used, F.col("x") - bw, F.col("y") - bw, F.col("x") + bw, F.col("y") + bw, bw)
         pairs = looked.join(s.withColumn("cell", cell_of("sx", "sy", bw)), "cell").withColumn("d", planar_m("x", "y", "sx", "sy")).filter(F.col("d") <= bw)
@@ -237,4 +245,4 @@ def random_points(spark, n: int, xmin: float, ymin: float, xmax: float, ymax: fl
         return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
     p = spark.range(n).select("id", (F.lit(xmin) + share(1) * (xmax - xmin)).alias("x"), (F.lit(ymin) + share(2) * (ymax - ymin)).alias("y"))
-    return points_in_polygons(p, inside, size, [], "left_semi") if inside is not None else p
+    return inside_region(p, inside, size) if inside is not None else p

@@ -84,6 +84,20 @@ VIEWS = {
           CAST(900000 + p_partkey * 7919 % 20000 AS DOUBLE) AS x1, CAST(1900000 + p_partkey * 6101 % 20000 AS DOUBLE) AS y1,
           CAST(900000 + p_partkey * 7919 % 20000 + p_size * 20 AS DOUBLE) AS x2, CAST(1900000 + p_partkey * 6101 % 20000 + p_partkey % 700 AS DOUBLE) AS y2
         FROM {part}""",
+    "estates": """
+        SELECT zone, x0, y0, leg, CONCAT('MULTIPOLYGON (((', x0, ' ', y0, ', ', x0 + 600, ' ', y0, ', ', x0 + 600, ' ', y0 + 600, ', ', x0, ' ', y0 + 600, ', ', x0, ' ', y0, '), (',
+          x0 + 50, ' ', y0 + 50, ', ', x0 + 50, ' ', y0 + 150, ', ', x0 + 150, ' ', y0 + 150, ', ', x0 + 150, ' ', y0 + 50, ', ', x0 + 50, ' ', y0 + 50, '), (',
+          x0 + 200, ' ', y0 + 200, ', ', x0 + 550, ' ', y0 + 200, ', ', x0 + 550, ' ', y0 + 500, ', ', x0 + 200, ' ', y0 + 500, ', ', x0 + 200, ' ', y0 + 200, ')), ((',
+          x0 + 700, ' ', y0, ', ', x0 + 700 + leg, ' ', y0, ', ', x0 + 700, ' ', y0 + leg, ', ', x0 + 700, ' ', y0, ')), ((',
+          x0, ' ', y0 + 700, ', ', x0, ' ', y0 + 800, ', ', x0 + 100, ' ', y0 + 800, ', ', x0 + 100, ' ', y0 + 700, ', ', x0, ' ', y0 + 700, ')))') AS wkt
+        FROM (SELECT CAST(s_suppkey AS BIGINT) AS zone, CAST(900000 + s_suppkey * 7919 % 20000 AS BIGINT) AS x0, CAST(1900000 + s_suppkey * 6101 % 20000 AS BIGINT) AS y0,
+          CAST(200 + s_suppkey % 100 AS BIGINT) AS leg FROM {supplier})""",
+    "polylines": """
+        SELECT link_id, x1, y1, x2, y2, x3, y3, x4, y4, x5, y5,
+          CONCAT('MULTILINESTRING ((', x1, ' ', y1, ', ', x2, ' ', y2, ', ', x3, ' ', y3, '), (', x4, ' ', y4, ', ', x5, ' ', y5, '))') AS wkt
+        FROM (SELECT link_id, x AS x1, y AS y1, x + size * 7 AS x2, y + link_id % 300 AS y2, x + size * 20 AS x3, y + link_id % 700 AS y3,
+          x - 300 AS x4, y AS y4, x - 300 AS x5, y + link_id % 500 AS y5
+          FROM (SELECT CAST(p_partkey AS BIGINT) AS link_id, CAST(p_size AS BIGINT) AS size, CAST(900000 + p_partkey * 7919 % 20000 AS BIGINT) AS x, CAST(1900000 + p_partkey * 6101 % 20000 AS BIGINT) AS y FROM {part}))""",
     "landuse": """
         SELECT CAST(FLOOR(p_partkey / 50) AS INT) AS row, CAST(p_partkey % 50 AS INT) AS col, CASE WHEN p_size <> 50 THEN CAST(p_size % 6 AS INT) END AS class,
           CAST(p_size AS DOUBLE) AS value
