@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import direction_features, in_ring, planar_m, ring_meets_box, segment_m
 from ..scratch import cut
+from . import leaves
 from .shapes import finite, points_within
 
 #: Rows that are broadcast where each point meets all of them (24 to 40 bytes each); more are met by pairs of partitions.
 BROADCAST_SOURCES = 500_000
-#: Stations of which each is compared with all others at once, without cells.
-FEW_STATIONS = 2_000
 
 
 def cell_of(x, y, size: float) -> Column:
@@ -67,65 +66,51 @@ def _with_all(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
     return left.crossJoin(right.repartition(parts).hint("shuffle_replicate_nl"))
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, key: str, segment_id: str, size: float, rings: int = 16) -> DataFrame:
+def nearest_segment(points: DataFrame, segments: DataFrame, key: str, segment_id: str, leaf_rows: int = 64) -> DataFrame:
     """Each point with its nearest segment and the distance; ties go to the smaller segment id.
 
-    Segments are laid out over coarse cells. A point looks at the cells around it, in a square four times as wide each
-    time, until it holds a segment no farther than the square reaches. Points that `rings` cells don't settle go on with cells
-    that are `rings` times as large, and so on, so that a point far from all segments meets only those in its own direction's
-    neighbourhood too. Each look is written, and only open points take the next. Points without a finite place have no row; nor
-    has any if there are no segments with finite ends. points: key, x, y; segments: segment_id, x1, y1, x2, y2.
+    Segments are dealt to leaves of about leaf_rows by a k-d tree of their middles, so that a dense town is as many leaves as it has segments; a point meets its own
+    leaf and those that come as near as what it found there. Segments that lie on each other count as the one of the smallest id.
+    Points without a finite place have no row; nor has any if there are no segments with finite ends. Of points with the same key one counts. points: key, x, y; segments:
+    segment_id, x1, y1, x2, y2.
     """
-    lines = segments.select(segment_id, "x1", "y1", "x2", "y2").filter(finite("x1", "y1", "x2", "y2"))
-    best, open_ = None, points.select(key, "x", "y").filter(finite("x", "y")).dropDuplicates([key])
-    order = F.struct("distance", segment_id)
-    if lines.isEmpty():
-        return open_.limit(0).select(key, F.lit(None).cast(segments.schema[segment_id].dataType).alias(segment_id), F.lit(0.0).alias("distance"))
-    while True:
-        s = cover_box(lines, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
-        reach = 1
-        while reach <= rings:
-            looked = cover_box(open_, F.col("x") - reach * size, F.col("y") - reach * size, F.col("x") + reach * size, F.col("y") + reach * size, size)
-            found = looked.join(s, "cell").withColumn("distance", segment_m("x", "y", "x1", "y1", "x2", "y2"))
-            got = found.groupBy(key).agg(F.min(order).alias("m")).select(key, F.col(f"m.{segment_id}").alias(segment_id), "m.distance")
-            got = cut(got.filter(F.col("distance") <= reach * size))
-            best = got if best is None else best.unionByName(got)
-            open_ = cut(open_.join(got, key, "left_anti"))
-            if open_.isEmpty():
-                return best
-            reach *= 4
-        size *= rings
-
-
-def nearest_neighbours(stations: DataFrame, key: str, k: int = 5) -> DataFrame:
+    ends = ("x1", "y1", "x2", "y2")
+    lines = segments.select(segment_id, *[F.col(c).cast("double").alias(c) for c in ends]).filter(finite(*ends))
+    lines = lines.groupBy(*ends).agg(F.min(segment_id).alias(segment_id))
+    box = [F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")]
+    rows, tree = leaves.plant(lines, (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, box, leaf_rows)
+    asked = points.select(key, "x", "y").filter(finite("x", "y")).dropDuplicates([key])
+    found = leaves.nearest(asked, key, rows, tree, segment_m("x", "y", *ends), segment_id)
+    return found.select(key, segment_id, "distance")
+
+
+def nearest_neighbours(stations: DataFrame, key: str, k: int = 5, leaf_rows: int = 64) -> DataFrame:
     """Each station's k nearest others with rank and distance; ties go to the smaller neighbour, unknown distances are last.
 
-    Stations look at the cells around them, of about k stations at first; the cells widen for those with fewer than k others
-    as near as the cells reach. Stations that this doesn't settle are compared with all others.
+    A station looks at its own leaf and at those that come as near as its k-th there (as nearest_segment does). Of stations at one place only those of the k + 1 smallest
+    ids can be neighbours. A station without a finite place is at an unknown distance from all, and a neighbour only where others are too few.
     """
-    a = stations.select(F.col(key), "x", "y")
-    b = stations.select(F.col(key).alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    placed = finite("x", "y")
+    at = stations.select(F.col(key).alias("neighbour"), F.col("x").cast("double").alias("nx"), F.col("y").cast("double").alias("ny"), placed.alias("_placed"))
+    few = Window.partitionBy("nx", "ny").orderBy("neighbour")
+    near = at.filter("_placed").withColumn("_n", F.row_number().over(few)).filter(F.col("_n") <= k + 1).select("neighbour", "nx", "ny")
+    rows, tree = leaves.plant(near, F.col("nx"), F.col("ny"), [F.col("nx"), F.col("ny"), F.col("nx"), F.col("ny")], leaf_rows)
+    a = stations.select(key, "x", "y")
+    found = leaves.nearest(a.filter(placed), key, rows, tree, planar_m("x", "y", "nx", "ny"), "neighbour", k, F.col(key) != F.col("neighbour"))
+    found = found.select(key, "neighbour", "distance")
+    # those at an unknown distance: the smallest ids, k + 1 of each kind
+    first = lambda which: [r[0] for r in at.filter(which).orderBy("neighbour").limit(k + 1).select("neighbour").collect()]
+    if lost := first(~F.col("_placed")):
+        some = first(F.col("_placed"))
+        kind = f"array<{stations.schema[key].dataType.simpleString()}>"
+        met = F.when(~placed, F.array(*map(F.lit, [*lost, *some])).cast(kind))
+        met = met.otherwise(F.array(*map(F.lit, lost if len(some) <= k else [])).cast(kind))
+        unknown = a.select(key, F.explode(met).alias("neighbour"), F.lit(None).cast("double").alias("distance"))
+        found = found.unionByName(unknown.filter(F.col(key) != F.col("neighbour")))
     w = Window.partitionBy(key).orderBy(F.asc_nulls_last("distance"), "neighbour")
-
-    def ranked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.filter(F.col(key) != F.col("neighbour"))
-        return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-    a, n, best = cut(a), stations.count(), None
-    wide = [] if n <= FEW_STATIONS else [hi - lo for lo, hi in stations.approxQuantile(["x", "y"], [0.05, 0.95], 0.01)]
-    size = max(max(wide, default=0.0) * (k / max(n, 1)) ** 0.5, 0.0)
-    for reach in (size * 4**i for i in range(6) if size > 0):
-        looked = cover_box(a, F.col("x") - reach, F.col("y") - reach, F.col("x") + reach, F.col("y") + reach, reach)
-        near = looked.join(b.withColumn("cell", cell_of("nx", "ny", reach)), "cell").drop("cell").withColumn("distance", planar_m("x", "y", "nx", "ny"))
-        got = cut(ranked(near.filter(F.col("distance") <= 0.999 * reach)))  # all that are as near, whatever the rounding
-        settled = got.filter(F.col("rank") == k).select(key)
-        got = got.join(settled, key, "left_semi")
-        best = got if best is None else best.unionByName(got)
-        a = cut(a.join(settled, key, "left_anti"))
-        if a.isEmpty():
-            return best
-    rest = ranked(_with_all(a, b, n).withColumn("distance", planar_m("x", "y", "nx", "ny")))
-    return rest if best is None else best.unionByName(rest)
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    b = stations.select(F.col(key).alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    return a.join(ranked, key).join(b, "neighbour").select(key, "x", "y", "neighbour", "nx", "ny", "distance", "rank")
 
 
 def neighbour_features(pairs: DataFrame) -> DataFrame:

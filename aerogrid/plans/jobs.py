@@ -43,7 +43,7 @@ def daily_monitors(history: DataFrame, readings: DataFrame, since: int = 2010) -
 
 def annual_features(
     base: DataFrame, roads: DataFrame, terrain: DataFrame, landuse: DataFrame, emitters: DataFrame, clip: DataFrame, aod: DataFrame, blh: DataFrame,
-    fine: Frame, coarse: Frame, radii: Sequence[float], classes: Sequence[int], bw: float, cell: float = 2000.0, lag: int = 1, coverage: str = "exact",
+    fine: Frame, coarse: Frame, radii: Sequence[float], classes: Sequence[int], bw: float, lag: int = 1, coverage: str = "exact",
 ) -> DataFrame:
     """base (site, segment or grid rows with x, y and year) with all yearly features.
 
@@ -54,7 +54,7 @@ def annual_features(
     base = base.withColumn("place", F.struct(F.col("x").alias("px"), F.col("y").alias("py")))
     places = base.select("place", "x", "y").distinct()
     by_place = [
-        spatial.nearest_segment(places, roads, "place", "link_id", cell).select("place", (F.col("distance") / 1000.0).alias("d_road")),
+        spatial.nearest_segment(places, roads, "place", "link_id").select("place", (F.col("distance") / 1000.0).alias("d_road")),
         spatial.kernel_sources(places, emitters, "place", bw, "gaussian", clip=clip),
         raster.sample_at_points(places, terrain, fine, ("dem", "dsm", "mtpi", "mtpi_1km")).drop("x", "y"),
     ]

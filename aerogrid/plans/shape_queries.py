@@ -83,4 +83,4 @@ ALONG = "least(1, greatest(0, coalesce(((p.x - s.x1) * (s.x2 - s.x1) + (p.y - s.
 def polyline_nearest(t: Tables):
     """The nearest road and its distance, roads being read as lines of many points."""
     s = H.wkt_edges(t.polylines, "wkt", ["link_id"])
-    return X.nearest_segment(t.points, s, "pid", "link_id", 1000.0).select("pid", "link_id", F.round("distance", 3).alias("distance"))
+    return X.nearest_segment(t.points, s, "pid", "link_id").select("pid", "link_id", F.round("distance", 3).alias("distance"))

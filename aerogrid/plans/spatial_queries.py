@@ -107,7 +107,7 @@ near AS (SELECT pid, arg_min(link_id, (d, link_id)) AS link_id, round(min(d), 3)
 
 @query(f"WITH {NEAREST} SELECT pid, link_id, distance FROM near")
 def nearest_road(t: Tables):
-    return X.nearest_segment(t.points, t.roads, "pid", "link_id", 1000.0).select("pid", "link_id", F.round("distance", 3).alias("distance"))
+    return X.nearest_segment(t.points, t.roads, "pid", "link_id").select("pid", "link_id", F.round("distance", 3).alias("distance"))
 
 
 @query("SELECT eid, zone FROM {emitters}, {watersheds} WHERE x >= xmin AND x < xmax AND y >= ymin AND y < ymax")

@@ -11,7 +11,6 @@ from aerogrid.operators import spatial as X
 @pytest.fixture
 def little(monkeypatch):
     monkeypatch.setattr(X, "BROADCAST_SOURCES", 3)
-    monkeypatch.setattr(X, "FEW_STATIONS", 3, raising=False)
 
 
 def _points(spark, n, seed, key="pid"):
@@ -36,7 +35,7 @@ def test_kernels_take_all_sources(spark, little, name, weight):
 def test_far_points_meet_all_segments(spark, little):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 100_000.0, 0.0)], "pid int, x double, y double")
     r = spark.createDataFrame([(i, 10.0 + i, 5.0, 10.0 + i, -5.0) for i in range(9)], "link_id int, x1 double, y1 double, x2 double, y2 double")
-    got = {x["pid"]: (x["link_id"], x["distance"]) for x in X.nearest_segment(p, r, "pid", "link_id", 100.0, rings=8).collect()}
+    got = {x["pid"]: (x["link_id"], x["distance"]) for x in X.nearest_segment(p, r, "pid", "link_id", 2).collect()}
     assert got == {1: (0, 10.0), 2: (8, 99982.0)}
 
 

@@ -127,9 +127,9 @@ def test_a_null_feature_is_one(spark):
 def test_nearest_of_places_without_end(spark):
     pts = spark.createDataFrame([(1, 0.0, 5.0), (2, math.inf, 0.0), (3, 0.0, -math.inf), (4, math.nan, 0.0), (5, None, 0.0), (6, 1e6, 5.0)], "pid int, x double, y double")
     roads = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 0.0), (2, math.inf, 0.0, 9.0, 0.0), (3, 0.0, math.nan, 9.0, 0.0)], "link int, x1 double, y1 double, x2 double, y2 double")
-    got = {r["pid"]: (r["link"], round(r["distance"], 3)) for r in X.nearest_segment(pts, roads, "pid", "link", 10.0).collect()}
+    got = {r["pid"]: (r["link"], round(r["distance"], 3)) for r in X.nearest_segment(pts, roads, "pid", "link").collect()}
     assert got == {1: (1, 5.0), 6: (1, round(math.hypot(1e6 - 9, 5), 3))}
-    assert X.nearest_segment(pts, roads.filter("link > 1"), "pid", "link", 10.0).count() == 0
+    assert X.nearest_segment(pts, roads.filter("link > 1"), "pid", "link").count() == 0
 
 
 def test_clip_by_edges_is_clip_by_rings(spark):

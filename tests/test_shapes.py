@@ -80,8 +80,8 @@ def test_sources_outside_the_clip_do_not_count(spark):
 def test_a_place_without_segments_or_coordinates(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0)], "pid int, x double, y double")
     r = spark.createDataFrame([(7, 3.0, 4.0, 3.0, 9.0)], "link_id int, x1 double, y1 double, x2 double, y2 double")
-    assert [tuple(x) for x in X.nearest_segment(p, r, "pid", "link_id", 1.0).collect()] == [(1, 7, 5.0)]
-    assert X.nearest_segment(p, r.limit(0), "pid", "link_id", 1.0).collect() == []
+    assert [tuple(x) for x in X.nearest_segment(p, r, "pid", "link_id").collect()] == [(1, 7, 5.0)]
+    assert X.nearest_segment(p, r.limit(0), "pid", "link_id").collect() == []
 
 
 def test_nearest_segments_against_all(spark):
@@ -94,7 +94,7 @@ def test_nearest_segments_against_all(spark):
         t = max(0, min(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / s)) if s else 0
         return math.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1))
 
-    out = X.nearest_segment(spark.createDataFrame(points, "pid int, x double, y double"), spark.createDataFrame(links, "link_id int, x1 double, y1 double, x2 double, y2 double"), "pid", "link_id", 60.0, rings=4)
+    out = X.nearest_segment(spark.createDataFrame(points, "pid int, x double, y double"), spark.createDataFrame(links, "link_id int, x1 double, y1 double, x2 double, y2 double"), "pid", "link_id", 3)
     assert "CartesianProduct" not in out._jdf.queryExecution().toString()
     got = {x["pid"]: (x["link_id"], x["distance"]) for x in out.collect()}
     for i, x, y in points:
