@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -30,11 +31,30 @@ def bind_columns(left: DataFrame, right: DataFrame, key: str = "gid") -> DataFra
     return left.join(right.drop(*[c for c in right.columns if c in left.columns and c != key]), key)
 
 
-def interval_join(readings: DataFrame, stays: DataFrame, key: str, date: str = "date", start: str = "date_start", end: str = "date_end") -> DataFrame:
-    """Readings taken during a stay of their site."""
-    s = stays.withColumnRenamed(key, "_key")
-    on = (F.col(key) == F.col("_key")) & F.col(date).between(F.to_date(start), F.to_date(end))
-    return readings.join(s, on).drop("_key")
+def in_bins(stays: DataFrame, start: Column, end: Column, into: str = "_bin") -> tuple[DataFrame, int]:
+    """Stays once for each stretch of days that they touch, and the stretch's length: their mean length, so that rows at most treble.
+
+    Stays without a start or an end, or that end before they start, have no row.
+    """
+    rows = stays.withColumns({"_a": F.unix_date(F.to_date(start)), "_z": F.unix_date(F.to_date(end))}).filter(F.col("_a") <= F.col("_z"))
+    mean = rows.agg(F.avg(F.col("_z") - F.col("_a") + 1)).first()[0]
+    width = max(1, math.ceil(mean or 1))
+    return rows.withColumn(into, F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor(F.col("_z") / width)))).drop("_a", "_z"), width
+
+
+def interval_join(
+    readings: DataFrame, stays: DataFrame, key: str, date: str = "date", start: str = "date_start", end: str = "date_end", site: str | None = None, how: str = "inner"
+) -> DataFrame:
+    """Readings taken during a stay of their site (site: the stays' column, if it isn't named as the readings'); left_semi: the readings alone.
+
+    Stays are laid out over stretches of days as long as a stay is on average, and a reading meets those of its own stretch: a site with many stays is as many
+    keys as it has stretches. Readings without a date, and stays without both ends, meet nothing.
+    """
+    s, width = in_bins(stays.withColumnRenamed(site or key, "_key"), F.col(start), F.col(end))
+    here = F.floor(F.unix_date(F.to_date(F.col(date))) / width)
+    on = (F.col(key) == F.col("_key")) & (here == F.col("_bin")) & F.col(date).between(F.to_date(start), F.to_date(end))
+    out = readings.join(s, on, how)
+    return out if how == "left_semi" else out.drop("_key", "_bin")
 
 
 def lagged_join(df: DataFrame, yearly: DataFrame, year: str, lag: int = 1, how: str = "left") -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import cut, discard, small
+from .ranks import group_quantiles, with_rank
+from .splines import PenalisedSplines
 
 
 def select_terms(df: DataFrame, patterns: Sequence[str], drop: Sequence[str] = ()) -> list[str]:
@@ -68,10 +70,9 @@ def impute_forest(df: DataFrame, cols: Sequence[str], key: str, trees: int = 50,
     as near, the smaller key counts as nearer.
     """
     known = {c: f"_known_{c}" for c in cols}
-    medians = df.agg(*[F.median(c).alias(c) for c in cols])
+    medians = {r["col"]: r["value"] for r in group_quantiles(df, [], cols, [0.5]).collect()}  # a row for each column
     out = df.withColumns({k: F.col(c).isNotNull() for c, k in known.items()})
-    out = out.crossJoin(F.broadcast(medians.select(*[F.col(c).alias(f"_med_{c}") for c in cols])))
-    out = out.withColumns({c: F.coalesce(c, f"_med_{c}") for c in cols}).drop(*[f"_med_{c}" for c in cols])
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(medians.get(c)).cast("double")) for c in cols})
     for _ in range(rounds):
         for c in cols:
             others = [o for o in cols if o != c]
@@ -249,25 +250,11 @@ def best_config(tuned: DataFrame, k: int) -> dict:
     return json.loads(ran.orderBy("rmse", "config").first()["params"])  # a row for each configuration
 
 
-def spline_steps(terms: Sequence[str], knots: int = 4, out: str = "features") -> Callable[[DataFrame], list]:
-    """Hinges at each feature's quantiles, for an additive model by a linear one."""
-    from pyspark.ml.feature import SQLTransformer
-
-    def made(train: DataFrame) -> list:
-        shares = [(i + 1) / (knots + 1) for i in range(knots)]
-        cuts = train.approxQuantile(list(terms), shares, 0.001)
-        hinges = [(f"_h_{j}_{i}", f"greatest(0.0D, {c} - ({q!r}D))") for j, (c, qs) in enumerate(zip(terms, cuts, strict=True)) for i, q in enumerate(sorted(set(qs)))]
-        made_cols = ", ".join(f"{e} AS {n}" for n, e in hinges)
-        return [SQLTransformer(statement=f"SELECT *, {made_cols} FROM __THIS__"), VectorAssembler(inputCols=[*terms, *[n for n, _ in hinges]], outputCol=out, handleInvalid="skip")]
-
-    return made
-
-
 LEARNERS: dict[str, Callable[[str], Estimator]] = {
     "boosted": lambda label: GBTRegressor(labelCol=label, maxIter=20, maxDepth=4, seed=2025),
     "elastic": lambda label: LinearRegression(labelCol=label, elasticNetParam=0.5, regParam=0.01),
     "forest": lambda label: RandomForestRegressor(labelCol=label, numTrees=100, seed=2025),
-    "additive": lambda label: LinearRegression(labelCol=label, regParam=0.001),
+    "additive": lambda label: PenalisedSplines(labelCol=label),
     "linear": lambda label: LinearRegression(labelCol=label),
 }
 
@@ -278,7 +265,7 @@ def benchmark_models(df: DataFrame, targets: Sequence[str], features: Mapping[st
     for target, (name, terms), learner in itertools.product(targets, features.items(), learners):
         rows = df.filter(F.col(target).isNotNull()).dropna(subset=list(terms))
         train, test = rows.filter(F.col(date) < F.lit(split).cast("date")), rows.filter(F.col(date) >= F.lit(split).cast("date"))
-        steps = spline_steps(terms)(train) if learner == "additive" else [VectorAssembler(inputCols=list(terms), outputCol="features")]
+        steps = [VectorAssembler(inputCols=list(terms), outputCol="features", handleInvalid="skip" if learner == "additive" else "error")]
         model = Pipeline(stages=[*steps, LEARNERS[learner](target)]).fit(train)
         got = metrics(model.transform(test), target, "prediction")
         parts.append(got.select(F.lit(target).alias("target"), F.lit(name).alias("features"), F.lit(learner).alias("learner"), "rmse", "mae", "rsq", "n"))
@@ -312,18 +299,14 @@ def top_importance(model: PipelineModel, terms: Sequence[str], spark, n: int = 1
     return spark.createDataFrame([(t, v, i) for i, (t, v) in enumerate(rows, 1)], "variable string, importance double, rank int")
 
 
-def shuffled_column(df: DataFrame, col: str, key: str, seed: int = 1, part_rows: int = 100_000) -> DataFrame:
+def shuffled_column(df: DataFrame, col: str, key: str, seed: int = 1, parts: int | None = None) -> DataFrame:
     """df with one column's values dealt out anew (in a drawn order), all others as they were.
 
-    Rows are dealt to parts of about part_rows, and values change places within each.
+    The order is one of the whole table, whatever its size: the row at a place in the order of keys gets the value at that place in the drawn order.
     """
-    parts = max(1, -(-df.count() // part_rows))
-    part = drawn(key, "part") % parts
-    a = df.withColumn("_b", part)
-    a = a.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
-    mixed = Window.partitionBy("_b").orderBy(drawn(key, seed), key)
-    b = a.select("_b", F.col(col).alias("_v"), F.row_number().over(mixed).alias("_i"))
-    return a.join(b, ["_b", "_i"]).withColumn(col, F.col("_v")).drop("_b", "_i", "_v")
+    a = with_rank(df, [key], "_i", parts)
+    b = with_rank(df.select(F.col(key).alias("_k"), F.col(col).alias("_v")), [drawn("_k", seed), "_k"], "_i", parts)
+    return a.join(b.select("_i", "_v"), "_i").withColumn(col, F.col("_v")).drop("_i", "_v")
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, terms: Sequence[str], label: str, key: str) -> DataFrame:
@@ -336,18 +319,16 @@ def permutation_importance(model: PipelineModel, df: DataFrame, terms: Sequence[
     return parts.crossJoin(F.broadcast(base)).withColumn("increase", F.col("rmse") - F.col("base_rmse"))
 
 
-def shapley_importance(model: PipelineModel, df: DataFrame, terms: Sequence[str], key: str, samples: int = 8, part_rows: int = 100_000) -> DataFrame:
+def shapley_importance(model: PipelineModel, df: DataFrame, terms: Sequence[str], key: str, samples: int = 8) -> DataFrame:
     """(variable, importance): mean absolute Monte-Carlo Shapley values.
 
-    Each row meets `samples` other rows (drawn in parts of about part_rows) and as many feature orders; a feature's
+    Each row meets `samples` other rows (drawn from the whole table) and as many feature orders; a feature's
     share is what the prediction changes when it joins those before it in the order.
     """
-    part = F.pmod(F.xxhash64(key), F.lit(max(1, -(-df.count() // part_rows))))
-    n = F.count(F.lit(1)).over(Window.partitionBy("_b"))
-    a = df.select(key, *terms, part.alias("_b")).withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1).withColumn("_n", n)
-    other = a.select("_b", F.col("_i").alias("_j"), *[F.col(t).alias(f"o_{t}") for t in terms])
+    a = with_rank(df.select(key, *terms), [key], "_i").withColumn("_n", F.lit(df.count()))
+    other = a.select(F.col("_i").alias("_j"), *[F.col(t).alias(f"o_{t}") for t in terms])
     drawn = a.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(samples)])))
-    drawn = drawn.withColumn("_j", F.pmod(F.col("_i") + F.pmod(F.xxhash64(key, "_s"), F.col("_n")), F.col("_n"))).join(other, ["_b", "_j"])
+    drawn = drawn.withColumn("_j", F.pmod(F.col("_i") + F.pmod(F.xxhash64(key, "_s"), F.col("_n")), F.col("_n"))).join(other, "_j")
     rank = {t: F.xxhash64(F.col(key), F.col("_s"), F.lit(i)) for i, t in enumerate(terms)}
     drawn = drawn.withColumns({f"r_{t}": c for t, c in rank.items()}).withColumn("variable", F.explode(F.array(*[F.lit(t) for t in terms])))
     own = F.lit(None).cast("long")

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import quality_ok
 from ..functions.geometry import circle_cover
+from ..scratch import small
 from ..session import ship_package
+from .joins import interval_join
 
 
 class Frame(NamedTuple):
@@ -357,8 +359,13 @@ def daily_weather(points: DataFrame, key: str, cells: DataFrame, frame: Frame, r
 
 
 def daily_aod(stays: DataFrame, key: str, cells: DataFrame, frame: Frame, radii: Sequence[float], coverage: str = "exact") -> DataFrame:
-    """key, date, aod_<radius>: only stations that operate on the date; stays: key, x, y, date_start, date_end."""
+    """key, date, aod_<radius>: only stations that operate on the date; stays: key, x, y, date_start, date_end.
+
+    Cells of dates on which no station operates are left out before any circle meets them.
+    """
     places = stays.select(key, "x", "y").dropDuplicates([key])
-    means = zonal_mean(places, key, radii, cells, frame, ["date"], coverage)
-    during = means.join(stays.select(F.col(key).alias("_k"), "date_start", "date_end"), (F.col(key) == F.col("_k")) & F.col("date").between(F.to_date("date_start"), F.to_date("date_end")), "left_semi")
+    spans = stays.select(F.to_date("date_start").alias("a"), F.to_date("date_end").alias("z")).distinct().filter("a <= z")
+    days = spans.select(F.explode(F.sequence("a", "z")).alias("date")).distinct()
+    means = zonal_mean(places, key, radii, cells.join(small(days), "date", "left_semi"), frame, ["date"], coverage)
+    during = interval_join(means, stays.select(key, "date_start", "date_end").withColumnRenamed(key, "_station"), key, site="_station", how="left_semi")
     return during.groupBy(key, "date").agg(*[F.first(F.when(F.col("radius") == float(r), F.col("mean")), ignorenulls=True).alias(f"aod_{int(r)}") for r in radii])

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut, small
+from .ranks import group_quantiles
+
 
 def _w(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -91,57 +94,24 @@ def impute_seasonal(df: DataFrame, keys, time: str, col: str, period: int) -> Da
     return df.withColumn(col, F.coalesce(F.col(col), F.col("_flat") + F.col("_season"))).drop("_phase", "_season", "_flat")
 
 
-def upper_fence(col: str, k: float) -> Column:
-    """Third quartile plus k interquartile ranges (quartiles interpolated)."""
-    q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.75)))
-    return q[1] + F.lit(k) * (q[1] - q[0])
-
-
-#: Values that one look at a quantile collects at most, and bins of a count.
-COLLECTED, BINS = 100_000, 10_000
-
-
-def exact_quantile(df: DataFrame, col: str, share: float) -> float | None:
-    """The interpolated quantile of a whole column, without all values in one task.
+def winsorise(df: DataFrame, cols: str | Sequence[str], k: float, keys: Sequence[str] = (), into: str | Sequence[str] | None = None) -> DataFrame:
+    """Values cut off at the upper fence, of the station or of all: the third quartile plus k interquartile ranges (quartiles interpolated).
 
-    Values are counted in bins, then those of the bin (or two) that hold the wanted ranks again, until few are left to sort.
+    The fences of all columns and stations are found together, and no station's values need be in one task (ranks.group_quantiles). Where
+    a station has no finite value its values stay.
     """
-    values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if not n:
-        return None
-    at = share * (n - 1)
-    ranks = (int(at), min(int(at) + 1, n - 1))
-    inside, before = n, 0  # rows between low and high, and below low
-    while inside > COLLECTED and low < high:
-        width = (high - low) / BINS
-        number = F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1)).alias("b")
-        held = values.filter(F.col("v").between(low, high)).groupBy(number).agg(F.count("v").alias("n"), F.min("v").alias("a"), F.max("v").alias("z"))
-        place, kept = before, []
-        for r in held.orderBy("b").collect():  # BINS rows at most
-            if place <= ranks[1] and place + r["n"] > ranks[0]:
-                kept.append((place, r))
-            place += r["n"]
-        if len(kept) == 2 and kept[0][1]["n"] + kept[1][1]["n"] > COLLECTED:
-            # the two ranks are the end of one bin and the start of the next
-            return kept[0][1]["z"] + (at - ranks[0]) * (kept[1][1]["a"] - kept[0][1]["z"])
-        before, inside = kept[0][0], sum(r["n"] for _, r in kept)
-        low, high = kept[0][1]["a"], kept[-1][1]["z"]
-    if low == high:
-        return low
-    found = [r["v"] for r in values.filter(F.col("v").between(low, high)).orderBy("v").collect()]  # COLLECTED rows at most
-    a, b = (found[r - before] for r in ranks)
-    return a + (at - ranks[0]) * (b - a)
-
-
-def winsorise(df: DataFrame, col: str, k: float, keys: Sequence[str] = (), into: str | None = None) -> DataFrame:
-    """Values cut off at the upper fence, of the station or of all."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    names = [into] if isinstance(into, str) else list(into or cols)
+    q = group_quantiles(df, keys, cols, (0.25, 0.75))
+    q = cut(q.groupBy(*keys, "col").agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for s, n in ((0.25, "_q1"), (0.75, "_q3"))]))
+    fence = F.col("_q3") + F.lit(k) * (F.col("_q3") - F.col("_q1"))
     if keys:
-        joined = df.join(df.groupBy(*keys).agg(upper_fence(col, k).alias("_fence")), list(keys), "left")
+        wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("col") == c, fence)).alias(f"_fence_{c}") for c in cols])
+        joined = df.join(small(wide), list(keys), "left")
     else:
-        q1, q3 = (exact_quantile(df, col, s) for s in (0.25, 0.75))
-        joined = df.withColumn("_fence", F.lit(None if q1 is None else q3 + k * (q3 - q1)).cast("double"))
-    return joined.withColumn(into or col, F.when(F.col(col).isNotNull(), F.least(col, "_fence"))).drop("_fence")
+        found = {r["col"]: r["f"] for r in q.select("col", fence.alias("f")).collect()}  # a row for each column
+        joined = df.withColumns({f"_fence_{c}": F.lit(found.get(c)).cast("double") for c in cols})
+    return joined.withColumns({n: F.when(F.col(c).isNotNull(), F.least(c, f"_fence_{c}")) for c, n in zip(cols, names, strict=True)}).drop(*[f"_fence_{c}" for c in cols])
 
 
 def cut_off(df: DataFrame, limits: dict[str, float]) -> DataFrame:

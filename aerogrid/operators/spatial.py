@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import direction_features, in_ring, planar_m, ring_meets_box, segment_m
 from ..scratch import cut
-from . import leaves
+from . import kernels, leaves
 from .shapes import finite, points_within
 
-#: Rows that are broadcast where each point meets all of them (24 to 40 bytes each); more are met by pairs of partitions.
-BROADCAST_SOURCES = 500_000
+#: Bandwidths beyond which a weight is 0 in double precision.
+NOTHING_LEFT = {"gaussian": 38.7, "exponential": 745.2}
+#: Pairs in neighbouring cells that are met one by one: so many a point, and in all.
+PAIRS, FREE_PAIRS = 3000, 20_000_000
 
 
 def cell_of(x, y, size: float) -> Column:
@@ -58,14 +60,6 @@ def inside_region(points: DataFrame, region: DataFrame, size: float) -> DataFram
     return points_in_polygons(points, region, size, [], "left_semi")
 
 
-def _with_all(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
-    """Each row of left with each of the n rows of right, whatever their number."""
-    if n <= BROADCAST_SOURCES:
-        return left.crossJoin(F.broadcast(right))
-    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BROADCAST_SOURCES))
-    return left.crossJoin(right.repartition(parts).hint("shuffle_replicate_nl"))
-
-
 def nearest_segment(points: DataFrame, segments: DataFrame, key: str, segment_id: str, leaf_rows: int = 64) -> DataFrame:
     """Each point with its nearest segment and the distance; ties go to the smaller segment id.
 
@@ -132,6 +126,68 @@ def kernel(name: str, d: Column, bw: float) -> Column:
     raise ValueError(f"no kernel {name}")
 
 
+def pair_sums(points: DataFrame, key: str, sources: DataFrame, reach: float, weight: Callable[[Column], Column]) -> DataFrame:
+    """key, ew, w, least: sums over the sources (sx, sy, e, xw) within reach, found by cells of that size, and the least distance."""
+    looked = cover_box(points, F.col("x") - reach, F.col("y") - reach, F.col("x") + reach, F.col("y") + reach, reach)
+    pairs = looked.join(sources.withColumn("cell", cell_of("sx", "sy", reach)), "cell").withColumn("d", planar_m("x", "y", "sx", "sy")).filter(F.col("d") <= reach)
+    pairs = pairs.withColumn("w", weight(F.col("d")) * F.col("xw"))
+    return pairs.groupBy(key).agg(F.sum(F.col("e") * F.col("w")).alias("ew"), F.sum(F.when(F.col("e").isNotNull(), F.col("w"))).alias("w"), F.min("d").alias("least"))
+
+
+def cheapest_reach(points: DataFrame, sources: DataFrame, reaches: Sequence[float], pairs: float) -> float | None:
+    """The largest of the reaches at which points and sources (sx, sy) in neighbouring cells of that size make so many pairs a point at most (and FREE_PAIRS).
+
+    Pairs are counted from numbers of rows by cell, all reaches at once; None if even the smallest makes more.
+    """
+    sizes = F.array(*[F.lit(float(r)) for r in reaches])
+
+    def counts(df: DataFrame, x: str, y: str) -> DataFrame:
+        df = df.select(x, y, F.explode(sizes).alias("reach"))
+        return df.groupBy("reach", *[F.floor(F.col(c) / F.col("reach")).alias(n) for c, n in ((x, "cx"), (y, "cy"))]).count()
+
+    around = [F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c) for c in ("cx", "cy")]
+    p = counts(points, "x", "y").withColumnRenamed("count", "np")
+    p = p.select("reach", "np", "cy", around[0]).select("reach", "np", "cx", around[1])
+    made = p.join(counts(sources, "sx", "sy"), ["reach", "cx", "cy"]).groupBy("reach").agg(F.sum(F.col("np").cast("double") * F.col("count")).alias("n"))
+    most = pairs * points.count() + FREE_PAIRS
+    over = {r["reach"] for r in made.collect() if r["n"] > most}
+    return max((r for r in map(float, reaches) if r not in over), default=None)
+
+
+def _endless_sums(points: DataFrame, key: str, sources: DataFrame, bw: float, name: str) -> DataFrame:
+    """key, ew, w, least for the points that have a source within bw: all sources count.
+
+    Where few sources are in reach of a weight above 0 (in double precision), they are met in pairs. Else the nearest source is looked up by leaves, and sums go by
+    cells; for the exponential kernel pairs within a smaller reach (chosen by their number) add what those leave. Points whose sums are small beside what lies far away,
+    so that rounding could show, meet their sources in pairs too.
+    """
+    sources, points = cut(sources), cut(points)
+    exact = lambda p: pair_sums(p, key, sources, NOTHING_LEFT[name] * bw, lambda d: kernel(name, d, bw))
+    reaches = [bw * r for r in (NOTHING_LEFT[name], *(2.0**i for i in range(5, -4, -1) if name == "exponential"))]
+    reach = cheapest_reach(points, sources, reaches, PAIRS)
+    if reach == reaches[0]:
+        return exact(points)
+    at = sources.select("sx", "sy").distinct().withColumn("_s", F.lit(0))
+    rows, tree = leaves.plant(at, F.col("sx"), F.col("sy"), [F.col("sx"), F.col("sy"), F.col("sx"), F.col("sy")])
+    near = leaves.nearest(points.dropDuplicates([key]), key, rows, tree, planar_m("x", "y", "sx", "sy"), "_s").filter(F.col("distance") <= bw)
+    near = cut(near.select(key, F.col("distance").alias("least")).join(points, key))
+    known = F.col("e").isNotNull()
+    weighed = sources.select(F.col("sx").alias("x"), F.col("sy").alias("y"), F.when(known, F.col("e") * F.col("xw")).otherwise(0.0).alias("ew"), F.when(known, F.col("xw")).otherwise(0.0).alias("w"))
+    reach = reach or min(reaches)
+    parts = kernels.gaussian_parts(bw) if name == "gaussian" else kernels.exponential_parts(bw, reach / bw)
+    sums = kernels.kernel_sums(near, key, weighed, parts)
+    if name == "exponential":
+        left = pair_sums(near, key, sources, reach, lambda d: kernels.left_of_sum(d, bw, parts)).select(key, F.col("ew").alias("ew2"), F.col("w").alias("w2"))
+        sums = sums.join(left, key, "left").withColumns({c: F.col(c) + F.coalesce(f"{c}2", F.lit(0.0)) for c in ("ew", "w")}).drop("ew2", "w2")
+    sums = cut(near.select(key, "least").join(sums, key))
+    noisy = lambda c: F.col(f"{c}_noise") * kernels.NOISE > F.abs(c) * kernels.TOLERANCE
+    unsure = sums.filter(noisy("ew") | noisy("w")).select(key)
+    sums = sums.select(key, "ew", "w", "least")
+    if unsure.isEmpty():
+        return sums
+    return sums.join(unsure, key, "left_anti").unionByName(exact(near.join(unsure, key, "left_semi")))
+
+
 def kernel_sources(
     points: DataFrame, sources: DataFrame, key: str, bw: float, name: str = "gaussian", value: str = "emission",
     weight: str | None = None, truncate: bool = False, empty: float | None = None, clip: DataFrame | None = None,
@@ -139,8 +195,9 @@ def kernel_sources(
     """key and the kernel-weighted mean of the sources around each point.
 
     With truncate, and for kernels that end at bw, sources within bw count, found by cells of that size. Otherwise all
-    sources count where at least one is within bw: broadcast, or by pairs of partitions if they are many. Points without a source, outside
-    the clip polygons, or with weights that sum to 0, get `empty`; sources outside them don't count.
+    sources count where at least one is within bw: by sums over cells (kernels.kernel_sums), which differ from those over pairs by 1e-10 at most. Points without a
+    source, outside the clip polygons, or with weights that sum to 0, get `empty`; sources outside them don't count, nor do sources without a finite place. A null value has no weight,
+    but its source may be the one within bw.
     """
     if value not in sources.columns:
         raise ValueError(f"sources have no column {value}")
@@ -152,16 +209,11 @@ def kernel_sources(
     used = inside_region(p, clip, bw) if clip is not None else p
     if clip is not None:
         s = inside_region(s.withColumnsRenamed({"sx": "x", "sy": "y"}), clip, bw).withColumnsRenamed({"x": "sx", "y": "sy"})
+    used, s = used.filter(finite("x", "y")), s.filter(finite("sx", "sy"))
     if truncate or name in ("tricube", "epanechnikov"):
-        looked = cover_box(used, F.col("x") - bw, F.col("y") - bw, F.col("x") + bw, F.col("y") + bw, bw)
-        pairs = looked.join(s.withColumn("cell", cell_of("sx", "sy", bw)), "cell").withColumn("d", planar_m("x", "y", "sx", "sy")).filter(F.col("d") <= bw)
+        sums = pair_sums(used, key, s, bw, lambda d: kernel(name, d, bw))
     else:
-        s = cut(s)
-        pairs = _with_all(used, s, s.count()).withColumn("d", planar_m("x", "y", "sx", "sy"))
-    pairs = pairs.withColumn("w", kernel(name, F.col("d"), bw) * F.col("xw"))
-    sums = pairs.groupBy(key).agg(
-        F.sum(F.col("e") * F.col("w")).alias("ew"), F.sum(F.when(F.col("e").isNotNull(), F.col("w"))).alias("w"), F.min("d").alias("least")
-    )
+        sums = _endless_sums(used, key, s, bw, name)
     mean = F.when(F.col("least") <= bw, F.col("ew") / F.nullif(F.col("w"), F.lit(0.0)))
     out = p.join(sums, key, "left").select(key, mean.alias(value))
     return out.fillna(empty, [value]) if empty is not None else out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import calendar_features
 from ..operators import aggregates, joins, raster, series, sites, spatial
 from ..operators.raster import Frame
-from ..scratch import cut
+from ..scratch import cut, small
 
 #: A site's stays in time; of two that start together, by their coordinates.
 STAY_ORDER = ("date_start", "coords")
@@ -69,6 +69,9 @@ def annual_features(
 
 def daily_features(monitors: DataFrame, dynamic: Sequence[DataFrame], yearly: DataFrame, key: str, static: Sequence[str]) -> DataFrame:
     """Daily monitors with what changes by day, and the named yearly features of the day's year."""
+    monitors = cut(monitors)
+    days = small(monitors.select(key, "date").distinct())
+    dynamic = [d.join(days, [key, "date"], "left_semi") for d in dynamic]
     out = joins.merge_features(monitors, list(dynamic), [key, "date"]).withColumn("year", F.year("date"))
     return out.join(yearly.select(key, "year", *static), [key, "year"], "left")
 
@@ -93,8 +96,8 @@ def smoothed_daily(readings: DataFrame, features: DataFrame, values: Sequence[st
     daily = readings.groupBy(key, "date").agg(*[F.avg(v).alias(v) for v in values])
     daily = cut(series.cut_off(daily, dict(limits)) if limits else daily)
     out = calendar_features(daily, "date").select(*daily.columns, "year", "month", "day", F.col("iso_wday").alias("weekday"), "is_weekend")
+    out = series.winsorise(out, values, k, into=[f"{v}_a" for v in values])
     for v in values:
-        out = series.winsorise(out, v, k, into=f"{v}_a")
         for c in (v, f"{v}_a"):
             out = series.centred_mean(out, [key], ["date"], c, n, f"{c}_{n}" if c == v else f"{c}{n}")
     return out.join(features, [key, "year"])

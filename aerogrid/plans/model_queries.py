@@ -140,8 +140,8 @@ def mixed_preprocessing(t: Tables):
 
 @query()
 def impute_forest(t: Tables):
-    df = _samples(t).select("id", *[F.when(F.col("id") % (7 + i) != 0, F.col(c)).alias(c) for i, c in enumerate(TERMS[:3])])
-    return M.impute_forest(df, TERMS[:3], "id", trees=5, rounds=1, donors=3).select("id", *[F.round(c, 6).alias(c) for c in TERMS[:3]])
+    cols = ["chars", "rest", "words"]
+    return M.impute_forest(t.document_features, cols, "id", trees=20, rounds=2, donors=3).select("id", *[F.round(c, 6).alias(c) for c in cols])
 
 
 @query()

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators import loess
 from ..operators import series as W
 from ..operators import sites as H
+from ..operators import states as Z
 from ..scratch import new_path
 from ..sources import readers as S
 from . import jobs
@@ -515,12 +517,13 @@ def fill_down_up(t: Tables):
     return W.fill_down_up(t.measurements, ["tmsid2"], ["datehour", "event_id"], ["pm10"]).select("event_id", "pm10")
 
 
-SPARSE = "(SELECT tmsid2, date, pm10 FROM {daily} WHERE day(date) % 3 <> 0)"
+#: All days of all stations, with gaps in the values.
+SPARSE = "(SELECT tmsid2, date, CASE WHEN day(date) % 3 <> 0 THEN pm10 END AS pm10 FROM {daily})"
 LINE = f"(SELECT e.tmsid2, e.date, s.pm10 FROM (SELECT tmsid2, unnest(generate_series(MIN(date)::TIMESTAMP, MAX(date)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM {SPARSE} GROUP BY tmsid2) e LEFT JOIN {SPARSE} s USING (tmsid2, date))"
 
 
 def _sparse(t: Tables):
-    return t.daily.filter(F.dayofmonth("date") % 3 != 0).select("tmsid2", "date", "pm10")
+    return t.daily.select("tmsid2", "date", F.when(F.dayofmonth("date") % 3 != 0, F.col("pm10")).alias("pm10"))
 
 
 @query(f"SELECT * FROM {LINE}")
@@ -574,6 +577,31 @@ def impute_seasonal(t: Tables):
     return df.select("tmsid2", "date", F.round("pm10", 3).alias("pm10"))
 
 
+@query()
+def impute_states(t: Tables):
+    """Gaps on the smoothed level of each station's days, without and with a week's season."""
+    line = W.complete_series(_sparse(t), ["tmsid2"], "date")
+    plain = Z.impute_states(line, ["tmsid2"], "date", "pm10").select("tmsid2", "date", F.round("pm10", 3).alias("pm10"))
+    weekly = Z.impute_states(line, ["tmsid2"], "date", "pm10", period=7).select("tmsid2", "date", F.round("pm10", 3).alias("pm10_weekly"))
+    return plain.join(weekly, ["tmsid2", "date"])
+
+
+@query()
+def smooth_states(t: Tables):
+    """Level and slope of each station's hours, all readings of an hour together."""
+    hours = t.measurements.groupBy("tmsid2", F.date_trunc("hour", "datehour").alias("hour")).agg(F.avg("pm10").alias("pm10"))
+    out = Z.smooth_states(hours, ["tmsid2"], "hour", "pm10", Z.Variances(100.0, 10.0, 0.1))
+    return out.select("tmsid2", "hour", F.round("level", 3).alias("level"), F.round("slope", 4).alias("slope"))
+
+
+@query()
+def decompose_loess(t: Tables):
+    """Trend, weekly season and remainder of each station's days by local regression, one robust round."""
+    line = Z.impute_states(W.complete_series(t.daily.select("tmsid2", "date", "pm10"), ["tmsid2"], "date"), ["tmsid2"], "date", "pm10")
+    out = loess.decompose_loess(line, ["tmsid2"], "date", "pm10", 7, robust=1)
+    return out.select("tmsid2", "date", *[F.round(c, 4).alias(c) for c in ("trend", "seasonal", "remainder")])
+
+
 FENCE = "quantile_cont(pm10, 0.75) + {0}::DOUBLE * (quantile_cont(pm10, 0.75) - quantile_cont(pm10, 0.25))"
 
 

@@ -135,15 +135,15 @@ def neighbour_features(t: Tables):
     return df.select("pid", "neighbour", *[F.round(c, 5).alias(c) for c in ("bearing_sin", "bearing_cos", "dist_km", "inv_dist", "log_dist")])
 
 
-def _kernel_sql(weight: str, within: str, bw: int) -> str:
-    return f"""WITH d AS (SELECT p.pid, e.emission AS v, sqrt(pow(p.x - e.x, 2) + pow(p.y - e.y, 2)) AS d FROM {{points}} p, {{emitters}} e),
+def _kernel_sql(weight: str, within: str, bw: int, points: str = "{points}", emitters: str = "{emitters}") -> str:
+    return f"""WITH d AS (SELECT p.pid, e.emission AS v, sqrt(pow(p.x - e.x, 2) + pow(p.y - e.y, 2)) AS d FROM {points} p, {emitters} e),
     s AS (SELECT pid, sum(v * ({weight})) / nullif(sum({weight}), 0) AS m, min(d) AS least FROM d {within} GROUP BY pid)
-    SELECT p.pid, round(CASE WHEN least <= {bw} THEN m END, 3) AS emission FROM {{points}} p LEFT JOIN s USING (pid)"""
+    SELECT p.pid, round(CASE WHEN least <= {bw} THEN m END, 3) AS emission FROM {points} p LEFT JOIN s USING (pid)"""
 
 
-@query(_kernel_sql("exp(-(d / 2000) * (d / 2000) / 2)", "", 2000))
+@query(_kernel_sql("exp(-(d / 2000) * (d / 2000) / 2)", "", 2000, "{page_points}", "{document_sources}"))
 def kernel_gaussian(t: Tables):
-    return X.kernel_sources(t.points, t.emitters, "pid", 2000).withColumn("emission", F.round("emission", 3))
+    return X.kernel_sources(t.page_points, t.document_sources, "pid", 2000).withColumn("emission", F.round("emission", 3))
 
 
 @query(_kernel_sql("exp(-d / 2000)", "", 2000))
@@ -543,7 +543,7 @@ def _annual_sql(base: str) -> str:
 
 
 def _annual(t: Tables, base):
-    out = jobs.annual_features(base, t.roads, t.terrain, t.landuse_years, t.emitters, _rings(t), t.aod_years, t.blh_years, FINE, COARSE, LAND_RADII, CLASSES, 2000, 1000.0)
+    out = jobs.annual_features(base, t.roads, t.terrain, t.landuse_years, t.emitters, _rings(t), t.aod_years, t.blh_years, FINE, COARSE, LAND_RADII, CLASSES, 2000)
     return out.withColumns({"d_road": F.round("d_road", 6), "emission": F.round("emission", 3)} | {c: F.round(c, 5) for c in out.columns if c.startswith("landuse_")})
 
 

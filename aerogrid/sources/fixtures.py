@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 VIEWS = {
     "raw_measurements": """
@@ -98,6 +98,14 @@ VIEWS = {
         FROM (SELECT link_id, x AS x1, y AS y1, x + size * 7 AS x2, y + link_id % 300 AS y2, x + size * 20 AS x3, y + link_id % 700 AS y3,
           x - 300 AS x4, y AS y4, x - 300 AS x5, y + link_id % 500 AS y5
           FROM (SELECT CAST(p_partkey AS BIGINT) AS link_id, CAST(p_size AS BIGINT) AS size, CAST(900000 + p_partkey * 7919 % 20000 AS BIGINT) AS x, CAST(1900000 + p_partkey * 6101 % 20000 AS BIGINT) AS y FROM {part}))""",
+    "page_points": """
+        SELECT page_id AS pid, CAST(900000 + page_id * 7919 % 20000 AS DOUBLE) AS x, CAST(1900000 + page_id * 6101 % 20000 AS DOUBLE) AS y FROM {pages}""",
+    "document_sources": """
+        SELECT doc_id AS eid, CAST(900000 + (doc_id * 7919 + 31) % 20000 AS DOUBLE) AS x, CAST(1900000 + (doc_id * 6101 + 77) % 20000 AS DOUBLE) AS y, CAST(n_chars AS DOUBLE) AS emission FROM {documents}""",
+    "document_features": """
+        SELECT doc_id AS id, CASE WHEN doc_id % 7 <> 0 THEN CAST(n_chars AS DOUBLE) END AS chars, CASE WHEN doc_id % 11 <> 0 THEN CAST(n_chars % 100 + doc_id % 37 AS DOUBLE) END AS rest,
+          CASE WHEN doc_id % 13 <> 0 THEN CAST(n_chars AS DOUBLE) / 6 + CAST(doc_id % 5 AS DOUBLE) END AS words
+        FROM {documents}""",
     "landuse": """
         SELECT CAST(FLOOR(p_partkey / 50) AS INT) AS row, CAST(p_partkey % 50 AS INT) AS col, CASE WHEN p_size <> 50 THEN CAST(p_size % 6 AS INT) END AS class,
           CAST(p_size AS DOUBLE) AS value

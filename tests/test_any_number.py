@@ -8,11 +8,6 @@ import pytest
 from aerogrid.operators import spatial as X
 
 
-@pytest.fixture
-def little(monkeypatch):
-    monkeypatch.setattr(X, "BROADCAST_SOURCES", 3)
-
-
 def _points(spark, n, seed, key="pid"):
     r = random.Random(seed)
     rows = [(i, r.uniform(0, 5000), r.uniform(0, 5000)) for i in range(n)]
@@ -20,7 +15,7 @@ def _points(spark, n, seed, key="pid"):
 
 
 @pytest.mark.parametrize("name, weight", [("gaussian", lambda u: math.exp(-u * u / 2)), ("exponential", lambda u: math.exp(-u))])
-def test_kernels_take_all_sources(spark, little, name, weight):
+def test_kernels_take_all_sources(spark, name, weight):
     rows, p = _points(spark, 20, 1)
     r = random.Random(2)
     sources = [(r.uniform(0, 5000), r.uniform(0, 5000), r.uniform(1, 9)) for _ in range(30)]
@@ -32,14 +27,14 @@ def test_kernels_take_all_sources(spark, little, name, weight):
         assert got[pid] == (pytest.approx(mean) if min(d) <= 400 else None)
 
 
-def test_far_points_meet_all_segments(spark, little):
+def test_far_points_meet_all_segments(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 100_000.0, 0.0)], "pid int, x double, y double")
     r = spark.createDataFrame([(i, 10.0 + i, 5.0, 10.0 + i, -5.0) for i in range(9)], "link_id int, x1 double, y1 double, x2 double, y2 double")
     got = {x["pid"]: (x["link_id"], x["distance"]) for x in X.nearest_segment(p, r, "pid", "link_id", 2).collect()}
     assert got == {1: (0, 10.0), 2: (8, 99982.0)}
 
 
-def test_neighbours_by_cells(spark, little):
+def test_neighbours_by_cells(spark):
     rows, _ = _points(spark, 120, 3)
     rows += [(200 + i, 2000.0, 2000.0) for i in range(8)] + [(300, 1e6, 1e6), (301, -3e5, 0.0)]
     out = X.nearest_neighbours(spark.createDataFrame([*rows, (400, None, 1.0)], "pid int, x double, y double"), "pid", 4)
