@@ -94,6 +94,12 @@ def impute_seasonal(df: DataFrame, keys, time: str, col: str, period: int) -> Da
     return df.withColumn(col, F.coalesce(F.col(col), F.col("_flat") + F.col("_season"))).drop("_phase", "_season", "_flat")
 
 
+def upper_fence(col: str, k: float) -> Column:
+    """Third quartile plus k interquartile ranges (quartiles interpolated), as an aggregate of one group."""
+    q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.75)))
+    return q[1] + F.lit(k) * (q[1] - q[0])
+
+
 def winsorise(df: DataFrame, cols: str | Sequence[str], k: float, keys: Sequence[str] = (), into: str | Sequence[str] | None = None) -> DataFrame:
     """Values cut off at the upper fence, of the station or of all: the third quartile plus k interquartile ranges (quartiles interpolated).
 
