@@ -26,8 +26,9 @@ def save_table(df: DataFrame, name: str, replace: bool = True) -> None:
     df.write.mode("overwrite" if replace else "ignore").saveAsTable(name)
 
 
-def write_jdbc(df: DataFrame, url: str, name: str, **properties: str) -> None:
-    df.write.mode("overwrite").jdbc(url, name, properties=properties)
+def write_jdbc(df: DataFrame, url: str, name: str, connections: int = 8, rows: int = 10_000, **properties: str) -> None:
+    """A database's table, replaced: over so many connections at once at most, so many rows a statement."""
+    df.write.mode("overwrite").option("numPartitions", connections).option("batchsize", rows).jdbc(url, name, properties=properties)
 
 
 def write_surfaces(df: DataFrame, path: str) -> None:
