@@ -200,7 +200,9 @@ def kernel_sums(points: DataFrame, key: str, sources: DataFrame, parts: list[Par
     """
     spark = points.sparkSession
     ship_package(spark)
-    cells = sources.select(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "ew", "w")]).mapInArrow(_masses(parts), CELLS)
+    cells = sources.select(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "ew", "w")])
+    least = min(p.width for p in parts)  # a task's sources by their cells: each cell is summed once, not once a batch
+    cells = cells.sortWithinPartitions(F.floor(F.col("x") / least), F.floor(F.col("y") / least)).mapInArrow(_masses(parts), CELLS)
     cells = cut(cells.repartition("level", "cx", "cy").sortWithinPartitions("level", "cx", "cy").mapInArrow(_merged, CELLS))
     kind = points.schema[key].dataType
     at = points.select(F.col(key).alias("_key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
