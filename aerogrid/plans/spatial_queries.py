@@ -8,6 +8,8 @@ from ..functions import geometry as G
 from ..operators import aggregates as A
 from ..operators import raster as R
 from ..operators import spatial as X
+from ..scratch import new_path
+from ..sources import places as L
 from ..sources import readers as S
 from ..sources import sinks as K
 from . import jobs
@@ -605,3 +607,20 @@ def job_daily_features(t: Tables):
     aod = R.daily_aod(stays, "pid", cells, COARSE, AOD_RADII)
     out = jobs.daily_features(monitors, [weather, aod], _annual(t, t.point_years), "pid", STATIC)
     return out.withColumns({f"{v}_{r}": F.round(f"{v}_{r}", 4) for v in HOW for r in WEATHER_RADII} | {f"aod_{r}": F.round(f"aod_{r}", 6) for r in AOD_RADII})
+
+
+@query("SELECT pid, x, y FROM {page_points} WHERE x BETWEEN 905000 AND 907500 AND y BETWEEN 1903000 AND 1905000")
+def place_window(t: Tables):
+    """All points written in the order of their place; a window of them read from the files that it meets."""
+    path = new_path(t.spark)
+    L.write_by_place(t.page_points, path, rows=5_000)
+    return L.read_window(t.spark, path, 905_000, 907_500, 1_903_000, 1_905_000).select("pid", "x", "y")
+
+
+@query("SELECT class, count(*) AS cells, round(avg(value), 6) AS value FROM {landuse} WHERE col BETWEEN 10 AND 29 AND row BETWEEN 5 AND 24 AND class IS NOT NULL GROUP BY class")
+def place_window_cells(t: Tables):
+    """Classes of a window of a raster's cells, by column and row."""
+    path = new_path(t.spark)
+    L.write_by_place(t.landuse, path, "col", "row", rows=5_000)
+    cells = L.read_window(t.spark, path, 10, 29, 5, 24, "col", "row").filter("class IS NOT NULL")
+    return cells.groupBy("class").agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg("value"), 6).alias("value"))
