@@ -217,7 +217,8 @@ def decontaminate(
     other columns are ignored. With an empty benchmark nothing is hit; no documents give no rows.
 
     Texts are read twice: for fingerprints, and (only those that met the benchmark) for windows. What is found
-    belongs to a text, so copies of one are looked at once. A filter of at most 8 MB of the benchmark's fingerprints thins out those
+    belongs to a text, so copies of one are looked at once. The items of a window are rows, never one array; only
+    n_items and items_sha256 need a list, which is made once for all texts that hit the same windows' sets of items. A filter of at most 8 MB of the benchmark's fingerprints thins out those
     of the documents before the join; tables are broadcast up to scratch.BROADCAST_BYTES and shuffled beyond.
     """
     spark = docs.sparkSession
@@ -250,32 +251,47 @@ def decontaminate(
     used = printed.select(F.explode("prints").alias("p")).select("p.size", "p.gram").distinct()
     used = materialise(used.join(small(grams), ["size", "gram"], "left_semi"))
     item_windows = _windows(item_prints.select(*KEY, "text").join(_matched(item_prints, used), KEY), window, gram)
-    owned = item_windows.select("size", "words", *KEY).distinct().join(items.select(*KEY, "item_id"), KEY)
-    owned = owned.groupBy("size", "words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    owned = materialise(owned.withColumn("owners", F.xxhash64("items")))
+    # a window's items stay rows; what names their set is a hash that needs no list of them
+    own_key = ["size", "words"]
+    holders = materialise(item_windows.select(*own_key, *KEY).distinct().join(items.select(*KEY, "item_id"), KEY).select(*own_key, "item_id").distinct())
+    member = F.coalesce("item_id", F.lit(""))
+    owned = holders.groupBy(*own_key).agg(
+        F.xxhash64(F.bit_xor(F.xxhash64(member)), F.bit_xor(F.xxhash64(F.lit("item"), member)), F.count("item_id"), F.count(F.lit(1))).alias("owners")
+    )
+    owned = materialise(owned)
 
-    near = small(owned, F.octet_length("words") + F.octet_length(F.array_join("items", ",")))
-    hits = materialise(doc_windows.join(near, ["size", "words"]).select(*KEY, "size", "start", "items", "owners"))
-    found = hits.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("spans"))
+    near = small(owned, F.octet_length("words") + 8)
+    hits = materialise(doc_windows.join(near, own_key).select(*KEY, "size", "start", "owners"))
+    found = hits.groupBy(*KEY).agg(
+        F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("spans"),
+        F.sort_array(F.collect_set("owners")).alias("sets"),
+    )
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["end"]))).alias("n"), F.greatest(a["end"], s["end"]).alias("end")),
         lambda a: a["n"].cast("long"),
     )
-    named = hits.dropDuplicates([*KEY, "owners"]).groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("names"))
-    result = materialise(found.withColumn("n_hit", covered).join(named, KEY))
-    discard(n_of, item_prints, grams, met, doc_windows, used, owned, hits)
-
-    names = F.coalesce("names", F.array().cast("array<string>"))
-    out = printed.drop("prints").join(small(result, F.octet_length(F.array_join("names", ",")) + F.size("spans") * 8), KEY, "left")
+    found = materialise(found.select(*KEY, "spans", covered.alias("n_hit"), "sets", F.xxhash64("sets").alias("mix")))
+
+    # texts that hit the same sets of items share one list of names, which is made once
+    mixes = found.groupBy("mix").agg(F.any_value("sets").alias("sets")).select("mix", F.explode("sets").alias("owners"))
+    asked = hits.select("owners").distinct()
+    one = owned.join(asked, "owners", "left_semi").groupBy("owners").agg(F.min(F.struct(*own_key)).alias("w")).select("owners", "w.*")
+    members = materialise(holders.filter("item_id IS NOT NULL").join(one, own_key).select("owners", "item_id"))
+    named = mixes.join(members, "owners").groupBy("mix").agg(F.sort_array(F.collect_set("item_id")).alias("names"))
+    named = materialise(named.select("mix", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256")))
+    result = materialise(found.join(small(named, F.lit(80)), "mix", "left").select(*KEY, "spans", "n_hit", "n_items", "items_sha256"))
+    discard(n_of, item_prints, grams, met, doc_windows, used, holders, owned, hits, found, members, named)
+
+    out = printed.drop("prints").join(small(result, F.size("spans") * 8 + 80), KEY, "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
     )

@@ -22,9 +22,8 @@ from pyspark.sql import types as T
 from .common import blank_words, discard, map_batches, materialise, raw_texts, small, struct, text_input
 
 MIN_WORDS, GRAM = 50, 8
-#: Suffixes of one k-gram, with different words around it, beyond which their windows are counted instead of sorted: half
-#: of a partition's on average, but at least so many.
-LEAST_HOT = 2_000
+#: Suffixes of one k-gram, with different words around it, beyond which their windows are counted instead of sorted (8 MB of words).
+HOT = 20_000
 #: Bits of the filter of repeated k-grams: 16 for each, within these bounds (at most 32 MB are broadcast). Beyond, a join drops the rest.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 
@@ -199,7 +198,7 @@ def counted_windows(contexts: DataFrame, min_words: int, hot: int) -> DataFrame:
     """gram, context and bits as of shared_windows, for contexts of any number: each window is a row, and equal ones are counted.
 
     Windows are compared within their k-gram and offset by 64-bit hashes. A window that more than `hot` contexts hold is looked
-    up in a broadcast (there are at most as many of them as windows / hot), so that no task gets all its holders.
+    up in a broadcast while those fit one, so that no task gets all its holders; beyond, the join's skewed partitions are split.
     """
     key = ["gram", "j", "window"]
     each = contexts.withColumn("j", F.explode(F.sequence("low", "high")))
@@ -207,14 +206,14 @@ def counted_windows(contexts: DataFrame, min_words: int, hot: int) -> DataFrame:
     windows = each.select("context", "u0", "u1", "gram", "j", window.alias("window"))
     held = windows.groupBy(*key).agg(F.min("u0").alias("u0"), F.max("u1").alias("u1"), F.count(F.lit(1)).alias("n"))
     held = materialise(held.filter("u0 <> u1").select(*key, "n"))
-    windows, by_many = windows.select("context", *key), F.broadcast(held.filter(F.col("n") > hot).select(*key))
+    windows, by_many = windows.select("context", *key), small(held.filter(F.col("n") > hot).select(*key))
     hits = windows.join(by_many, key, "left_semi")
     hits = hits.unionByName(windows.join(by_many, key, "left_anti").join(held.filter(F.col("n") <= hot).select(*key), key, "left_semi"))
     return hits.groupBy("gram", "context").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
 
 
 def find_repeats(
-    docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_repeated, spans (begin, end: first word and word after).
 
@@ -224,7 +223,7 @@ def find_repeats(
     stay null; other columns are ignored. An empty table gives no rows.
 
     Words are compared by 32-bit codes, min_words of them at a time; suffixes are named by two 64-bit hashes. hot: suffixes of a
-    k-gram beyond which their windows are counted by hash; by default set from the number of suffixes and partitions.
+    k-gram beyond which their windows are counted by hash, so that no task sorts more of one k-gram however large the table is.
     """
     if not 8 <= min_words - gram < 63:
         raise ValueError("min_words - gram must be from 8 to 62")
@@ -235,9 +234,8 @@ def find_repeats(
     )
     contexts = materialise(contexts)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = max(LEAST_HOT, contexts.count() // (2 * parts)) if hot is None else hot
     crowded = materialise(contexts.groupBy("gram").count().filter(F.col("count") > hot).select("gram"))  # at most contexts / hot
-    few = contexts.join(F.broadcast(crowded), "gram", "left_anti").withColumnRenamed("gram", "part")
+    few = contexts.join(small(crowded), "gram", "left_anti").withColumnRenamed("gram", "part")
     dealt = few.select("part", "context", "u0", "u1", "low", "high", "right", "left")
     sorted_ = dealt.repartition(F.col("part")).sortWithinPartitions("part", "right")
 
@@ -247,21 +245,27 @@ def find_repeats(
             some = bits != 0
             return pa.RecordBatch.from_arrays([pa.array(pdf["part"].to_numpy()[some]), pa.array(pdf["context"].to_numpy()[some]), pa.array(bits[some])], names=["gram", "context", "bits"])
 
-        waiting = None
+        waiting, last = [], None
         for batch in batches:
             pdf = batch.to_pandas()
-            waiting = pdf if waiting is None else pd.concat([waiting, pdf], ignore_index=True)
-            part = waiting["part"].to_numpy()
-            cut = np.flatnonzero(part[1:] != part[:-1])
-            if len(cut):
-                yield found(waiting.iloc[: cut[-1] + 1])
-                waiting = waiting.iloc[cut[-1] + 1 :].reset_index(drop=True)
-        if waiting is not None and len(waiting):
-            yield found(waiting)
+            part = pdf["part"].to_numpy()
+            if not len(part):
+                continue
+            if part[-1] == last:  # rows are sorted: all of the batch goes on with the part that waits
+                waiting.append(pdf)
+                continue
+            # whole parts end before the batch's last one begins
+            begin = int(np.searchsorted(part, part[-1]))
+            whole = [*waiting, pdf.iloc[:begin]]
+            if sum(map(len, whole)):
+                yield found(pd.concat(whole, ignore_index=True))
+            waiting, last = [pdf.iloc[begin:]], part[-1]
+        if waiting:
+            yield found(pd.concat(waiting, ignore_index=True))
 
     shared = map_batches(sorted_, compare, struct(("gram", T.LongType()), ("context", T.LongType()), ("bits", T.LongType())))
     if not crowded.isEmpty():
-        shared = shared.unionByName(counted_windows(contexts.join(F.broadcast(crowded), "gram", "left_semi"), min_words, hot))
+        shared = shared.unionByName(counted_windows(contexts.join(small(crowded), "gram", "left_semi"), min_words, hot))
     shared = materialise(shared)
     discard(contexts, crowded)
     hits = each.select("row_id", "gram", "context", "places").join(small(shared), ["gram", "context"])

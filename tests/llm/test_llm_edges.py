@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeats, empty tables and clashing names, for every text operator and stage."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -230,6 +231,34 @@ def test_decontamination(docs, none, spark, monkeypatch):
     assert decontaminate(docs, items.limit(0)).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("bytes_", [None, 0])
+def test_a_window_of_very_many_items(spark, monkeypatch, bytes_):
+    """4,000 items open with one window; some share their id, some have none; texts hit that window, others, or both."""
+    if bytes_ is not None:
+        monkeypatch.setattr("aerogrid.scratch.BROADCAST_BYTES", bytes_)
+    shared, other = [f"w{j}" for j in range(10)], [f"v{j}" for j in range(12)]
+    items = [(f"i{n % 3990}" if n % 100 else None, " ".join([*shared, *[f"n{n}.{j}" for j in range(n % 4)]])) for n in range(4000)]
+    items += [("", " ".join(other)), ("i7", " ".join(other[1:])), (None, "only by none at all here it is ten words")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = {0: shared, 1: ["a", *shared, "b", *other], 2: other[:11], 3: other, 4: shared[1:], 5: "x only by none at all here it is ten words y".split()}
+    df = spark.createDataFrame([(n + 10 * copy, " ".join(ws)) for n, ws in texts.items() for copy in range(3)], "doc_id int, text string")
+    of = {}
+    for item, text in items:
+        ws = text.split()
+        size = min(10, len(ws))
+        for s in range(len(ws) - size + 1):
+            of.setdefault(tuple(ws[s : s + size]), set()).add(item)
+    for r in decontaminate(df, bench).collect():
+        ws, names, hit = texts[r["doc_id"] % 10], set(), set()
+        for size in (9, 10):
+            for s in range(len(ws) - size + 1):
+                if found := of.get(tuple(ws[s : s + size])):
+                    names |= found - {None}
+                    hit |= set(range(s, s + size))
+        assert (r["n_hit"], r["n_items"]) == (len(hit), len(names)), r["doc_id"]
+        assert r["items_sha256"] == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+
+
 def test_token_counts(docs, none, rows):
     library = Tokenizer.from_file(BYTES)
     got = sorted(r["n_tokens"] for r in token_count.count_tokens(docs, BYTES).collect())
