@@ -36,3 +36,25 @@ def test_pieces_of_circles_are_not_broadcast(spark, tmp_path):
     want = covers.groupBy("pid", "radius").agg(F.sum(F.col("value") * F.col("cover")).alias("t"), F.sum("cover").alias("w")).collect()
     assert len(got) == len(want) == 600
     assert all(abs(got[r["pid"], r["radius"]][0] - r["t"]) < 1e-6 and abs(got[r["pid"], r["radius"]][1] - r["w"]) < 1e-6 for r in want)
+
+
+def test_days_of_circles_against_each_cell(spark):
+    pts = spark.range(40).select("id", (F.col("id") * 7919 % 20000).cast("double").alias("x"), (F.col("id") * 6101 % 20000).cast("double").alias("y"))
+    pts = pts.unionByName(spark.createDataFrame([(40, None, 5.0)], pts.schema))
+    i = F.col("id")
+    cells = spark.range(20 * 20 * 5).select(
+        (i / 5 % 20).cast("int").alias("row"), (i / 100).cast("int").alias("col"), F.date_add(F.lit("1969-12-20").cast("date"), (i % 5 * 90).cast("int")).alias("date"),
+        F.when(i % 3 != 0, (i % 11).cast("double")).alias("a"), F.when(i < 900, (i % 13).cast("double")).alias("b"),
+    )
+    frame = R.Frame(0.0, 20000.0, 1000.0, 1000.0)
+    for coverage in ("exact", "centre"):
+        got = {(r["id"], r["date"]): r for r in R.zonal_days(pts, "id", [900, 2500], cells, frame, ["a", "b"], coverage).collect()}
+        covers = R.buffer_cells(pts.dropna(), "id", [900, 2500], frame, coverage).join(cells, ["row", "col"])
+        mean = lambda v, r: F.sum(F.when(F.col("radius") == r, F.col(v) * F.col("cover"))) / F.sum(F.when((F.col("radius") == r) & F.col(v).isNotNull(), F.col("cover")))
+        names = [(v, r) for v in ("a", "b") for r in (900, 2500)]
+        want = covers.filter("a IS NOT NULL OR b IS NOT NULL").groupBy("id", "date").agg(*[mean(v, r).alias(f"{v}_{r}") for v, r in names]).collect()
+        assert len(got) == len(want) > 150
+        for r in want:
+            for c in (f"{v}_{k}" for v, k in names):
+                mine = got[r["id"], r["date"]][c]
+                assert (mine is None) == (r[c] is None) and (mine is None or abs(mine - r[c]) < 1e-9)
