@@ -127,11 +127,22 @@ def kernel(name: str, d: Column, bw: float) -> Column:
 
 
 def pair_sums(points: DataFrame, key: str, sources: DataFrame, reach: float, weight: Callable[[Column], Column]) -> DataFrame:
-    """key, ew, w, least: sums over the sources (sx, sy, e, xw) within reach, found by cells of that size, and the least distance."""
-    looked = cover_box(points, F.col("x") - reach, F.col("y") - reach, F.col("x") + reach, F.col("y") + reach, reach)
-    pairs = looked.join(sources.withColumn("cell", cell_of("sx", "sy", reach)), "cell").withColumn("d", planar_m("x", "y", "sx", "sy")).filter(F.col("d") <= reach)
-    pairs = pairs.withColumn("w", weight(F.col("d")) * F.col("xw"))
-    return pairs.groupBy(key).agg(F.sum(F.col("e") * F.col("w")).alias("ew"), F.sum(F.when(F.col("e").isNotNull(), F.col("w"))).alias("w"), F.min("d").alias("least"))
+    """key, ew, w, least: sums over the sources (sx, sy, ew, xw: see merged_sources) within reach, found by cells of that size, and the least distance.
+
+    Rows in cells are dealt to a fixed number of tasks: points take up to nine cells each, so they are never broadcast by the size they had before.
+    """
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    looked = cover_box(points, F.col("x") - reach, F.col("y") - reach, F.col("x") + reach, F.col("y") + reach, reach).repartition(n, "cell")
+    held = sources.withColumn("cell", cell_of("sx", "sy", reach)).repartition(n, "cell")
+    pairs = looked.hint("shuffle_hash").join(held, "cell").withColumn("d", planar_m("x", "y", "sx", "sy")).filter(F.col("d") <= reach)
+    pairs = pairs.withColumn("k", weight(F.col("d")))
+    return pairs.groupBy(key).agg(F.sum(F.col("ew") * F.col("k")).alias("ew"), F.sum(F.col("xw") * F.col("k")).alias("w"), F.min("d").alias("least"))
+
+
+def merged_sources(sources: DataFrame) -> DataFrame:
+    """sx, sy, ew, xw: the sources (sx, sy, e, xw) of each place as one: the sums of their weights times values, and of the weights, where the value is known."""
+    known = F.col("e").isNotNull()
+    return sources.groupBy("sx", "sy").agg(F.sum(F.col("e") * F.col("xw")).alias("ew"), F.sum(F.when(known, F.col("xw"))).alias("xw"))
 
 
 def cheapest_reach(points: DataFrame, sources: DataFrame, reaches: Sequence[float], pairs: float) -> float | None:
@@ -167,12 +178,11 @@ def _endless_sums(points: DataFrame, key: str, sources: DataFrame, bw: float, na
     reach = cheapest_reach(points, sources, reaches, PAIRS)
     if reach == reaches[0]:
         return exact(points)
-    at = sources.select("sx", "sy").distinct().withColumn("_s", F.lit(0))
+    at = sources.select("sx", "sy", F.lit(0).alias("_s"))
     rows, tree = leaves.plant(at, F.col("sx"), F.col("sy"), [F.col("sx"), F.col("sy"), F.col("sx"), F.col("sy")])
     near = leaves.nearest(points.dropDuplicates([key]), key, rows, tree, planar_m("x", "y", "sx", "sy"), "_s").filter(F.col("distance") <= bw)
     near = cut(near.select(key, F.col("distance").alias("least")).join(points, key))
-    known = F.col("e").isNotNull()
-    weighed = sources.select(F.col("sx").alias("x"), F.col("sy").alias("y"), F.when(known, F.col("e") * F.col("xw")).otherwise(0.0).alias("ew"), F.when(known, F.col("xw")).otherwise(0.0).alias("w"))
+    weighed = sources.select(F.col("sx").alias("x"), F.col("sy").alias("y"), *[F.coalesce(c, F.lit(0.0)).alias(n) for c, n in (("ew", "ew"), ("xw", "w"))])
     reach = reach or min(reaches)
     parts = kernels.gaussian_parts(bw) if name == "gaussian" else kernels.exponential_parts(bw, reach / bw)
     sums = kernels.kernel_sums(near, key, weighed, parts)
@@ -197,7 +207,7 @@ def kernel_sources(
     With truncate, and for kernels that end at bw, sources within bw count, found by cells of that size. Otherwise all
     sources count where at least one is within bw: by sums over cells (kernels.kernel_sums), which differ from those over pairs by 1e-10 at most. Points without a
     source, outside the clip polygons, or with weights that sum to 0, get `empty`; sources outside them don't count, nor do sources without a finite place. A null value has no weight,
-    but its source may be the one within bw.
+    but its source may be the one within bw. Sources of one place act as one and points of one place are looked up once, so that work goes by places.
     """
     if value not in sources.columns:
         raise ValueError(f"sources have no column {value}")
@@ -209,13 +219,15 @@ def kernel_sources(
     used = inside_region(p, clip, bw) if clip is not None else p
     if clip is not None:
         s = inside_region(s.withColumnsRenamed({"sx": "x", "sy": "y"}), clip, bw).withColumnsRenamed({"x": "sx", "y": "sy"})
-    used, s = used.filter(finite("x", "y")), s.filter(finite("sx", "sy"))
+    used, s = used.filter(finite("x", "y")), merged_sources(s.filter(finite("sx", "sy")))
+    place = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    places = used.select("x", "y").distinct().withColumn("_place", place)
     if truncate or name in ("tricube", "epanechnikov"):
-        sums = pair_sums(used, key, s, bw, lambda d: kernel(name, d, bw))
+        sums = pair_sums(places, "_place", s, bw, lambda d: kernel(name, d, bw))
     else:
-        sums = _endless_sums(used, key, s, bw, name)
+        sums = _endless_sums(places, "_place", s, bw, name)
     mean = F.when(F.col("least") <= bw, F.col("ew") / F.nullif(F.col("w"), F.lit(0.0)))
-    out = p.join(sums, key, "left").select(key, mean.alias(value))
+    out = p.withColumn("_place", place).join(sums, "_place", "left").select(key, mean.alias(value))
     return out.fillna(empty, [value]) if empty is not None else out
 
 

@@ -58,3 +58,20 @@ def test_days_of_circles_against_each_cell(spark):
             for c in (f"{v}_{k}" for v, k in names):
                 mine = got[r["id"], r["date"]][c]
                 assert (mine is None) == (r[c] is None) and (mine is None or abs(mine - r[c]) < 1e-9)
+
+
+def test_kernels_meet_places_not_copies(spark, tmp_path):
+    from aerogrid.operators import spatial as X
+
+    pts = scattered(spark, tmp_path / "p", 400, 40)
+    sources = scattered(spark, tmp_path / "s", 3000, 300).withColumn("emission", (F.col("pid") % 17).cast("double")).withColumn("share", (F.col("pid") % 4).cast("double"))
+    out = X.kernel_sources(pts, sources, "pid", 1500, "tricube", weight="share")
+    assert not broadcast_explosions(out)
+    assert X.merged_sources(sources.selectExpr("x AS sx", "y AS sy", "emission AS e", "share AS xw")).count() == 300
+    s = sources.selectExpr("x AS sx", "y AS sy", "emission AS e", "share AS xw")
+    d = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
+    w = X.kernel("tricube", d, 1500) * F.col("xw")
+    want = pts.crossJoin(s).groupBy("pid").agg((F.sum(F.col("e") * w) / F.nullif(F.sum(w), F.lit(0.0))).alias("m"))
+    got, want = (sorted((r[0], r[1]) for r in df.collect()) for df in (out, want))
+    assert len(got) == 400
+    assert all(a[0] == b[0] and (a[1] is None) == (b[1] is None) and (a[1] is None or abs(a[1] - b[1]) < 1e-9) for a, b in zip(got, want, strict=True))
