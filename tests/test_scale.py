@@ -75,3 +75,13 @@ def test_kernels_meet_places_not_copies(spark, tmp_path):
     got, want = (sorted((r[0], r[1]) for r in df.collect()) for df in (out, want))
     assert len(got) == 400
     assert all(a[0] == b[0] and (a[1] is None) == (b[1] is None) and (a[1] is None or abs(a[1] - b[1]) < 1e-9) for a, b in zip(got, want, strict=True))
+
+
+def test_weather_of_wanted_days_only(spark):
+    i = F.col("id")
+    ts = F.timestamp_seconds(F.lit(1_704_067_200) + i % 20 * 86_400)
+    cells = spark.range(400 * 20).select((i / 20 % 20).cast("int").alias("row"), (i / 400).cast("int").alias("col"), F.lit("tp").alias("variable"), ts.alias("ts"), (i % 11).cast("double").alias("value"))
+    pts = spark.range(5).select("id", (i * 3000.0 + 500).alias("x"), (i * 2000.0 + 500).alias("y"))
+    weather = lambda **how: R.daily_weather(pts, "id", cells, R.Frame(0.0, 20000.0, 1000.0, 1000.0), [1500], {"tp": "sum"}, **how)
+    days = spark.sql("SELECT DATE '2024-01-03' AS date UNION ALL SELECT DATE '2024-01-03' UNION ALL SELECT DATE '2030-01-01'")
+    assert sorted(map(tuple, weather(days=days).collect())) == sorted(map(tuple, weather().filter("date = DATE '2024-01-03'").collect()))
