@@ -21,3 +21,15 @@ def test_tiles_are_those_of_the_sql(spark, small, tmp_path):
     part = spark.read.parquet(f"{small}/part.parquet")
     part.unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 60_000)).write.parquet(f"{tmp_path}/part.parquet")
     assert same_as_sql(spark, "tiles_with_halo", tmp_path, ["part"])
+
+
+def test_medians_are_exact(spark):
+    from pyspark.ml import Pipeline
+
+    from aerogrid.operators import models as M
+
+    df = spark.range(40_001).select("id", F.when(F.col("id") > 0, (F.col("id") * 7919 % 40_009).cast("double")).alias("a"), F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("b"))
+    values = {c: sorted(r[0] for r in df.select(c).dropna().collect()) for c in ("a", "b")}
+    got = Pipeline(stages=M.mixed_steps(["a", "b"], [])).fit(df).transform(df)
+    for c, v in values.items():
+        assert [r[0] for r in got.filter(F.col(c).isNull()).select(f"{c}_filled").distinct().collect()] == [v[(len(v) - 1) // 2]]
