@@ -57,8 +57,9 @@ def multi_ring_clip(t: Tables):
 )
 def multi_ring_sources(t: Tables):
     """Weighted emitters for each multipolygon, holes left out."""
-    inside = X.points_within(t.emitters, _estates(t), "zone")
-    return A.weighted_sources(t.estates.select("zone"), inside, "zone", class_weight("kind"), "weight")
+    places = t.emitters.groupBy("x", "y").agg(F.sum(class_weight("kind")).alias("all_weight"))  # emitters of a place are in the same estates
+    inside = X.points_within(places, _estates(t), "zone")
+    return A.weighted_sources(t.estates.select("zone"), inside, "zone", F.col("all_weight"), "weight")
 
 
 @query(
