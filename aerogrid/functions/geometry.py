@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,3 +203,34 @@ def circle_cover(cx, cy, r, xmin, ymin, xmax, ymax) -> Column:
     x0, x1, y0, y1 = _c(xmin) - cx, _c(xmax) - cx, _c(ymin) - cy, _c(ymax) - cy
     area = _corner(x1, y1, r) - _corner(x0, y1, r) - _corner(x1, y0, r) + _corner(x0, y0, r)
     return F.greatest(F.lit(0.0), area) / ((x1 - x0) * (y1 - y0))
+
+
+def with_circle_cover(df: DataFrame, cx, cy, r, xmin, ymin, xmax, ymax, into: str = "cover") -> DataFrame:
+    """df with the share of a rectangle that lies in a circle, as circle_cover has it, in steps: what corners have in common is computed once, and
+    no step is too long to be compiled to machine code. Filters on the share aren't pushed below it, which would compute it twice.
+    """
+    cx, cy, r = _c(cx), _c(cy), _c(r)
+    c = {n: F.col(f"_{n}") for n in ("r", "x0", "x1", "y0", "y1", "a0", "a1", "b0", "b1", "f0", "f1", "u0", "u1", *(f"{k}{i}{j}" for k in "ms" for i in "01" for j in "01"))}
+    r2 = c["r"] * c["r"]
+
+    def under(t: Column) -> Column:
+        return (t * F.sqrt(F.greatest(r2 - t * t, F.lit(0.0))) + r2 * F.asin(F.least(t / c["r"], F.lit(1.0)))) / 2
+
+    def corner(i: str, j: str) -> Column:
+        a, b, m = c[f"a{i}"], c[f"b{j}"], c[f"m{i}{j}"]
+        area = F.when(a * a + b * b <= r2, a * b).otherwise(b * m + c[f"u{i}"] - under(m))
+        return F.signum(c[f"x{i}"]) * F.signum(c[f"y{j}"]) * area
+
+    steps = [
+        {"r": r, "x0": _c(xmin) - cx, "x1": _c(xmax) - cx, "y0": _c(ymin) - cy, "y1": _c(ymax) - cy},
+        {f"{n}{i}": F.least(F.abs(c[f"{v}{i}"]), c["r"]) for n, v in (("a", "x"), ("b", "y")) for i in "01"},
+        {f"f{j}": F.sqrt(F.greatest(r2 - c[f"b{j}"] * c[f"b{j}"], F.lit(0.0))) for j in "01"} | {f"u{i}": under(c[f"a{i}"]) for i in "01"},
+        {f"m{i}{j}": F.least(c[f"f{j}"], c[f"a{i}"]) for i in "01" for j in "01"},
+        {f"s{i}{j}": corner(i, j) for i in "01" for j in "01"},
+    ]
+    out = df
+    for step in steps:
+        out = out.withColumns({f"_{n}": v for n, v in step.items()})
+    area = c["s11"] - c["s01"] - c["s10"] + c["s00"]
+    share = F.greatest(F.lit(0.0), area) / ((c["x1"] - c["x0"]) * (c["y1"] - c["y0"]))
+    return out.withColumn(into, F.explode(F.array(share))).drop(*[f"_{n}" for n in c])

@@ -13,8 +13,8 @@ from ..scratch import small
 
 
 def merge_features(base: DataFrame, features: Sequence[DataFrame], keys: Sequence[str], units: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
-    """Left joins of feature tables on one set of keys, then unit changes. Each feature table has a row a key at most."""
-    out = reduce(lambda a, b: a.join(b, list(keys), "left"), features, base)
+    """Left joins of feature tables on one set of keys, then unit changes. Each feature table has a row a key at most, and is never broadcast."""
+    out = reduce(lambda a, b: a.join(b.hint("merge"), list(keys), "left"), features, base)
     return out.withColumns({c: F.col(c) * F.lit(a) + F.lit(b) for c, (a, b) in (units or {}).items()})
 
 
@@ -58,8 +58,8 @@ def interval_join(
 
 
 def lagged_join(df: DataFrame, yearly: DataFrame, year: str, lag: int = 1, how: str = "left") -> DataFrame:
-    """Each row with the values of so many years before its own."""
-    shifted = yearly.withColumn(year, F.col(year) + F.lit(lag))
+    """Each row with the values of so many years before its own. The yearly table, wide as a rule, is never broadcast."""
+    shifted = yearly.withColumn(year, F.col(year) + F.lit(lag)).hint("merge")
     return df.join(shifted, [*[c for c in df.columns if c in yearly.columns and c != year], year], how)
 
 

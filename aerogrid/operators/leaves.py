@@ -177,7 +177,7 @@ def nearest(points: DataFrame, key: str, rows: DataFrame, tree: Tree, distance:
     p = cut(_map(p, own, _added(p, ("leaf", T.LongType()), ("_d", T.DoubleType()))))
     first = cut(best(measured(p.join(rows, "leaf"))))
     ends = first.filter(F.col("rank") == k).select(key, F.col("distance").alias("_end"))
-    p = p.withColumnRenamed("leaf", "_own").join(ends, key, "left").withColumn("_d", F.least("_d", "_end")).drop("_end")
+    p = p.withColumnRenamed("leaf", "_own").join(ends.hint("merge"), key, "left").withColumn("_d", F.least("_d", "_end")).drop("_end")
 
     def others(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y, d, mine = _numbers(batch, "x", "y", "_d", "_own")

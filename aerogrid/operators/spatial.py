@@ -181,7 +181,7 @@ def _endless_sums(points: DataFrame, key: str, sources: DataFrame, bw: float, na
     at = sources.select("sx", "sy", F.lit(0).alias("_s"))
     rows, tree = leaves.plant(at, F.col("sx"), F.col("sy"), [F.col("sx"), F.col("sy"), F.col("sx"), F.col("sy")])
     near = leaves.nearest(points.dropDuplicates([key]), key, rows, tree, planar_m("x", "y", "sx", "sy"), "_s").filter(F.col("distance") <= bw)
-    near = cut(near.select(key, F.col("distance").alias("least")).join(points, key))
+    near = cut(near.select(key, F.col("distance").alias("least")).join(points.hint("merge"), key))
     weighed = sources.select(F.col("sx").alias("x"), F.col("sy").alias("y"), *[F.coalesce(c, F.lit(0.0)).alias(n) for c, n in (("ew", "ew"), ("xw", "w"))])
     reach = reach or min(reaches)
     parts = kernels.gaussian_parts(bw) if name == "gaussian" else kernels.exponential_parts(bw, reach / bw)
@@ -189,7 +189,7 @@ def _endless_sums(points: DataFrame, key: str, sources: DataFrame, bw: float, na
     if name == "exponential":
         left = pair_sums(near, key, sources, reach, lambda d: kernels.left_of_sum(d, bw, parts)).select(key, F.col("ew").alias("ew2"), F.col("w").alias("w2"))
         sums = sums.join(left, key, "left").withColumns({c: F.col(c) + F.coalesce(f"{c}2", F.lit(0.0)) for c in ("ew", "w")}).drop("ew2", "w2")
-    sums = cut(near.select(key, "least").join(sums, key))
+    sums = cut(near.select(key, "least").join(sums.hint("merge"), key))
     noisy = lambda c: F.col(f"{c}_noise") * kernels.NOISE > F.abs(c) * kernels.TOLERANCE
     unsure = sums.filter(noisy("ew") | noisy("w")).select(key)
     sums = sums.select(key, "ew", "w", "least")
@@ -227,7 +227,7 @@ def kernel_sources(
     else:
         sums = _endless_sums(places, "_place", s, bw, name)
     mean = F.when(F.col("least") <= bw, F.col("ew") / F.nullif(F.col("w"), F.lit(0.0)))
-    out = p.withColumn("_place", place).join(sums, "_place", "left").select(key, mean.alias(value))
+    out = p.withColumn("_place", place).join(sums.hint("merge"), "_place", "left").select(key, mean.alias(value))
     return out.fillna(empty, [value]) if empty is not None else out
 
 

@@ -33,3 +33,20 @@ def test_medians_are_exact(spark):
     got = Pipeline(stages=M.mixed_steps(["a", "b"], [])).fit(df).transform(df)
     for c, v in values.items():
         assert [r[0] for r in got.filter(F.col(c).isNull()).select(f"{c}_filled").distinct().collect()] == [v[(len(v) - 1) // 2]]
+
+
+def joins_of(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("SortMergeJoin"), plan.count("BroadcastHashJoin")
+
+
+def test_features_and_rasters_are_never_broadcast(spark):
+    """Spark would broadcast them, by the size of their files."""
+    from aerogrid.operators import joins, raster
+
+    base = spark.range(100).selectExpr("id", "cast(id as double) x", "cast(-id as double) y", "1995 year")
+    a, b = base.selectExpr("id", "x as a"), base.selectExpr("id", "1994 as year", "y as b")
+    assert joins_of(joins.merge_features(base, [a, a.withColumnRenamed("a", "c")], ["id"])) == (2, 0)
+    assert joins_of(joins.lagged_join(base, b, "year")) == (1, 0)
+    cells = spark.range(200).selectExpr("cast(id as int) row", "cast(id as int) col", "1.0D value")
+    assert joins_of(raster.sample_at_points(base, cells, raster.Frame(0.0, 0.0, 1.0, 1.0))) == (1, 0)
