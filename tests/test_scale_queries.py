@@ -50,3 +50,18 @@ def test_features_and_rasters_are_never_broadcast(spark):
     assert joins_of(joins.lagged_join(base, b, "year")) == (1, 0)
     cells = spark.range(200).selectExpr("cast(id as int) row", "cast(id as int) col", "1.0D value")
     assert joins_of(raster.sample_at_points(base, cells, raster.Frame(0.0, 0.0, 1.0, 1.0))) == (1, 0)
+
+
+def test_pieces_of_circles_are_compiled(spark):
+    """Methods of more than 8000 bytes are interpreted by the JVM; shares are those of circle_cover to the bit."""
+    from aerogrid.functions.geometry import circle_cover, with_circle_cover
+    from aerogrid.operators import raster
+
+    points = spark.range(30).selectExpr("id", "cast(id * 37 % 100 as double) x", "cast(id * 61 % 100 as double) y")
+    pieces = raster.circle_pieces(points, "id", [40, 90], raster.Frame(0.0, 100.0, 10.0, 9.0))
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(pieces._jdf.queryExecution().executedPlan())
+    assert 0 < max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) <= 8000
+    box = [F.col("x"), F.col("y"), F.lit(70.0), F.col("i") * 10.0, F.col("id") * 3.0, F.col("i") * 10.0 + 10, F.col("id") * 3.0 + 9]
+    both = with_circle_cover(points.withColumn("i", F.explode(F.sequence(F.lit(-2), F.lit(12)))), *box).withColumn("other", circle_cover(*box))
+    assert both.filter(F.col("cover") > 0).count() > 100 and both.filter(F.col("cover") != F.col("other")).isEmpty()
