@@ -142,3 +142,22 @@ def test_algebra(spark, land):
     assert np.array_equal(got[:16], land[:16], equal_nan=True) and np.isnan(got[16:]).all()
     full = whole(B.algebra({"a": a, "b": b}, grid, lambda a, b: np.where(np.isnan(b), a, b), how="full"), grid)
     assert np.array_equal(full, np.where(np.arange(43)[:, None] < 16, land * 2, land), equal_nan=True)
+
+
+def test_small_blocks_go_by_regions(spark):
+    """Work goes by cells: blocks of 2 x 2 are looked at many at a time, and give only what lies at the borders of regions."""
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 3, (300, 140)).astype(float)
+    a[rng.random(a.shape) < 0.1] = np.nan
+    a[40:90, 20:60] = np.nan
+    grid = B.Grid(2, *a.shape)
+    blocks = B.to_blocks(cells(spark, a), grid, kind="i2")
+    assert B.border_strips(blocks, grid, 3, grid.regions()).count() < blocks.count() / 8
+    sides = whole(B.focal(blocks, grid, 1, lambda wide, band: [(band, np.full((len(wide) - 2,) * 2, len(wide) - 2.0))], "f8"), grid)
+    assert set(sides[~np.isnan(sides)]) == {128.0}
+    got = whole(B.focal_fractions(blocks, grid, [1], 3, "wide", kind="f8"), grid, "class_01")
+    around = neighbourhood(a, 3, "wide")
+    known = (~np.isnan(around)).sum(0)
+    want = np.where(known > 0, (around == 1).sum(0) / np.maximum(known, 1), 0.0)
+    there = ~np.isnan(got)
+    assert np.allclose(got[there], want[there]) and there[~np.isnan(a)].all()
