@@ -25,8 +25,8 @@ def _grid(t: Tables, tile: int) -> B.Grid:
 
 
 def _present(t: Tables, out):
-    """Only cells that the table has; blocks are full squares."""
-    return out.join(t.landuse.select("row", "col"), ["row", "col"], "left_semi")
+    """Only cells that the table has; blocks are full squares. The raster is never broadcast."""
+    return out.join(t.landuse.select("row", "col").hint("merge"), ["row", "col"], "left_semi")
 
 
 def _fractions(t: Tables, tile: int, **how):
