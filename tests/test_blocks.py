@@ -161,3 +161,12 @@ def test_small_blocks_go_by_regions(spark):
     want = np.where(known > 0, (around == 1).sum(0) / np.maximum(known, 1), 0.0)
     there = ~np.isnan(got)
     assert np.allclose(got[there], want[there]) and there[~np.isnan(a)].all()
+
+
+def test_blocks_are_taken_few_at_a_time():
+    import pyarrow as pa
+
+    data = np.zeros((44, 44)).tobytes()
+    batch = pa.RecordBatch.from_pylist([{"tr": i, "tc": 0, "band": "v", "kind": ("f8", "f4")[i % 2], "data": data[: len(data) // (1 + i % 2)]} for i in range(500)])
+    stacks = list(B._stacks(iter([batch]), 44))
+    assert max(a.size for *_, a in stacks) <= B.HELD and sorted(r for _, tr, *_ in stacks for r in tr) == list(range(500))
