@@ -90,3 +90,18 @@ def test_windows_tune_and_score_each_year(rows):
 def test_windows_without_rows(rows):
     df = rows.withColumnRenamed("y", "target").withColumnRenamed("y2", "y")
     assert M.moving_window_tuning(df, ["target"], ["a"], [1990], [{}], learner="linear").count() == 0
+
+
+def test_rows_to_fit_on_are_dealt_out(spark, monkeypatch):
+    """One task's rows become many tasks' of bounded size, always the same; few are left alone."""
+    monkeypatch.setattr(M, "FIT_ROWS", 500)
+    df = spark.range(4000).selectExpr("cast(id % 61 as double) a", "cast(id % 7 as double) b", "cast(id * 31 % 97 as double) y", "id").coalesce(1)
+    parts = [df.rdd.mapPartitions(lambda rows: [[tuple(r) for r in rows]]).collect() for df in (M.dealt(df), M.dealt(df.orderBy("y")))]
+    assert parts[0] == parts[1] and len(parts[0]) == 8 and max(map(len, parts[0])) < 700 and sum(map(len, parts[0])) == 4000
+    assert M.dealt(df.limit(500)).rdd.getNumPartitions() == 1
+    seen = []
+    fit = M.GBTRegressor._fit
+    monkeypatch.setattr(M.GBTRegressor, "_fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    M.benchmark_models(df.withColumn("date", F.when(F.col("id") < 3000, "2021-01-01").otherwise("2022-01-01").cast("date")), ["y"], {"all": ["a", "b"]}, "date", "2022-01-01", ["boosted"])
+    M.fold_scores(df.withColumn("fold", (F.col("id") % 2).cast("int")), [VectorAssembler(inputCols=["a", "b"], outputCol="features")], M.boosted_trees("y", maxIter=1), {}, "y", 0)
+    assert seen == [6, 4]
