@@ -69,8 +69,9 @@ def multi_ring_sources(t: Tables):
     SELECT p.pid, round(m, 3) AS emission FROM {{gridpoints}} p LEFT JOIN s USING (pid)"""
 )
 def multi_ring_kernel(t: Tables):
-    """Kernel means of what lies in a region of many rings, at its points."""
-    return X.kernel_sources(t.gridpoints, t.emitters, "pid", 800, "epanechnikov", clip=_estates(t).withColumnRenamed("zone", "feature")).withColumn("emission", F.round("emission", 3))
+    """Kernel means of what lies in a region of many rings, at its points. Estates of one shape and place are one."""
+    shapes = t.estates.groupBy("wkt").agg(F.min("zone").alias("feature"))
+    return X.kernel_sources(t.gridpoints, t.emitters, "pid", 800, "epanechnikov", clip=H.wkt_edges(shapes, "wkt", ["feature"])).withColumn("emission", F.round("emission", 3))
 
 
 SEGMENTS = """s AS (SELECT link_id, x1, y1, x2, y2 FROM {polylines} UNION ALL SELECT link_id, x2, y2, x3, y3 FROM {polylines} UNION ALL SELECT link_id, x4, y4, x5, y5 FROM {polylines})"""

@@ -65,3 +65,15 @@ def test_pieces_of_circles_are_compiled(spark):
     box = [F.col("x"), F.col("y"), F.lit(70.0), F.col("i") * 10.0, F.col("id") * 3.0, F.col("i") * 10.0 + 10, F.col("id") * 3.0 + 9]
     both = with_circle_cover(points.withColumn("i", F.explode(F.sequence(F.lit(-2), F.lit(12)))), *box).withColumn("other", circle_cover(*box))
     assert both.filter(F.col("cover") > 0).count() > 100 and both.filter(F.col("cover") != F.col("other")).isEmpty()
+
+
+def test_estates_of_one_shape_are_one(spark, small, tmp_path, monkeypatch):
+    from aerogrid.plans import shape_queries as Q
+
+    supplier = spark.read.parquet(f"{small}/supplier.parquet")
+    supplier.unionByName(supplier.withColumn("s_suppkey", F.col("s_suppkey") + 20_000)).write.parquet(f"{tmp_path}/supplier.parquet")
+    clips = []
+    monkeypatch.setattr(Q.X, "kernel_sources", lambda points, *a, clip, **k: clips.append(clip) or points.withColumn("emission", F.lit(0.0)))
+    spark.read.parquet(f"{small}/customer.parquet").write.parquet(f"{tmp_path}/customer.parquet")
+    catalog.queries()["multi_ring_kernel"](spark, str(tmp_path))
+    assert clips[0].select("feature").distinct().count() == supplier.count()
