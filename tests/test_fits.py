@@ -1,6 +1,7 @@
 """What fits have in common is done once."""
 
 import pytest
+from pyspark.ml import Estimator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
@@ -30,6 +31,28 @@ def test_learners_read_rows_dealt_once(spark, rows, monkeypatch):
         assert M.metrics(model.transform(x.filter("id >= 900")), "y", "prediction").first()["rmse"] == pytest.approx(r["rmse"], abs=1e-9)
 
 
+class Counted(Estimator):
+    """Steps that say when they are fitted."""
+
+    fits: list = []
+
+    def _fit(self, df):
+        self.fits.append(df.count())
+        return VectorAssembler(inputCols=["a", "b"], outputCol="features")
+
+
+def test_steps_are_fitted_once_a_fold(spark, rows):
+    design = [{"regParam": 0.0}, {"regParam": 1.0}, {"regParam": 1e5}]
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    ran = M.tune(rows, [Counted()], LinearRegression(labelCol="y"), design, "y", 4, race_after=None).collect()
+    assert Counted.fits == [900] * 4 and spark.sparkContext._jsc.getPersistentRDDs().size() <= kept
+    assert sorted((r["config"], r["fold"]) for r in ran) == [(i, f) for i in range(3) for f in range(4)]
+    x = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    for r in ran:
+        model = LinearRegression(labelCol="y", **design[r["config"]]).fit(x.filter(F.col("fold") != r["fold"]))
+        assert M.metrics(model.transform(x.filter(F.col("fold") == r["fold"])), "y", "prediction").first()["rmse"] == pytest.approx(r["rmse"], abs=1e-9)
+
+
 def test_a_vector_is_unpacked_once_a_row(rows):
     """Also when predictions are scored: a filter on them would be moved below the model with all that it says."""
     x = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
